@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BULLETIN_SEGMENT, LINK_PATTERN, LINK_TEXT, NOTICE_XML_PATH
+from .arrays import posexplode_rows
 from .text import drop_markup
 
 RE_ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
@@ -30,7 +31,7 @@ def extract_links(df: DataFrame, html_col: str = "html", keep: list[str] | None
     """One row per anchor: ``link_no`` (0-based), ``anchor`` (markup),
     ``href`` and ``anchor_text`` (visible text, entities decoded)."""
     keep = keep if keep is not None else [c for c in df.columns if c != html_col]
-    exploded = df.select(*keep, F.posexplode(anchors(html_col)).alias("link_no", "anchor"))
+    exploded = posexplode_rows(df, keep, anchors(html_col), "link_no", "anchor")
     open_tag = F.regexp_extract("anchor", RE_ANCHOR_OPEN, 0)
     inner = F.regexp_extract("anchor", RE_ANCHOR_INNER, 1)
     return exploded.select(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import posexplode_rows
 from ..functions.text import decorate_chunk, strip_ws
 from ..params import CHUNK_LENGTH, SPLIT_OVERLAP, SPLIT_SEPARATORS, SPLIT_SIZE
 
@@ -42,9 +43,7 @@ def chunk_fixed(
 ) -> DataFrame:
     """One row per chunk; rows with empty or NULL text disappear."""
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
-    return df.select(
-        *keep, F.posexplode(fixed_chunks(F.col(text_col), length)).alias(pos_col, out_col)
-    )
+    return posexplode_rows(df, keep, fixed_chunks(F.col(text_col), length), pos_col, out_col)
 
 
 def notice_rows(
@@ -176,4 +175,4 @@ def recursive_split(
     pieces = F.when(F.length(t) <= size, short).otherwise(
         _split_udf(size, overlap, tuple(separators))(long_text)
     )
-    return df.select(*keep, F.posexplode(pieces).alias(pos_col, out_col))
+    return posexplode_rows(df, keep, pieces, pos_col, out_col)

@@ -13,6 +13,7 @@ list[list[float]]`` through :func:`embed_with`, run by ``mapInPandas``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN_RE = r"[\p{L}\p{N}]+"
+NON_TOKEN_RE = r"[^\p{L}\p{N}]+"
 
 
 def tokens(text) -> Column:
+    """Maximal runs of letters and digits of the lower-cased text (the
+    non-empty pieces between runs of other characters; splitting is about
+    three times faster than extracting every match)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_RE), 0)
+    return F.array_remove(F.split(F.lower(t), NON_TOKEN_RE), "")
 
 
 def token_buckets(text, dim: int) -> Column:
@@ -37,31 +42,37 @@ def token_buckets(text, dim: int) -> Column:
     )
 
 
+def bucket_of(token: str, dim: int) -> int:
+    """Bucket of one token: first 32 bits of the MD5 of its UTF-8 bytes,
+    modulo ``dim`` (same value as :func:`token_buckets`)."""
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+
+
 def _counts_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bucket_counts(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
+    def bucket_counts(token_lists: pd.Series) -> pd.Series:
+        n = len(token_lists)
         if n == 0:
             return pd.Series([], dtype=object)
-        lens = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
-        parts = [np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)]
-        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=n)
+        parts = [t for t in token_lists if t is not None and len(t)]
+        if not parts:
+            return pd.Series([np.zeros(dim, dtype=np.int32) for _ in range(n)])
+        flat = np.concatenate(parts)
+        # hash each distinct token of the batch once
+        codes, vocab = pd.factorize(flat)
+        buckets = np.fromiter((bucket_of(t, dim) for t in vocab), dtype=np.int64, count=len(vocab))[codes]
         rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        dense = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.int32)
+        dense = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.int32)
         return pd.Series(list(dense))
 
     return bucket_counts
 
 
 def hashed_counts(text, dim: int = 256) -> Column:
-    """Dense ``array<int>`` of token counts per bucket."""
-    return _counts_udf(dim)(token_buckets(text, dim))
-
-
-def normalise(counts: Column) -> Column:
-    """L2-normalised ``array<double>``; an all-zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c))
-    return F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(F.lit(0.0)))
+    """Dense ``array<int>`` of token counts per bucket.  Tokens are cut in
+    the JVM; the batch's distinct tokens are hashed once in the UDF."""
+    return _counts_udf(dim)(tokens(text))
 
 
 def with_hashed_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 256) -> DataFrame:
@@ -69,11 +80,17 @@ def with_hashed_embedding(df: DataFrame, text_col: str, out_col: str = "embeddin
     ``array<double>``.  The counts are materialised as a column first:
     Spark does not allow a Python UDF inside a higher-order function."""
     tmp = f"_{out_col}_counts"
-    return (
-        df.withColumn(tmp, hashed_counts(text_col, dim))
-        .withColumn(out_col, normalise(F.col(tmp)))
-        .drop(tmp)
+    norm = f"_{out_col}_norm"
+    with_counts = df.withColumn(tmp, hashed_counts(text_col, dim))
+    # the norm is its own column so it is computed once per row, not once
+    # per element inside the transform
+    with_norm = with_counts.withColumn(
+        norm, F.sqrt(F.aggregate(F.col(tmp), F.lit(0.0), lambda a, c: a + c.cast("double") * c))
+    )
+    scaled = F.transform(
+        F.col(tmp), lambda c: F.when(F.col(norm) > 0, c / F.col(norm)).otherwise(F.lit(0.0))
     )
+    return with_norm.withColumn(out_col, scaled).drop(tmp, norm)
 
 
 def sparse_weights(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256) -> DataFrame:
@@ -83,7 +100,7 @@ def sparse_weights(df: DataFrame, id_cols: list[str], text_col: str, dim: int =
     with_counts = df.select(*id_cols, counts.alias("_counts"))
     norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
     exploded = with_counts.select(
-        *id_cols, norm.alias("_norm"), F.posexplode("_counts").alias("bucket", "cnt")
+        *id_cols, norm.alias("_norm"), F.posexplode_outer("_counts").alias("bucket", "cnt")
     ).filter(F.col("cnt") > 0)
     return exploded.select(
         *id_cols,

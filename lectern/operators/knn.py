@@ -52,11 +52,15 @@ def vector_dims(df: DataFrame, vec_col: str) -> DataFrame:
     )
 
 
-def _question_blocks(questions: DataFrame, q_id: str, q_vec: str, max_block_bytes: int):
-    """Yield (ids, matrix) blocks of the question table, each proved small
-    by a count before it is collected."""
-    stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
-    n, dim = int(stats["n"]), int(stats["d"] or 0)
+def _question_blocks(questions: DataFrame, q_id: str, q_vec: str, max_block_bytes: int, dim: int | None = None):
+    """(dim, [(ids, matrix), ...]): blocks of the question table, each
+    proved small by a count before it is collected.  With a known ``dim``
+    the count does not need the vectors (they may be computed by a UDF)."""
+    if dim is None:
+        stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
+        n, dim = int(stats["n"]), int(stats["d"] or 0)
+    else:
+        n = questions.select(q_id).count()
     if n == 0:
         return dim, []
     per_row = max(1, dim) * 8 + 64
@@ -82,6 +86,7 @@ def knn(
     payload: list[str] | None = None,
     max_block_bytes: int = 64 << 20,
     max_pairs: int = 8_000_000,
+    dim: int | None = None,
 ) -> DataFrame:
     """Top-``k`` corpus rows per question by squared L2 distance.
 
@@ -91,7 +96,7 @@ def knn(
     """
     payload = list(payload or [])
     spark = corpus.sparkSession
-    dim, blocks = _question_blocks(questions, q_id, q_vec, max_block_bytes)
+    dim, blocks = _question_blocks(questions, q_id, q_vec, max_block_bytes, dim)
     q_field = questions.schema[q_id]
     id_field = corpus.schema[id_col]
     out_schema = T.StructType(

@@ -46,7 +46,10 @@ def retrieve(
     corpus = chunks if chunk_vec else with_hashed_embedding(chunks, chunk_text, "_vec", dim)
     vec = chunk_vec or "_vec"
     qv = with_hashed_embedding(questions.select(q_id, q_text), q_text, "_qvec", dim).select(q_id, "_qvec")
-    return knn(corpus, qv, k=k, id_col=chunk_id, vec_col=vec, q_id=q_id, q_vec="_qvec", payload=[chunk_text])
+    return knn(
+        corpus, qv, k=k, id_col=chunk_id, vec_col=vec, q_id=q_id, q_vec="_qvec", payload=[chunk_text],
+        dim=None if chunk_vec else dim,
+    )
 
 
 def stuff_context(hits: DataFrame, q_id: str = "qid", text_col: str = "page_content", sep: str = CONTEXT_SEPARATOR) -> DataFrame:

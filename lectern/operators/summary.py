@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.text import strip_ws
 from ..params import LSA_SMOOTH, STOP_WORDS_ES, SUMMARY_SENTENCES
 from .embedding import tokens
@@ -43,14 +44,14 @@ def sentences_of(text) -> Column:
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, sent_no, sentence)``; ``sent_no`` is 0-based."""
-    return docs.select(id_col, F.posexplode(sentences_of(text_col)).alias("sent_no", "sentence"))
+    return posexplode_rows(docs, [id_col], sentences_of(text_col), "sent_no", "sentence")
 
 
 def term_counts(sentences: DataFrame, id_col: str = "doc_id", stop_words=STOP_WORDS_ES) -> DataFrame:
     """``(id, sent_no, term, cnt)`` for non-stop-word terms."""
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    kept = F.filter(tokens("sentence"), lambda w: ~F.array_contains(stops, w))
-    terms = sentences.select(id_col, "sent_no", F.explode(kept).alias("term"))
+    # explode first, then a native IN over a hash set (no per-token lambda)
+    terms = explode_rows(sentences, [id_col, "sent_no"], tokens("sentence"), "term")
+    terms = terms.filter(~F.col("term").isin(list(stop_words)))
     return terms.groupBy(id_col, "sent_no", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 

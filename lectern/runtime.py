@@ -40,8 +40,43 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+# Id column of each table with CPU-heavy rows (text or vectors).
+SPREAD_KEYS = {
+    "documents": "doc_id",
+    "pages": "page_id",
+    "embeddings": "vec_id",
+    "conversations": "conv_id",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Make sure per-row heavy work can use every core.
+
+    A scan has one task per file split; a file written as one row group
+    cannot be split, so a small table of long texts would be processed by
+    one task.  Only when the scan yields fewer partitions than the cluster
+    has cores are the rows hash-partitioned by ``key`` (hash, not
+    round-robin, so no sort is needed to make retries deterministic).  On
+    a large input the scan already has many splits and nothing is added.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if num_partitions(df) >= want:
+        return df
+    return df.repartition(want, F.col(key))
+
+
+def num_partitions(df: DataFrame) -> int:
+    """Partitions the physical plan would produce (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().executedPlan().execute().getNumPartitions())
+    except Exception:  # e.g. a remote session without the JVM handle
+        return df.rdd.getNumPartitions()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
