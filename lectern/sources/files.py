@@ -38,7 +38,8 @@ _CSV_OPTIONS = {
 
 def write_pipe_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Pipe-separated CSV with a header; quotes doubled inside quoted fields,
-    newlines kept inside fields.  Partitioning by ``source, ingest_date``
+    newlines kept inside fields, leading and trailing spaces kept.  An empty
+    string reads back as NULL (as a pandas reader gives NaN).  Partitioning by ``source, ingest_date``
     lets later scans prune whole days."""
     writer = (
         df.write.mode(mode)
