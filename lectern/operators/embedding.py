@@ -48,59 +48,65 @@ def bucket_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
+def _dense_counts(token_lists: pd.Series, dim: int) -> np.ndarray:
+    """(rows x dim) int64 token counts of one Arrow batch; the batch's
+    distinct tokens are hashed once."""
+    n = len(token_lists)
+    lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=n)
+    parts = [t for t in token_lists if t is not None and len(t)]
+    if not parts:
+        return np.zeros((n, dim), dtype=np.int64)
+    flat = np.concatenate(parts)
+    codes, vocab = pd.factorize(flat)
+    buckets = np.fromiter((bucket_of(t, dim) for t in vocab), dtype=np.int64, count=len(vocab))[codes]
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    return np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim)
+
+
 def _counts_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bucket_counts(token_lists: pd.Series) -> pd.Series:
-        n = len(token_lists)
-        if n == 0:
-            return pd.Series([], dtype=object)
-        lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=n)
-        parts = [t for t in token_lists if t is not None and len(t)]
-        if not parts:
-            return pd.Series([np.zeros(dim, dtype=np.int32) for _ in range(n)])
-        flat = np.concatenate(parts)
-        # hash each distinct token of the batch once
-        codes, vocab = pd.factorize(flat)
-        buckets = np.fromiter((bucket_of(t, dim) for t in vocab), dtype=np.int64, count=len(vocab))[codes]
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        dense = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.int32)
-        return pd.Series(list(dense))
+    @F.pandas_udf("counts array<int>, norm double")
+    def bucket_counts(token_lists: pd.Series) -> pd.DataFrame:
+        dense = _dense_counts(token_lists, dim)
+        # integer sums of squares are exact; sqrt is correctly rounded
+        norm = np.sqrt((dense * dense).sum(axis=1).astype(np.float64))
+        return pd.DataFrame({"counts": list(dense.astype(np.int32)), "norm": norm})
 
     return bucket_counts
 
 
+def _unit_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unit_vectors(token_lists: pd.Series) -> pd.Series:
+        dense = _dense_counts(token_lists, dim).astype(np.float64)
+        norm = np.sqrt((dense * dense).sum(axis=1))
+        out = np.divide(dense, norm[:, None], out=np.zeros_like(dense), where=norm[:, None] > 0)
+        return pd.Series(list(out))
+
+    return unit_vectors
+
+
 def hashed_counts(text, dim: int = 256) -> Column:
-    """Dense ``array<int>`` of token counts per bucket.  Tokens are cut in
-    the JVM; the batch's distinct tokens are hashed once in the UDF."""
+    """``struct<counts array<int>, norm double>``: token counts per bucket
+    and their Euclidean norm.  Tokens are cut in the JVM."""
     return _counts_udf(dim)(tokens(text))
 
 
+def hashed_embedding(text, dim: int = 256) -> Column:
+    """Default embedding: hashed token counts scaled to unit length,
+    ``array<double>``; a text without tokens gives the zero vector."""
+    return _unit_udf(dim)(tokens(text))
+
+
 def with_hashed_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 256) -> DataFrame:
-    """Adds the default embedding: normalised hashed token counts as
-    ``array<double>``.  The counts are materialised as a column first:
-    Spark does not allow a Python UDF inside a higher-order function."""
-    tmp = f"_{out_col}_counts"
-    norm = f"_{out_col}_norm"
-    with_counts = df.withColumn(tmp, hashed_counts(text_col, dim))
-    # the norm is its own column so it is computed once per row, not once
-    # per element inside the transform
-    with_norm = with_counts.withColumn(
-        norm, F.sqrt(F.aggregate(F.col(tmp), F.lit(0.0), lambda a, c: a + c.cast("double") * c))
-    )
-    scaled = F.transform(
-        F.col(tmp), lambda c: F.when(F.col(norm) > 0, c / F.col(norm)).otherwise(F.lit(0.0))
-    )
-    return with_norm.withColumn(out_col, scaled).drop(tmp, norm)
+    return df.withColumn(out_col, hashed_embedding(text_col, dim))
 
 
 def sparse_weights(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256) -> DataFrame:
     """Sparse form ``(ids..., bucket, cnt, weight)`` of the default embedding,
     without any shuffle: each row's counts are exploded in place."""
-    counts = hashed_counts(text_col, dim)
-    with_counts = df.select(*id_cols, counts.alias("_counts"))
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
+    with_counts = df.select(*id_cols, hashed_counts(text_col, dim).alias("_h"))
     exploded = with_counts.select(
-        *id_cols, norm.alias("_norm"), F.posexplode_outer("_counts").alias("bucket", "cnt")
+        *id_cols, F.col("_h.norm").alias("_norm"), F.posexplode_outer("_h.counts").alias("bucket", "cnt")
     ).filter(F.col("cnt") > 0)
     return exploded.select(
         *id_cols,

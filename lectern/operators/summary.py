@@ -55,19 +55,47 @@ def term_counts(sentences: DataFrame, id_col: str = "doc_id", stop_words=STOP_WO
     return terms.groupBy(id_col, "sent_no", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def sentence_scores(
-    sentences: DataFrame,
-    counts: DataFrame,
+def scored_sentences(
+    docs: DataFrame,
     id_col: str = "doc_id",
+    text_col: str = "text",
     smooth: float = LSA_SMOOTH,
+    stop_words=STOP_WORDS_ES,
 ) -> DataFrame:
-    """Score of every sentence of documents that have a vocabulary."""
-    stats = counts.groupBy(id_col, "sent_no").agg(
+    """``(id, sent_no, sentence, score)`` for every sentence of documents
+    that have a vocabulary.
+
+    One lineage, no join: documents are hash-partitioned by id once (a
+    no-op when they already are), and every aggregate and window after
+    that is keyed by the id first, so it reuses that partitioning.  A
+    sentence's text rides on its first token row only, so it is copied once
+    per sentence, not once per token.
+    """
+    by_doc = docs.select(id_col, text_col).repartition(id_col)
+    sents = split_sentences(by_doc, id_col, text_col)
+    toks = sents.select(
+        id_col, "sent_no", "sentence", F.posexplode_outer(tokens("sentence")).alias("tok_no", "tok")
+    )
+    first_tok = F.col("tok_no").isNull() | (F.col("tok_no") == 0)
+    term = F.when(~F.col("tok").isin(list(stop_words)), F.col("tok"))
+    rows = toks.select(
+        id_col, "sent_no", term.alias("term"), F.when(first_tok, F.col("sentence")).alias("_text")
+    ).filter(F.col("term").isNotNull() | F.col("_text").isNotNull())
+    per_term = rows.groupBy(id_col, "sent_no", "term").agg(
+        F.count("term").alias("cnt"), F.first("_text", ignorenulls=True).alias("_text")
+    )
+    first_use = F.row_number().over(Window.partitionBy(id_col, "term").orderBy("sent_no"))
+    per_term = per_term.withColumn(
+        "_new", F.when(F.col("term").isNotNull() & (first_use == 1), F.lit(1)).otherwise(F.lit(0))
+    )
+    per_sent = per_term.groupBy(id_col, "sent_no").agg(
         F.max("cnt").alias("m"),
         F.sum("cnt").alias("s1"),
         F.sum(F.col("cnt") * F.col("cnt")).alias("s2"),
+        F.sum("_new").alias("_new"),
+        F.first("_text", ignorenulls=True).alias("sentence"),
     )
-    vocab = counts.groupBy(id_col).agg(F.countDistinct("term").alias("v"))
+    per_sent = per_sent.withColumn("v", F.sum("_new").over(Window.partitionBy(id_col))).filter(F.col("v") > 0)
     a = float(smooth)
     m = F.col("m").cast("double")
     sq = (
@@ -75,12 +103,8 @@ def sentence_scores(
         + F.lit(2 * a * (1 - a)) * F.col("s1").cast("double") / m
         + F.lit((1 - a) * (1 - a)) * F.col("s2").cast("double") / (m * m)
     )
-    scored = (
-        sentences.join(vocab, id_col, "inner")
-        .join(stats, [id_col, "sent_no"], "left")
-        .withColumn("score", F.when(F.col("m") > 0, F.sqrt(sq)).otherwise(F.lit(0.0)))
-    )
-    return scored.select(id_col, "sent_no", "sentence", "score")
+    score = F.when(F.col("m") > 0, F.sqrt(sq)).otherwise(F.lit(0.0))
+    return per_sent.select(id_col, "sent_no", "sentence", score.alias("score"))
 
 
 def lsa_summary(
@@ -92,15 +116,8 @@ def lsa_summary(
     stop_words=STOP_WORDS_ES,
 ) -> DataFrame:
     """``(id, n_sentences, summary)``: best ``n`` sentences by score (ties:
-    earlier first), joined by newlines in text order.
-
-    The sentence rows are hash-partitioned by document once; every later
-    aggregate, join and window is keyed by the document id and reuses that
-    partitioning.
-    """
-    sents = split_sentences(docs, id_col, text_col).repartition(id_col)
-    counts = term_counts(sents, id_col, stop_words)
-    scored = sentence_scores(sents, counts, id_col, smooth)
+    earlier first), joined by newlines in text order."""
+    scored = scored_sentences(docs, id_col, text_col, smooth, stop_words)
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("sent_no"))
     best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return best.groupBy(id_col).agg(
