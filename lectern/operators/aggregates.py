@@ -47,8 +47,13 @@ def ordered_concat(
         )
 
     bucket = F.floor(order / F.lit(bucket_width)).alias("_bucket")
+    # Distribute on (group, bucket) explicitly: an input already clustered
+    # by the group alone would otherwise be reused, keeping a hot group in
+    # one task.  Collecting does not shrink rows, so nothing is lost by
+    # shuffling before the partial aggregate.
     level1 = (
         df.select(*group_cols, bucket, order.alias("_o"), value.alias("_v"))
+        .repartition(*[F.col(c) for c in group_cols], F.col("_bucket"))
         .groupBy(*group_cols, "_bucket")
         .agg(
             F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_v").alias("v"))).alias("_pairs"),

@@ -45,7 +45,6 @@ SPREAD_KEYS = {
     "documents": "doc_id",
     "pages": "page_id",
     "embeddings": "vec_id",
-    "conversations": "conv_id",
 }
 
 
