@@ -66,36 +66,37 @@ def scored_sentences(
     that have a vocabulary.
 
     One lineage, no join: documents are hash-partitioned by id once (a
-    no-op when they already are), and every aggregate and window after
-    that is keyed by the id first, so it reuses that partitioning.  A
-    sentence's text rides on its first token row only, so it is copied once
-    per sentence, not once per token.
+    no-op when they already are), and both aggregates after that are keyed
+    by the id first, so they reuse that partitioning.  The vocabulary size
+    is read off the document row (sentence boundaries never cut a token, so
+    the document's distinct non-stop tokens are the union over its
+    sentences).  A sentence's text rides on its first token row only.
     """
+    stops = F.array(*[F.lit(w) for w in stop_words])
     by_doc = docs.select(id_col, text_col).repartition(id_col)
-    sents = split_sentences(by_doc, id_col, text_col)
+    by_doc = by_doc.withColumn("v", F.size(F.array_except(tokens(text_col), stops)))
+    sents = posexplode_rows(by_doc, [id_col, "v"], sentences_of(text_col), "sent_no", "sentence").filter(
+        F.col("v") > 0
+    )
     toks = sents.select(
-        id_col, "sent_no", "sentence", F.posexplode_outer(tokens("sentence")).alias("tok_no", "tok")
+        id_col, "v", "sent_no", "sentence", F.posexplode_outer(tokens("sentence")).alias("tok_no", "tok")
     )
     first_tok = F.col("tok_no").isNull() | (F.col("tok_no") == 0)
     term = F.when(~F.col("tok").isin(list(stop_words)), F.col("tok"))
     rows = toks.select(
-        id_col, "sent_no", term.alias("term"), F.when(first_tok, F.col("sentence")).alias("_text")
+        id_col, "v", "sent_no", term.alias("term"), F.when(first_tok, F.col("sentence")).alias("_text")
     ).filter(F.col("term").isNotNull() | F.col("_text").isNotNull())
-    per_term = rows.groupBy(id_col, "sent_no", "term").agg(
-        F.count("term").alias("cnt"), F.first("_text", ignorenulls=True).alias("_text")
-    )
-    first_use = F.row_number().over(Window.partitionBy(id_col, "term").orderBy("sent_no"))
-    per_term = per_term.withColumn(
-        "_new", F.when(F.col("term").isNotNull() & (first_use == 1), F.lit(1)).otherwise(F.lit(0))
+    # collect_list (hash-based object aggregate) rather than first(): a
+    # string buffer would force a sort-based aggregate over every term row
+    per_term = rows.groupBy(id_col, "v", "sent_no", "term").agg(
+        F.count("term").alias("cnt"), F.collect_list("_text").alias("_text")
     )
-    per_sent = per_term.groupBy(id_col, "sent_no").agg(
+    per_sent = per_term.groupBy(id_col, "v", "sent_no").agg(
         F.max("cnt").alias("m"),
         F.sum("cnt").alias("s1"),
         F.sum(F.col("cnt") * F.col("cnt")).alias("s2"),
-        F.sum("_new").alias("_new"),
-        F.first("_text", ignorenulls=True).alias("sentence"),
+        F.try_element_at(F.flatten(F.collect_list("_text")), F.lit(1)).alias("sentence"),
     )
-    per_sent = per_sent.withColumn("v", F.sum("_new").over(Window.partitionBy(id_col))).filter(F.col("v") > 0)
     a = float(smooth)
     m = F.col("m").cast("double")
     sq = (

@@ -765,7 +765,7 @@ def tool_calls(spark, d):
 )
 def unknown_tools(spark, d):
     calls = S.tool_calls(_transcripts(spark, d))
-    registry = spark.createDataFrame([(t,) for t in TOOLS], "name string")
+    registry = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in TOOLS])).alias("name"))
     return S.unknown_tools(calls, registry).select("conv_id", "turn", "tool")
 
 
