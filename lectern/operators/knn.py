@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..params import RETRIEVER_K
+from ..params import DEFAULTS, RETRIEVER_K
 
 RANK_DECIMALS = 9
 
@@ -170,9 +170,22 @@ def knn(
     )
 
 
-def attach_metadata(hits: DataFrame, table: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """Look up metadata of the hits by id.  The hit list is bounded by
-    (questions x k), so it is the broadcast side and the metadata table is
-    streamed without a shuffle."""
+def attach_metadata(
+    hits: DataFrame,
+    table: DataFrame,
+    id_col: str,
+    cols: list[str],
+    hits_bound: int | None = None,
+    max_broadcast_rows: int = DEFAULTS.broadcast_max_rows,
+) -> DataFrame:
+    """Look up metadata of the hits by id.
+
+    The hit list has at most (questions x k) rows.  When the caller passes
+    that bound and it is under ``max_broadcast_rows``, the hits are the
+    broadcast side and the metadata table is streamed without a shuffle;
+    otherwise it is an ordinary join and the planner (with AQE) chooses.
+    """
     meta = table.select(id_col, *cols)
-    return meta.join(F.broadcast(hits), id_col, "inner")
+    if hits_bound is not None and hits_bound <= max_broadcast_rows:
+        return meta.join(F.broadcast(hits), id_col, "inner")
+    return meta.join(hits, id_col, "inner")

@@ -75,8 +75,8 @@ def _bigint(c):
 # Shared derived inputs -----------------------------------------------------
 
 
-def _pages(spark, d):
-    return read_table(spark, d, "pages")
+def _pages(spark, d, heavy: bool = True):
+    return read_table(spark, d, "pages", heavy=heavy)
 
 
 def _page_text(spark, d):
@@ -393,7 +393,7 @@ SELECT qid, CAST(rank AS BIGINT) AS rank, vec_id, round(greatest(d, 0.0), 6) AS
 
 
 def _knn_embeddings(spark, d, k: int):
-    emb = read_table(spark, d, "embeddings")
+    emb = read_table(spark, d, "embeddings", heavy=True)
     questions = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     hits = K.knn(emb.select("vec_id", "embedding"), questions, k=k, id_col="vec_id", vec_col="embedding", q_id="qid", q_vec="qvec")
     return hits, emb
@@ -418,7 +418,9 @@ def knn_top1(spark, d):
 @register("knn_with_metadata", _knn_sql(4, with_label=True))
 def knn_with_metadata(spark, d):
     hits, emb = _knn_embeddings(spark, d, 4)
-    joined = K.attach_metadata(_knn_out(hits), emb, "vec_id", ["label"])
+    n_questions = emb.count()  # the questions are the table's rows
+    meta = read_table(spark, d, "embeddings")
+    joined = K.attach_metadata(_knn_out(hits), meta, "vec_id", ["label"], hits_bound=n_questions * 4)
     return joined.select("qid", "rank", "vec_id", "dist", _bigint("label").alias("label"))
 
 
@@ -558,6 +560,26 @@ def backfill_days(spark, d):
     return kept.select("source", "day", _bigint("day_offset").alias("day_offset"), "n_rows", "rows_before")
 
 
+@register(
+    "backfill_rows",
+    f"""WITH c AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) AS n_rows FROM events GROUP BY 1, 2),
+a AS (SELECT max(CAST(ts AS DATE)) AS m FROM events),
+o AS (SELECT source, day, date_diff('day', day, m) AS day_offset, n_rows FROM c, a),
+w AS (SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY source ORDER BY day_offset
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before FROM o),
+k AS (SELECT source, day FROM w WHERE rows_before <= {BACKFILL_BUDGET_Q})
+SELECT e.event_id, e.event_type AS source, CAST(e.ts AS DATE) AS day, e.value FROM events e
+WHERE EXISTS (SELECT 1 FROM k WHERE k.source = e.event_type AND k.day = CAST(e.ts AS DATE))""",
+)
+def backfill_rows(spark, d):
+    ev = read_table(spark, d, "events").select("event_id", F.col("event_type").alias("source"), "ts", "value")
+    with_off = B.day_offsets(ev, "ts")
+    counts = with_off.groupBy("source", "day", "day_offset").agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = B.backfill_days(counts, budget=BACKFILL_BUDGET_Q)
+    rows = B.rows_of_kept_days(with_off, kept, ["source", "day"])
+    return rows.select("event_id", "source", "day", "value")
+
+
 @register(
     "session_history",
     "SELECT conv_id, count(*)::BIGINT AS n_prompts, string_agg(text, chr(10) ORDER BY turn) AS history "
@@ -630,7 +652,7 @@ def format_links(spark, d):
     f"SELECT page_id, url, {Q.host('url')} AS host FROM pages",
 )
 def url_host(spark, d):
-    return _pages(spark, d).select("page_id", "url", L.url_host("url").alias("host"))
+    return _pages(spark, d, heavy=False).select("page_id", "url", L.url_host("url").alias("host"))
 
 
 @register(
@@ -696,7 +718,7 @@ SELECT c.id AS doc_id, c.bucket, c.cnt::BIGINT AS cnt, round(c.cnt / n.norm, 6)
 FROM dv_c c JOIN dv_n n USING (id)""",
 )
 def hash_embed(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
     sp = E.sparse_weights(docs, ["doc_id"], "text", EMBED_DIM)
     return sp.select("doc_id", "bucket", "cnt", F.round("weight", 6).alias("weight"))
 
@@ -714,7 +736,7 @@ def split_short(spark, d):
 
 @register("recursive_split")
 def recursive_split(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
     sp = C.recursive_split(docs, "text", keep=["doc_id"])
     return sp.select("doc_id", _bigint("split_no").alias("split_no"), "split")
 
@@ -835,7 +857,7 @@ c AS (SELECT doc_id, sent_no, term, count(*)::BIGINT AS cnt FROM t WHERE term NO
     f"WITH {SQL_SENTENCES} SELECT doc_id, sent_no, term, cnt FROM c",
 )
 def lsa_term_weights(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
     counts = M.term_counts(M.split_sentences(docs))
     return counts.select("doc_id", _bigint("sent_no").alias("sent_no"), "term", "cnt")
 

@@ -48,9 +48,11 @@ SPREAD_KEYS = {
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A driver table.  ``heavy`` marks per-row CPU-heavy use (regexes over
+    long texts, vector products): only then may the rows be spread."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    key = SPREAD_KEYS.get(name)
+    key = SPREAD_KEYS.get(name) if heavy else None
     return spread(df, key) if key else df
 
 
