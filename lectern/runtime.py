@@ -75,9 +75,12 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
 def num_partitions(df: DataFrame) -> int:
     """Partitions the physical plan would produce (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().executedPlan().execute().getNumPartitions())
+        plan = df._jdf.queryExecution().executedPlan()
+        if plan.nodeName() != "AdaptiveSparkPlan":  # never run stages here
+            return int(plan.execute().getNumPartitions())
     except Exception:  # e.g. a remote session without the JVM handle
-        return df.rdd.getNumPartitions()
+        pass
+    return df.rdd.getNumPartitions()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

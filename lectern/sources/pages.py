@@ -21,15 +21,29 @@ def scan_pages(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Raw files as ``(url, html)``, one row per file.
+    """Raw files as ``(url, html)``, one row per file, plus any partition
+    columns of the directory layout (``key=value`` folders).
 
     ``wholetext`` keeps each file in one row; files are split across tasks
     by the file listing, so many small files read in parallel.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+    # the keyword, not .option(): text() would reset the option to False
+    df = reader.text(path, wholetext=True)
+    return df.select(
+        F.col("_metadata.file_path").alias("url"),
+        F.col("value").alias("html"),
+        *[c for c in df.columns if c != "value"],
+    )
+
+
+def land_files(df: DataFrame, path: str, key: str, body: str) -> None:
+    """Write each body as its own text file under ``path/key=<value>/``
+    (the landing layout :func:`scan_files` reads).  The text writer ends
+    every record with a newline."""
+    df.select(key, body).repartition(F.col(key)).write.mode("errorifexists").partitionBy(key).text(path)
 
 
 def _element_re(tag: str, group: bool) -> str:

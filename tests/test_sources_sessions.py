@@ -38,6 +38,19 @@ def test_pipe_csv_index_column_and_header_only(spark, tmp_path):
     assert [tuple(r) for r in back] == [("u", 'a "b"', None, "x\nURL: u")]
 
 
+def test_landed_files_read_whole(spark):
+    from lectern.sources import pages as P
+
+    rows = [(1, "<html>\n<p>a</p>\n</html>"), (2, "line one\nline two"), (3, "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    path = scratch_path(spark, "landing_test")
+    P.land_files(df, path, "page_id", "html")
+    back = P.scan_files(spark, path)
+    got = sorted((int(r["page_id"]), r["html"][:-1]) for r in back.collect())  # writer adds one newline
+    assert got == rows
+    assert all(r["url"].endswith(".txt") for r in back.collect())
+
+
 def test_missing_csv_gives_empty_table(spark, tmp_path):
     df = FS.read_pipe_csv(spark, str(tmp_path / "none" / "*.csv"))
     assert df.count() == 0 and df.columns == ["url", "titulo", "texto", "resumen"]
