@@ -114,6 +114,15 @@ def knn(
         )
 
     scanned = corpus.select(id_col, vec_col, *payload)
+    if len(blocks) > 1:
+        # Several question blocks each scan the corpus: write the corpus
+        # side (vectors possibly computed upstream) once to the shared
+        # checkpoint folder so the blocks read it instead of recomputing.
+        from ..runtime import scratch_path
+
+        path = scratch_path(spark, "knn_corpus")
+        scanned.write.parquet(path)
+        scanned = spark.read.parquet(path)
     partials = []
     for ids, mat in blocks:
         b_ids = spark.sparkContext.broadcast(ids)
