@@ -100,8 +100,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     local = tempfile.mkdtemp(prefix="lectern-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # sessions may refuse core settings at runtime
+        pass
     return local
 
 
