@@ -23,9 +23,10 @@ def spark():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from lectern.runtime import ensure_checkpoint_dir
+    from lectern.runtime import ensure_checkpoint_dir, ship_package
 
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     yield spark
 
 
