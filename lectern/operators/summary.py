@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.text import strip_ws
+from ..runtime import by_key
 from ..params import LSA_SMOOTH, STOP_WORDS_ES, SUMMARY_SENTENCES
 from .embedding import tokens
 
@@ -73,7 +74,7 @@ def scored_sentences(
     sentences).  A sentence's text rides on its first token row only.
     """
     stops = F.array(*[F.lit(w) for w in stop_words])
-    by_doc = docs.select(id_col, text_col).repartition(id_col)
+    by_doc = by_key(docs.select(id_col, text_col), id_col)
     by_doc = by_doc.withColumn("v", F.size(F.array_except(tokens(text_col), stops)))
     sents = posexplode_rows(by_doc, [id_col, "v"], sentences_of(text_col), "sent_no", "sentence").filter(
         F.col("v") > 0

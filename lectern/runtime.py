@@ -103,6 +103,19 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     return df.repartition(want, F.col(key))
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` for CPU-heavy per-key work.
+
+    The partition count is fixed (the session's shuffle partitions, and at
+    least the number of cores): AQE may coalesce a repartition without a
+    count by bytes, which would put a small but CPU-heavy input on a single
+    task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, F.col(key))
+
+
 def num_partitions(df: DataFrame) -> int:
     """Partitions the physical plan would produce (no job is run)."""
     try:
