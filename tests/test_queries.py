@@ -50,3 +50,27 @@ def test_entry_smoke(spark):
 def test_every_key_has_callable():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) >= 45
+
+
+def test_recursive_split_matches_brute_force(spark):
+    """Rows-only query checked against the splitter applied row by row on
+    the driver (small fixture), fast path included."""
+    import pandas as pd
+
+    from lectern.operators.chunking import split_text
+
+    got = {}
+    for r in QUERIES["recursive_split"](spark, SF).collect():
+        got.setdefault(r["doc_id"], []).append((r["split_no"], r["split"]))
+    docs = pd.read_parquet(os.path.join(SF, "documents.parquet"), columns=["doc_id", "text"])
+    for doc_id, text in zip(docs["doc_id"], docs["text"]):
+        expected = split_text(text)
+        assert [s for _, s in sorted(got.get(doc_id, []))] == expected, doc_id
+        assert all(len(s) <= 4000 for s in expected)
+
+
+def test_prompt_steps_chain(spark):
+    rows = {r["item_id"]: r for r in QUERIES["prompt_steps"](spark, SF).collect()}
+    for r in rows.values():
+        assert r["name"] == " ".join(f"Name a project for: {r['idea']}".split()[:6]).upper()
+        assert r["plan"] == " ".join(f"Write a plan for {r['name']}".split()[:6]).upper()
