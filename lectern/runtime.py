@@ -143,6 +143,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir must name a folder that the driver and every executor share; "
+            "a machine-local folder is chosen only in local mode"
+        )
     local = tempfile.mkdtemp(prefix="lectern-ckpt-")
     sc.setCheckpointDir(local)
     try:
@@ -153,10 +158,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path below the shared checkpoint folder."""
+    """A fresh, never reused path below the shared checkpoint folder; the
+    folder's URI scheme is kept."""
     root = ensure_checkpoint_dir(spark)
-    root = root.removeprefix("file:")
-    return os.path.join(root, "lectern", name, uuid.uuid4().hex)
+    return "/".join([root.rstrip("/"), "lectern", name, uuid.uuid4().hex])
 
 
 def broadcast_if_bounded(
