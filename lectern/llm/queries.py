@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, planes, sharding, warc
+from . import chat, decontaminate, langid, minmax, packing, pii, planes, sharding, vectors, warc
 from .common import table
 from .tokenizing import tokenizer_path
 
@@ -13,6 +13,17 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"), "answer")
+
+
 def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 by the ring with bounded loads."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
@@ -37,11 +48,27 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
 
 
+def op8_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents over two-word shingles."""
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of all documents."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
@@ -55,7 +82,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_ring_sharding, op4_bit_planes, op5_warc, op7_harmonic_packing, op10_chat)
+    for f in (
+        op1_language,
+        op2_decontamination,
+        op3_ring_sharding,
+        op4_bit_planes,
+        op5_warc,
+        op6_embedding_neighbours,
+        op7_harmonic_packing,
+        op8_minmax,
+        op9_pii,
+        op10_chat,
+    )
 }
 ORACLES: dict[str, str] = {
     "op5_warc": """
