@@ -128,7 +128,8 @@ def projection(words: DataFrame) -> np.ndarray | None:
     df = frequencies(words)
     if df is None or df[FEATURES] == 0:
         return None
-    idf = np.log((df[FEATURES] + 1) / (df[:FEATURES] + 1)).astype(np.float32)
+    # a feature of every passage keeps a little weight: a corpus may be one passage
+    idf = (np.log((df[FEATURES] + 1) / (df[:FEATURES] + 1)) + 0.1).astype(np.float32)
     sketch = RANK + OVERSAMPLE
     omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((FEATURES, sketch)))[0].astype(np.float32)
 
