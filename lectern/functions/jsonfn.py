@@ -19,9 +19,3 @@ def first_where(arr, predicate) -> Column:
     when none does (the original raised there)."""
     col = F.col(arr) if isinstance(arr, str) else arr
     return F.try_element_at(F.filter(col, predicate), F.lit(1))
-
-
-def element(arr, index: int) -> Column:
-    """1-based element, NULL when out of range."""
-    col = F.col(arr) if isinstance(arr, str) else arr
-    return F.try_element_at(col, F.lit(index))

@@ -11,19 +11,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import HTML_ENTITIES, LINK_TEMPLATE, URL_SEPARATOR, WS_CLASS
-
-# Regexes shared with the DuckDB oracle (Java and RE2 read them the same).
-RE_SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-RE_STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-RE_COMMENT = r"(?s)<!--.*?-->"
-RE_DECL = r"(?s)<![^>]*>"
-RE_PI = r"(?s)<\?.*?>"
-RE_TAG = r"(?s)</?[A-Za-z][^>]*>"
-# After entity decoding, anything that looks like a tag on one line goes.
-# (?d): "." stops only at \n, as in Python and RE2.
-RE_LEFTOVER_TAG = r"(?d)<.*?>"
-RE_EDGE_WS = rf"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
+from ..params import ENTITY_POINTS, LINK_TEMPLATE, URL_SEPARATOR, WHITE_SPACE, WS_CLASS
+
+# One-pass patterns.  None of them rescans: tags, declarations and processing
+# instructions end at the next angle bracket of either kind, and elements and
+# comments are cut at their openers (see _without).
+RE_SCRIPT = (r"(?i)<script\b[^<>]*>", r"(?is)^.*?</script\s*>")
+RE_STYLE = (r"(?i)<style\b[^<>]*>", r"(?is)^.*?</style\s*>")
+RE_DECL_PI_TAG = r"<![^<>]*>|<\?[^<>]*>|</?[A-Za-z][^<>]*>"
+# A "<" without ">" up to the line's end is taken whole and put back ($1).
+RE_LEFTOVER_TAG = r"(<[^>\n]*+(?![^\n]))|<[^>\n]*+>"
+RE_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 RE_LINK = rf'https?://[^{WS_CLASS}<>"]+|www\.[^{WS_CLASS}<>"]+'
 
 
@@ -31,33 +29,98 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _code_point(hexadecimal: Column) -> Column:
+    """The character of a code point given in hexadecimal."""
+    return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+
+
+def _entity(e: Column) -> Column:
+    """What one character reference stands for; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for name, point in sorted(ENTITY_POINTS.items()) for x in (name, chr(point))])
+    body = F.substring(e, 2, 40)
+    body = F.substring(body, F.lit(1), F.length(body) - 1)
+    digits = F.when(body.rlike("^#[xX]"), F.upper(F.substring(body, 3, 40))).when(
+        body.startswith("#"), F.hex(F.substring(body, 2, 40).cast("bigint"))
+    )
+    number = F.conv(digits, 16, 10).cast("bigint")
+    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    by_number = F.when(valid, _code_point(digits)).otherwise(F.lit("\ufffd"))
+    return F.when(body.startswith("#"), by_number).otherwise(F.coalesce(F.try_element_at(names, body), e))
+
+
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Named (HTML 4 and ``apos``) and numeric character references, decoded
+    in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+
+    def joined(found, gaps):
+        parts = F.transform(found, lambda e, i: F.concat(gaps[i], _entity(e)))
+        return F.concat(F.array_join(parts, ""), gaps[F.size(found)])
+
+    def decoded(text):
+        found = F.regexp_extract_all(text, F.lit(RE_ENTITY), F.lit(0))
+        return _let(found, lambda m: _let(F.split(text, RE_ENTITY, -1), lambda gaps: joined(m, gaps)))
+
+    return _let(_col(c), lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
+
+
+def _without(c, opener: str, closer: str, reopen: str = "") -> Column:
+    """Text without everything from an ``opener`` to the next ``closer``.
+
+    The text is cut at its openers; a piece that holds a closer goes on behind
+    it, a piece before the last such piece lies inside and goes.  Pieces after
+    it were opened and never closed: they stay, behind ``reopen``."""
+
+    def kept(pieces, closed):
+        inside = F.reverse(F.slice(closed, 2, 1 << 30))
+        last = F.when(F.array_contains(inside, True), F.size(closed) - F.array_position(inside, True)).otherwise(0)
+        return _let(
+            last,
+            lambda end: F.array_join(
+                F.transform(
+                    pieces,
+                    lambda piece, i: F.when(i == 0, piece)
+                    .when(i > end, F.concat(F.lit(reopen), piece))
+                    .when(closed[i], F.regexp_replace(piece, closer, ""))
+                    .otherwise(""),
+                ),
+                "",
+            ),
+        )
+
+    def cut(pieces):
+        return _let(F.transform(pieces, lambda piece: piece.rlike(closer)), lambda closed: kept(pieces, closed))
+
+    return _let(
+        _col(c), lambda text: F.when(text.rlike(opener), _let(F.split(text, opener, -1), cut)).otherwise(text)
+    )
 
 
 def drop_markup(c) -> Column:
     """Visible text of an HTML fragment, text nodes joined with no
     separator: scripts, styles, comments and declarations dropped, tags
-    removed, then entities decoded."""
-    out = _col(c)
-    for pattern in (RE_SCRIPT, RE_STYLE, RE_COMMENT, RE_DECL, RE_PI, RE_TAG):
-        out = F.regexp_replace(out, pattern, "")
-    return decode_entities(out)
+    removed, then character references decoded.  Time is linear in the text;
+    what follows an opener that is never closed stays."""
+    out = _without(_col(c), *RE_SCRIPT)
+    out = _without(out, *RE_STYLE)
+    out = _without(out, "<!--", r"(?s)^.*?-->", "<!--")
+    return decode_entities(F.regexp_replace(out, RE_DECL_PI_TAG, ""))
 
 
 def strip_html(c) -> Column:
     """Markup stripper: visible text, then every '[' and ']' deleted, then
     any '<...>' left on one line after decoding deleted."""
     text = F.translate(drop_markup(c), "[]", "")
-    return F.regexp_replace(text, RE_LEFTOVER_TAG, "")
+    return F.regexp_replace(text, RE_LEFTOVER_TAG, "$1")
 
 
 def strip_ws(c) -> Column:
     """Remove Unicode white space at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(_col(c), RE_EDGE_WS, "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def decorate_chunk(chunk, url) -> Column:
@@ -107,7 +170,3 @@ def fill_dollar_template(template: str, slots: dict) -> Column:
     if pos < len(template):
         parts.append(F.lit(template[pos:]))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def contains_ci(c, needle: str) -> Column:
-    return F.lower(_col(c)).contains(needle.lower())

@@ -79,7 +79,3 @@ def ordered_concat(
         *([count_col] if count_col else []),
         F.when(F.col("_n") > 0, _join_sorted(F.col("_pairs"), sep)).alias(out_col),
     )
-
-
-def row_counts(df: DataFrame, group_cols: list[str], out_col: str = "n_rows") -> DataFrame:
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out_col))

@@ -67,11 +67,12 @@ def backfill_days(
     )
 
 
-def rows_of_kept_days(rows: DataFrame, kept: DataFrame, keys: list[str], max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def rows_of_kept_days(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the kept days (whole days, never cut).  ``kept`` has one row
-    per kept (source, day); it is counted, and broadcast only when the
-    count is under the bound, otherwise joined with a shuffle."""
-    small = kept.select(*keys)
-    n = small.limit(max_broadcast_rows + 1).count()
-    side = F.broadcast(small) if n <= max_broadcast_rows else small
-    return rows.join(side, keys, "left_semi")
+    per kept (source, day); the planner picks the join by its size."""
+    return rows.join(kept.select(*keys), keys, "left_semi")
+
+
+def calendar(first: Column, last: Column) -> Column:
+    """Every day from ``first`` to ``last``, newest first."""
+    return F.reverse(F.sequence(first, last, F.expr("INTERVAL 1 DAY")))

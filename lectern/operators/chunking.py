@@ -1,7 +1,7 @@
 """Cutting text into chunks.
 
 * :func:`chunk_fixed` – fixed-length cut, one output row per chunk, built
-  from ``sequence`` + ``transform`` + ``posexplode`` (no Python).
+  by one pass of a bounded pattern + ``posexplode`` (no Python).
 * :func:`notice_rows` – chunk rows decorated with their URL, with the
   text column blanked, as in the notice table.
 * :func:`recursive_split` – separator-driven recursive splitter with
@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,10 +27,7 @@ from ..params import CHUNK_LENGTH, SPLIT_OVERLAP, SPLIT_SEPARATORS, SPLIT_SIZE
 def fixed_chunks(text: Column, length: int = CHUNK_LENGTH) -> Column:
     """Array of consecutive ``length``-code-point pieces; NULL for an empty
     or NULL text so that exploding it yields no row."""
-    starts = F.when(
-        F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(length))
-    )
-    return F.transform(starts, lambda i: text.substr(i + 1, F.lit(length)))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{length}}}"), F.lit(0)))
 
 
 def chunk_fixed(
@@ -68,76 +65,74 @@ def notice_rows(
 # --------------------------------------------------------------------------
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    """Split on a literal separator, the separator staying at the start of
-    the piece that follows it; empty pieces are dropped."""
-    if sep == "":
-        return list(text)
-    pieces = re.split("(" + re.escape(sep) + ")", text)
-    out = [pieces[0]]
-    for i in range(1, len(pieces), 2):
-        out.append(pieces[i] + (pieces[i + 1] if i + 1 < len(pieces) else ""))
-    return [p for p in out if p != ""]
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy packing of pieces into windows of at most ``size`` characters,
-    each new window starting with up to ``overlap`` characters of the tail
-    of the previous one."""
-    out: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and window:
-            joined = "".join(window).strip()
-            if joined:
-                out.append(joined)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
-                window.pop(0)
-        window.append(piece)
-        total += n
-    joined = "".join(window).strip()
-    if joined:
-        out.append(joined)
-    return out
+def _starts(text: str, lo: int, hi: int, sep: str) -> list[int]:
+    """Where the pieces of ``text[lo:hi]`` start, and ``hi``: every
+    occurrence of ``sep`` opens a piece (an empty one: every character)."""
+    if not sep:
+        return list(range(lo, hi + 1))
+    out, at = [lo], text.find(sep, lo, hi)
+    while at >= 0:
+        if at > lo:
+            out.append(at)
+        at = text.find(sep, at + len(sep), hi)
+    return [*out, hi]
+
+
+def _windows(starts: list[int], size: int, overlap: int):
+    """``(from, to)`` of the windows over neighbouring pieces: each takes the
+    pieces that fit into ``size`` and the next one begins inside its last
+    ``overlap`` characters, or later if its first new piece would not fit."""
+    first, end = 0, len(starts) - 1
+    while True:
+        last = max(first + 1, bisect_right(starts, starts[first] + size) - 1)
+        yield starts[first], starts[last]
+        if last == end:
+            return
+        first = bisect_left(starts, max(starts[last] - overlap, starts[last + 1] - size), first, last)
 
 
 def split_text(
-    text: str,
+    text: str | None,
     size: int = SPLIT_SIZE,
     overlap: int = SPLIT_OVERLAP,
     separators: tuple = SPLIT_SEPARATORS,
 ) -> list[str]:
-    """Recursive split of one text (the per-row helper of the UDF)."""
-    if text is None:
-        return []
-    chosen = separators[-1]
-    rest: tuple = ()
-    for i, sep in enumerate(separators):
-        if sep == "":
-            chosen = sep
-            break
-        if sep in text:
-            chosen = sep
-            rest = separators[i + 1 :]
-            break
+    """Recursive split of one text (the per-row helper of the UDF).
+
+    Offsets are cut at the first separator that occurs; neighbouring pieces
+    shorter than ``size`` share windows, a longer piece is split by the
+    separators that are left, or stays whole when none is."""
     out: list[str] = []
-    short: list[str] = []
-    for piece in _split_keep(text, chosen):
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        if short:
-            out.extend(_merge(short, size, overlap))
-            short = []
-        if rest:
-            out.extend(split_text(piece, size, overlap, rest))
-        else:
-            out.append(piece)
-    if short:
-        out.extend(_merge(short, size, overlap))
+
+    def emit(lo: int, hi: int) -> None:
+        if part := text[lo:hi].strip():
+            out.append(part)
+
+    def split(lo: int, hi: int, seps: tuple) -> None:
+        used = next((i for i, s in enumerate(seps) if not s or text.find(s, lo, hi) >= 0), len(seps) - 1)
+        left = seps[used + 1 :] if seps[used] else ()
+        starts = _starts(text, lo, hi, seps[used])
+        run: list[int] = []
+        for a, b in zip(starts, starts[1:]):
+            if b - a < size:
+                run = run or [a]
+                run.append(b)
+                continue
+            flush(run)
+            run = []
+            if left:
+                split(a, b, left)
+            else:
+                out.append(text[a:b])
+        flush(run)
+
+    def flush(run: list[int]) -> None:
+        if run:
+            for window in _windows(run, size, overlap):
+                emit(*window)
+
+    if text:
+        split(0, len(text), tuple(separators))
     return out
 
 

@@ -14,6 +14,7 @@ list[list[float]]`` through :func:`embed_with`, run by ``mapInPandas``.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -34,17 +35,9 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(F.lower(t), NON_TOKEN_RE), "")
 
 
-def token_buckets(text, dim: int) -> Column:
-    """Array of bucket ids, one per token, computed in the JVM."""
-    return F.transform(
-        tokens(text),
-        lambda tok: F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)),
-    )
-
-
 def bucket_of(token: str, dim: int) -> int:
     """Bucket of one token: first 32 bits of the MD5 of its UTF-8 bytes,
-    modulo ``dim`` (same value as :func:`token_buckets`)."""
+    modulo ``dim``."""
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
@@ -116,24 +109,36 @@ def sparse_weights(df: DataFrame, id_cols: list[str], text_col: str, dim: int =
     )
 
 
+def embed_texts(texts: list[str], dim: int) -> list[np.ndarray]:
+    """The default embedding of a list of texts, for :func:`embed_with`."""
+    cut = pd.Series([[t for t in re.split(r"[\W_]+", text.lower()) if t] for text in texts])
+    dense = _dense_counts(cut, dim).astype(np.float64)
+    norm = np.sqrt((dense * dense).sum(axis=1))
+    return list(np.divide(dense, norm[:, None], out=np.zeros_like(dense), where=norm[:, None] > 0))
+
+
 def embed_with(
     df: DataFrame,
     text_col: str,
-    fn: Callable[[list[str]], list[list[float]]],
+    fn: Callable[[list[str]], list],
     out_col: str = "embedding",
+    element: T.DataType | None = None,
 ) -> DataFrame:
     """Run a caller-supplied batch embedding function over ``text_col``.
 
     ``fn`` receives the texts of one Arrow batch and must return one vector
-    per text.  It runs inside the executors, batch by batch.
+    per text.  It runs inside the executors, batch by batch.  ``element`` is
+    the type of the vector's elements (float by default).
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+    element = element or T.FloatType()
+    kind = np.float64 if isinstance(element, T.DoubleType) else np.float32
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(element))])
 
     def run(batches):
         for pdf in batches:
             vecs = fn(pdf[text_col].fillna("").tolist()) if len(pdf) else []
             out = pdf.copy()
-            out[out_col] = [np.asarray(v, dtype=np.float32) for v in vecs]
+            out[out_col] = [np.asarray(v, dtype=kind) for v in vecs]
             yield out
 
     return df.mapInPandas(run, schema)

@@ -2,42 +2,37 @@
 
 Plan
 ----
-* The question side is small by nature (a batch of questions).  Its size
-  is checked with a count; questions are collected in blocks whose
-  float64 matrix stays under ``max_block_bytes`` and each block is
-  broadcast once.
-* The corpus is never shuffled: ``mapInPandas`` scans each corpus
-  partition, computes the block of distances with one matrix product per
-  Arrow sub-batch and keeps only the k best rows per question (ties broken
-  by id).  At most ``k`` rows per question leave each task.
-* A final ``row_number() <= k`` over the question id merges the partial
-  top-k lists (Spark plans a partial group limit before the exchange).
-
-Distances are compared at a resolution of 1e-9 (``round(dist, 9)``) and
-ties are broken by the corpus id, so results do not depend on the order in
-which floating-point sums are taken.
+* The questions are a bounded batch: their vectors must fit ``max_bytes``,
+  which is checked before they are collected; a larger table raises, and the
+  caller asks in batches.  The batch travels with the tasks.
+* The corpus is never shuffled and only ids and vectors reach Python.
+  ``mapInPandas`` scans each partition once and carries the k best rows per
+  question along; one matrix product per Arrow batch finds the rows that may
+  belong to them, their distances are then taken from differences, which
+  keeps the order exact at any scale.  A task yields k rows per question.
+* A ``row_number() <= k`` window over the question id merges the tasks' lists
+  (Spark plans a partial group limit before the exchange).
+
+Rows rank by distance; distances equal to nine significant digits (a relative
+tolerance, whatever the vectors' scale) count as ties and rank by id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..params import DEFAULTS, RETRIEVER_K
-
-RANK_DECIMALS = 9
+from ..params import QUESTION_BYTES, RETRIEVER_K, SEARCH_K
 
 
-def _to_matrix(series: pd.Series, dim: int | None) -> np.ndarray:
+def _to_matrix(series: pd.Series, dim: int) -> np.ndarray:
     if len(series) == 0:
-        return np.zeros((0, dim or 0), dtype=np.float64)
+        return np.zeros((0, dim))
     mat = np.stack([np.asarray(v, dtype=np.float64) for v in series])
-    if dim is not None and mat.shape[1] != dim:
+    if mat.shape[1] != dim:
         raise ValueError(f"vector of size {mat.shape[1]} where {dim} was expected")
     return mat
 
@@ -52,27 +47,52 @@ def vector_dims(df: DataFrame, vec_col: str) -> DataFrame:
     )
 
 
-def _question_blocks(questions: DataFrame, q_id: str, q_vec: str, max_block_bytes: int, dim: int | None = None):
-    """(dim, [(ids, matrix), ...]): blocks of the question table, each
-    proved small by a count before it is collected.  With a known ``dim``
-    the count does not need the vectors (they may be computed by a UDF)."""
-    if dim is None:
-        stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
-        n, dim = int(stats["n"]), int(stats["d"] or 0)
-    else:
-        n = questions.select(q_id).count()
-    if n == 0:
-        return dim, []
-    per_row = max(1, dim) * 8 + 64
-    n_blocks = max(1, math.ceil(n * per_row / max_block_bytes))
-    blocks = []
-    for b in range(n_blocks):
-        part = questions if n_blocks == 1 else questions.filter(
-            F.pmod(F.xxhash64(q_id), F.lit(n_blocks)) == b
-        )
-        pdf = part.select(q_id, q_vec).toPandas()
-        blocks.append((pdf[q_id].to_numpy(), _to_matrix(pdf[q_vec], dim)))
-    return dim, blocks
+def _batch(questions: DataFrame, q_id: str, q_vec: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of the questions, once their size is known."""
+    size = questions.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(q_vec)).alias("values")).first()
+    if (size["values"] or 0) * 8 > max_bytes:
+        raise ValueError(f"{size['n']} questions hold more than {max_bytes} bytes of vectors; ask in smaller batches")
+    pdf = questions.select(q_id, q_vec).toPandas()
+    dim = len(pdf[q_vec].iloc[0]) if len(pdf) else 0
+    return pdf[q_id].to_numpy(), _to_matrix(pdf[q_vec], dim)
+
+
+DIGITS = 9
+
+
+def _key(dist: np.ndarray) -> np.ndarray:
+    """The distance to ``DIGITS`` significant digits."""
+    scale = 10.0 ** (DIGITS - 1 - np.floor(np.log10(np.where(dist > 0, dist, 1.0))))
+    return np.rint(dist * scale) / scale
+
+
+class _Best:
+    """The k best (distance, id) of each question so far."""
+
+    def __init__(self, questions: np.ndarray, k: int):
+        self.q, self.k = questions, k
+        self.norm = np.einsum("ij,ij->i", questions, questions)
+        self.dist = [np.empty(0)] * len(questions)
+        self.ids = [np.empty(0, object)] * len(questions)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        norm = np.einsum("ij,ij->i", x, x)
+        near = self.norm[:, None] + norm[None, :] - 2.0 * (self.q @ x.T)
+        # rounding of the product, generously
+        slack = 1e-13 * x.shape[1] * (self.norm[:, None] + norm[None, :])
+        for i in range(len(self.q)):
+            upper = near[i] + slack[i]
+            bound = np.partition(upper, self.k - 1)[self.k - 1] if len(upper) > self.k else np.inf
+            if len(self.dist[i]) == self.k:
+                bound = min(bound, self.dist[i].max())
+            some = np.flatnonzero(near[i] - slack[i] <= bound * (1 + 10.0 ** (1 - DIGITS)))
+            if len(some):
+                gap = x[some] - self.q[i]
+                dist = np.concatenate((self.dist[i], np.einsum("ij,ij->i", gap, gap)))
+                both = np.concatenate((self.ids[i], ids[some]))
+                key = _key(dist)
+                order = sorted(range(len(dist)), key=lambda j: (key[j], both[j]))[: self.k]
+                self.dist[i], self.ids[i] = dist[order], both[order]
 
 
 def knn(
@@ -83,118 +103,49 @@ def knn(
     vec_col: str = "embedding",
     q_id: str = "qid",
     q_vec: str = "embedding",
-    payload: list[str] | None = None,
-    max_block_bytes: int = 64 << 20,
-    max_pairs: int = 8_000_000,
-    dim: int | None = None,
+    max_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
     """Top-``k`` corpus rows per question by squared L2 distance.
 
-    Returns ``(q_id, rank, id_col, dist, *payload)``; ``rank`` starts at 1.
-    Questions with an empty corpus get no rows; a corpus smaller than k
-    gives fewer rows.
+    Returns ``(q_id, rank, id_col, dist)``; ``rank`` starts at 1.  An empty
+    corpus gives no rows, one smaller than k fewer rows.  More columns of the
+    hits: :func:`attach_metadata`.
     """
-    payload = list(payload or [])
     spark = corpus.sparkSession
-    dim, blocks = _question_blocks(questions, q_id, q_vec, max_block_bytes, dim)
-    q_field = questions.schema[q_id]
-    id_field = corpus.schema[id_col]
-    out_schema = T.StructType(
-        [
-            T.StructField(q_id, q_field.dataType),
-            T.StructField(id_col, id_field.dataType),
-            T.StructField("dist", T.DoubleType()),
-            T.StructField("_key", T.DoubleType()),
-        ]
-        + [corpus.schema[c] for c in payload]
+    fields = [questions.schema[q_id], corpus.schema[id_col]]
+    schema = T.StructType(
+        [T.StructField(q_id, fields[0].dataType), T.StructField(id_col, fields[1].dataType), T.StructField("dist", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     )
-    if not blocks:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1)).select(
-            q_id, "rank", id_col, "dist", *payload
-        )
-
-    scanned = corpus.select(id_col, vec_col, *payload)
-    if len(blocks) > 1:
-        # Several question blocks each scan the corpus: write the corpus
-        # side (vectors possibly computed upstream) once to the shared
-        # checkpoint folder so the blocks read it instead of recomputing.
-        from ..runtime import scratch_path
-
-        path = scratch_path(spark, "knn_corpus")
-        scanned.write.parquet(path)
-        scanned = spark.read.parquet(path)
-    partials = []
-    for ids, mat in blocks:
-        b_ids = spark.sparkContext.broadcast(ids)
-        b_mat = spark.sparkContext.broadcast(mat)
-
-        def top_k(batches, b_ids=b_ids, b_mat=b_mat):
-            qids = b_ids.value
-            qm = b_mat.value
-            q_norm = np.einsum("ij,ij->i", qm, qm)
-            step = max(1, max_pairs // max(1, len(qids)))
-            for pdf in batches:
-                for lo in range(0, len(pdf), step):
-                    sub = pdf.iloc[lo : lo + step]
-                    xm = _to_matrix(sub[vec_col], dim)
-                    x_norm = np.einsum("ij,ij->i", xm, xm)
-                    d = q_norm[:, None] + x_norm[None, :] - 2.0 * (qm @ xm.T)
-                    np.maximum(d, 0.0, out=d)
-                    key = np.round(d, RANK_DECIMALS)
-                    n = xm.shape[0]
-                    if n > k:
-                        kth = np.partition(key, k - 1, axis=1)[:, k - 1]
-                        qi, xi = np.nonzero(key <= kth[:, None])
-                    else:
-                        qi, xi = np.nonzero(np.ones_like(key, dtype=bool))
-                    sub_ids = sub[id_col].to_numpy()
-                    tie = sub_ids.astype(str) if sub_ids.dtype == object else sub_ids
-                    order = np.lexsort((tie[xi], key[qi, xi], qi))
-                    qi, xi = qi[order], xi[order]
-                    first = np.searchsorted(qi, qi, side="left")
-                    keep = (np.arange(len(qi)) - first) < k
-                    qi, xi = qi[keep], xi[keep]
-                    out = pd.DataFrame(
-                        {
-                            q_id: qids[qi],
-                            id_col: sub_ids[xi],
-                            "dist": d[qi, xi],
-                            "_key": key[qi, xi],
-                        }
-                    )
-                    for c in payload:
-                        out[c] = sub[c].to_numpy()[xi]
-                    yield out
-
-        partials.append(scanned.mapInPandas(top_k, out_schema))
-
-    hits = partials[0]
-    for p in partials[1:]:
-        hits = hits.unionByName(p)
+    ids, matrix = _batch(questions, q_id, q_vec, max_bytes)
+    batch = spark.sparkContext.broadcast((ids, matrix))  # at most max_bytes
+
+    def top_k(batches):
+        qids, qm = batch.value
+        best = _Best(qm, k)
+        step = max(1, 4_000_000 // max(1, len(qids)))
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                some = pdf.iloc[lo : lo + step]
+                best.add(some[id_col].to_numpy().astype(object), _to_matrix(some[vec_col], qm.shape[1]))
+        for qid, dist, found in zip(qids, best.dist, best.ids, strict=True):
+            if len(dist):
+                yield pd.DataFrame({q_id: qid, id_col: found, "dist": dist, "_key": _key(dist)})
+
+    if len(ids):
+        hits = corpus.select(id_col, vec_col).mapInPandas(top_k, schema)
+    else:
+        hits = spark.createDataFrame([], schema)
     w = Window.partitionBy(q_id).orderBy(F.col("_key"), F.col(id_col))
-    return (
-        hits.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select(q_id, "rank", id_col, "dist", *payload)
-    )
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(q_id, "rank", id_col, "dist")
 
 
-def attach_metadata(
-    hits: DataFrame,
-    table: DataFrame,
-    id_col: str,
-    cols: list[str],
-    hits_bound: int | None = None,
-    max_broadcast_rows: int = DEFAULTS.broadcast_max_rows,
-) -> DataFrame:
-    """Look up metadata of the hits by id.
+def nearest(corpus: DataFrame, questions: DataFrame, **columns) -> DataFrame:
+    """The plain search: the single nearest row."""
+    return knn(corpus, questions, k=SEARCH_K, **columns)
 
-    The hit list has at most (questions x k) rows.  When the caller passes
-    that bound and it is under ``max_broadcast_rows``, the hits are the
-    broadcast side and the metadata table is streamed without a shuffle;
-    otherwise it is an ordinary join and the planner (with AQE) chooses.
-    """
-    meta = table.select(id_col, *cols)
-    if hits_bound is not None and hits_bound <= max_broadcast_rows:
-        return meta.join(F.broadcast(hits), id_col, "inner")
-    return meta.join(hits, id_col, "inner")
+
+def attach_metadata(hits: DataFrame, table: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+    """Look up columns of the hits by id (questions x k rows against the
+    table; the planner picks the join by their sizes)."""
+    return table.select(id_col, *cols).join(hits, id_col)

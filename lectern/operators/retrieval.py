@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from ..functions.text import fill_template
 from ..params import CONTEXT_SEPARATOR, FEWSHOT_SEPARATOR, OK_STATUS, RETRIEVER_K
 from .aggregates import ordered_concat
-from .embedding import with_hashed_embedding
-from .knn import knn
+from .knn import attach_metadata, knn
+
+# Prompt with a conversation's memory.
+HISTORY_TEMPLATE = "Conversation so far:\n{history}\n<context>\n{context}\n</context>\nQuestion: {input}"
 
 # Default prompt template: {context} receives the stuffed chunks and
 # {input} the question.  Callers pass their own template.
@@ -31,25 +33,22 @@ DEFAULT_TEMPLATE = (
 
 
 def retrieve(
-    chunks: DataFrame,
+    index: DataFrame,
     questions: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
     k: int = RETRIEVER_K,
     chunk_id: str = "chunk_id",
     chunk_text: str = "page_content",
+    chunk_vec: str = "embedding",
     q_id: str = "qid",
-    q_text: str = "question",
-    dim: int = 256,
-    chunk_vec: str | None = None,
+    q_vec: str = "qvec",
 ) -> DataFrame:
-    """Top-k chunks per question with the default embedding.  A stored
-    vector column (``chunk_vec``) is used when given."""
-    corpus = chunks if chunk_vec else with_hashed_embedding(chunks, chunk_text, "_vec", dim)
-    vec = chunk_vec or "_vec"
-    qv = with_hashed_embedding(questions.select(q_id, q_text), q_text, "_qvec", dim).select(q_id, "_qvec")
-    return knn(
-        corpus, qv, k=k, id_col=chunk_id, vec_col=vec, q_id=q_id, q_vec="_qvec", payload=[chunk_text],
-        dim=None if chunk_vec else dim,
-    )
+    """Top-k chunks per question from a saved index (``files.load_vectors``).
+
+    ``embed`` adds the ``q_vec`` column to the questions.  The search reads
+    ids and vectors; the texts are joined to the hits alone."""
+    hits = knn(index, embed(questions), k=k, id_col=chunk_id, vec_col=chunk_vec, q_id=q_id, q_vec=q_vec)
+    return attach_metadata(hits, index, chunk_id, [chunk_text])
 
 
 def stuff_context(hits: DataFrame, q_id: str = "qid", text_col: str = "page_content", sep: str = CONTEXT_SEPARATOR) -> DataFrame:

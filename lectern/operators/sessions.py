@@ -47,7 +47,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def session_messages(log: DataFrame, session_id: str | None = None, session_col: str = "session_id") -> DataFrame:
+def session_messages(log: DataFrame, session_id=None, session_col: str = "session_id") -> DataFrame:
     """Rows of one session (a column predicate, pushed to the scan) or of
     all sessions."""
     return log if session_id is None else log.filter(F.col(session_col) == F.lit(session_id))
@@ -75,12 +75,22 @@ def session_history(
     )
 
 
+TOKEN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def session_tokens(df: DataFrame, session_col: str, seed: int, length: int = TOKEN_LENGTH) -> DataFrame:
-    """Synthetic session tokens of ``length`` characters from [A-Za-z0-9].
+    """Synthetic session tokens of ``length`` (at most 32) characters from
+    [A-Za-z0-9], derived from a digest of session and seed: the same on any
+    cluster.  Real tokens come from the caller."""
+    digest = F.sha2(F.concat_ws(":", F.col(session_col).cast("string"), F.lit(str(seed))), 256)
+
+    def letter(i):
+        byte = F.conv(F.substring(F.col("_digest"), 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        return F.substring(F.lit(TOKEN_ALPHABET), byte % len(TOKEN_ALPHABET) + 1, F.lit(1))
 
-    ``randstr`` is seeded and not cryptographically secure; real tokens
-    come from the caller."""
-    return df.select(session_col).distinct().withColumn("token", F.randstr(F.lit(length), F.lit(seed)))
+    letters = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), letter)
+    sessions = df.select(session_col).distinct().withColumn("_digest", digest)
+    return sessions.select(session_col, F.array_join(letters, "").alias("token"))
 
 
 # Tool calls ---------------------------------------------------------------
@@ -97,10 +107,11 @@ def tool_calls(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     t = F.col(text_col)
     trimmed = strip_ws(t)
-    last_line = F.regexp_extract(trimmed, r"([^\n]*)$", 1)
+    last_line = F.substring_index(trimmed, "\n", -1)
     is_action = last_line.startswith(ACTION_PREFIX)
     action = F.substring(last_line, len(ACTION_PREFIX) + 1, 1 << 30)
-    pattern = r"^(.*?)\[(.*?)\]"
+    # (?d): only a line feed ends a line, and a last line has none
+    pattern = r"(?d)^([^\[]*)\[(.*?)\]"
     parsed = action.rlike(pattern)
     ok = is_action & parsed
     tool = F.when(ok, F.regexp_extract(action, pattern, 1))
@@ -115,9 +126,9 @@ def tool_calls(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def unknown_tools(calls: DataFrame, tools: DataFrame, tool_col: str = "tool") -> DataFrame:
     """Calls naming a tool missing from the registry (``Finish`` is always
-    known).  The registry is a short list, broadcast to the calls."""
+    known).  The planner picks the join by the registry's size."""
     named = calls.filter(F.col(tool_col).isNotNull() & (F.col(tool_col) != "Finish"))
-    return named.join(F.broadcast(tools.select(F.col("name").alias(tool_col))), tool_col, "left_anti")
+    return named.join(tools.select(F.col("name").alias(tool_col)), tool_col, "left_anti")
 
 
 # Feedback -----------------------------------------------------------------
@@ -131,3 +142,10 @@ def check_feedback(df: DataFrame, flag_col: str = "flag") -> DataFrame:
 def feedback_counts(df: DataFrame, flag_col: str = "flag") -> DataFrame:
     checked = check_feedback(df, flag_col)
     return checked.groupBy(flag_col, "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_feedback(df: DataFrame, path: str) -> None:
+    """Append feedback rows ``(session_id, idx, text, flag)`` whose flag is
+    accepted; the others are refused."""
+    checked = check_feedback(df).where("valid")
+    checked.select("session_id", "idx", "text", "flag").write.mode("append").parquet(path)

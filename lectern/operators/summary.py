@@ -15,8 +15,8 @@ Euclidean norm of column ``s`` of ``A``:
 
 with ``V`` the vocabulary size of the document and, for the sentence,
 ``m`` its largest term count, ``S1`` the sum and ``S2`` the sum of squares
-of its term counts.  That is a handful of aggregates: no matrix, no SVD,
-no Python.
+of its term counts.  Everything lies in the document's own row: no matrix, no
+SVD, no Python, no exchange.
 
 Sentences are maximal runs without ``. ! ?`` or newline, followed by their
 terminators, trimmed.  Terms are runs of letters and digits, lower-cased,
@@ -25,12 +25,11 @@ minus a stop-word list; no stemming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.text import strip_ws
-from ..runtime import by_key
 from ..params import LSA_SMOOTH, STOP_WORDS_ES, SUMMARY_SENTENCES
 from .embedding import tokens
 
@@ -48,12 +47,84 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return posexplode_rows(docs, [id_col], sentences_of(text_col), "sent_no", "sentence")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _terms(sentence, stop_words) -> Column:
+    """Non-stop-word terms of a sentence, sorted, so that equal ones meet."""
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    return F.array_sort(F.filter(tokens(sentence), lambda t: ~F.array_contains(stops, t)))
+
+
+def _runs(terms: Column) -> Column:
+    """``struct(term, cnt)`` of each distinct term of a sorted array."""
+
+    def counted(a):
+        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (a[i] != a[F.greatest(i - 1, F.lit(0))]))
+
+        def ends(at):
+            after = F.concat(F.slice(at, 2, 1 << 30), F.array(F.size(a)))
+            return F.zip_with(at, after, lambda lo, hi: F.struct(a[lo].alias("term"), (hi - lo).cast("bigint").alias("cnt")))
+
+        return F.when(F.size(a) > 0, _let(first, ends))
+
+    return _let(terms, counted)
+
+
 def term_counts(sentences: DataFrame, id_col: str = "doc_id", stop_words=STOP_WORDS_ES) -> DataFrame:
-    """``(id, sent_no, term, cnt)`` for non-stop-word terms."""
-    # explode first, then a native IN over a hash set (no per-token lambda)
-    terms = explode_rows(sentences, [id_col, "sent_no"], tokens("sentence"), "term")
-    terms = terms.filter(~F.col("term").isin(list(stop_words)))
-    return terms.groupBy(id_col, "sent_no", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    """``(id, sent_no, term, cnt)`` for non-stop-word terms, counted inside
+    the sentence's own row."""
+    runs = _runs(_terms(F.col("sentence"), stop_words))
+    return explode_rows(sentences, [id_col, "sent_no"], runs, "run").select(
+        id_col, "sent_no", F.col("run.term").alias("term"), F.col("run.cnt").alias("cnt")
+    )
+
+
+def _score(vocabulary: Column, terms: Column, smooth: float) -> Column:
+    """Score of a sentence from its sorted terms: one walk keeps the length
+    of the current run, the longest run (m) and the sum of squares (S2)."""
+    start = F.struct(F.lit("").alias("term"), *[F.lit(0).cast("bigint").alias(c) for c in ("run", "m", "s2")])
+
+    def step(acc, t):
+        run = F.when(t == acc["term"], acc["run"]).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(
+            t.alias("term"), (run + 1).alias("run"), F.greatest(acc["m"], run + 1).alias("m"), (acc["s2"] + 2 * run + 1).alias("s2")
+        )
+
+    a = float(smooth)
+
+    def scored(acc):
+        m = acc["m"].cast("double")
+        square = (
+            F.lit(a * a) * vocabulary.cast("double")
+            + F.lit(2 * a * (1 - a)) * F.size(terms).cast("double") / m
+            + F.lit((1 - a) * (1 - a)) * acc["s2"].cast("double") / (m * m)
+        )
+        return F.when(acc["m"] > 0, F.sqrt(square)).otherwise(F.lit(0.0))
+
+    return F.aggregate(terms, start, step, scored)
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, smooth: float, stop_words) -> DataFrame:
+    """``(id, scored)``: the document's sentences with number and score, all
+    in its own row; documents without vocabulary have none."""
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    # sentence boundaries never cut a token: the document's distinct
+    # non-stop tokens are the union over its sentences
+    rows = docs.select(
+        id_col, F.size(F.array_except(tokens(text_col), stops)).alias("v"), sentences_of(text_col).alias("sentences")
+    ).filter((F.col("v") > 0) & (F.size("sentences") > 0))
+
+    def one(sentence, i):
+        return F.struct(
+            _let(_terms(sentence, stop_words), lambda t: _score(F.col("v"), t, smooth)).alias("score"),
+            i.alias("sent_no"),
+            sentence.alias("sentence"),
+        )
+
+    return rows.select(id_col, F.transform("sentences", one).alias("scored"))
 
 
 def scored_sentences(
@@ -64,49 +135,9 @@ def scored_sentences(
     stop_words=STOP_WORDS_ES,
 ) -> DataFrame:
     """``(id, sent_no, sentence, score)`` for every sentence of documents
-    that have a vocabulary.
-
-    One lineage, no join: documents are hash-partitioned by id once (a
-    no-op when they already are), and both aggregates after that are keyed
-    by the id first, so they reuse that partitioning.  The vocabulary size
-    is read off the document row (sentence boundaries never cut a token, so
-    the document's distinct non-stop tokens are the union over its
-    sentences).  A sentence's text rides on its first token row only.
-    """
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    by_doc = by_key(docs.select(id_col, text_col), id_col)
-    by_doc = by_doc.withColumn("v", F.size(F.array_except(tokens(text_col), stops)))
-    sents = posexplode_rows(by_doc, [id_col, "v"], sentences_of(text_col), "sent_no", "sentence").filter(
-        F.col("v") > 0
-    )
-    toks = sents.select(
-        id_col, "v", "sent_no", "sentence", F.posexplode_outer(tokens("sentence")).alias("tok_no", "tok")
-    )
-    first_tok = F.col("tok_no").isNull() | (F.col("tok_no") == 0)
-    term = F.when(~F.col("tok").isin(list(stop_words)), F.col("tok"))
-    rows = toks.select(
-        id_col, "v", "sent_no", term.alias("term"), F.when(first_tok, F.col("sentence")).alias("_text")
-    ).filter(F.col("term").isNotNull() | F.col("_text").isNotNull())
-    # collect_list (hash-based object aggregate) rather than first(): a
-    # string buffer would force a sort-based aggregate over every term row
-    per_term = rows.groupBy(id_col, "v", "sent_no", "term").agg(
-        F.count("term").alias("cnt"), F.collect_list("_text").alias("_text")
-    )
-    per_sent = per_term.groupBy(id_col, "v", "sent_no").agg(
-        F.max("cnt").alias("m"),
-        F.sum("cnt").alias("s1"),
-        F.sum(F.col("cnt") * F.col("cnt")).alias("s2"),
-        F.try_element_at(F.flatten(F.collect_list("_text")), F.lit(1)).alias("sentence"),
-    )
-    a = float(smooth)
-    m = F.col("m").cast("double")
-    sq = (
-        F.lit(a * a) * F.col("v").cast("double")
-        + F.lit(2 * a * (1 - a)) * F.col("s1").cast("double") / m
-        + F.lit((1 - a) * (1 - a)) * F.col("s2").cast("double") / (m * m)
-    )
-    score = F.when(F.col("m") > 0, F.sqrt(sq)).otherwise(F.lit(0.0))
-    return per_sent.select(id_col, "sent_no", "sentence", score.alias("score"))
+    that have a vocabulary, without an exchange."""
+    rows = explode_rows(_scored(docs, id_col, text_col, smooth, stop_words), [id_col], F.col("scored"), "s")
+    return rows.select(id_col, "s.sent_no", "s.sentence", "s.score")
 
 
 def lsa_summary(
@@ -118,14 +149,16 @@ def lsa_summary(
     stop_words=STOP_WORDS_ES,
 ) -> DataFrame:
     """``(id, n_sentences, summary)``: best ``n`` sentences by score (ties:
-    earlier first), joined by newlines in text order."""
-    scored = scored_sentences(docs, id_col, text_col, smooth, stop_words)
-    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("sent_no"))
-    best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    return best.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n_sentences"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "sentence"))), lambda x: x["sentence"]),
-            "\n",
-        ).alias("summary"),
+    earlier first), joined by newlines in text order.  Map-side throughout."""
+    rows = _scored(docs, id_col, text_col, smooth, stop_words)
+    ranked = F.array_sort(
+        F.transform("scored", lambda s: F.struct((-s["score"]).alias("k"), s["sent_no"].alias("i"), s["sentence"].alias("t")))
+    )
+    best = F.slice(ranked, 1, n)
+    in_order = F.array_sort(F.transform(best, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"))))
+    out = rows.select(id_col, in_order.alias("best"))
+    return out.select(
+        id_col,
+        F.size("best").cast("bigint").alias("n_sentences"),
+        F.array_join(F.transform("best", lambda s: s["t"]), "\n").alias("summary"),
     )

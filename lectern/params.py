@@ -8,6 +8,7 @@ results to agree with the behaviour being reproduced.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from html.entities import name2codepoint
 
 # --------------------------------------------------------------------------
 # fixed values
@@ -28,9 +29,8 @@ SEARCH_K = 1
 BACKFILL_BUDGET = 10
 # Sentences kept by the extractive summary.
 SUMMARY_SENTENCES = 10
-# LSA: smoothing of term frequency and minimum number of kept dimensions.
+# LSA: smoothing of term frequency.
 LSA_SMOOTH = 0.4
-LSA_MIN_DIMENSIONS = 3
 # Separator used when retrieved chunks are stuffed into one context string.
 CONTEXT_SEPARATOR = "\n\n"
 # Separator between few-shot examples and the suffix.
@@ -55,22 +55,15 @@ DAY_SLOTS = ("anio", "mes", "dia")
 TOKEN_LENGTH = 32
 # Only documents fetched with this status carry text.
 OK_STATUS = 200
-# Link pattern wrapped by format_links (\s means any Unicode white space).
-LINK_REGEX_PY = r'https?://[^\s<>"]+|www\.[^\s<>"]+'
 LINK_TEMPLATE = '<a href="{0}" target="_blank" style="color: blue;">{0}</a>'
-# HTML entities decoded by the markup stripper; "&amp;" is always last so
-# an escaped entity such as "&amp;lt;" decodes to the literal "&lt;".
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+
+# --------------------------------------------------------------------------
+# own values
+# --------------------------------------------------------------------------
+
+# Named character references: the HTML 4 table of the standard library, and
+# "apos".
+ENTITY_POINTS = {**name2codepoint, "apos": 0x27}
 # Short Spanish stop-word list for the LSA summary (no stemming).
 STOP_WORDS_ES = (
     "a al algo algunas algunos ante antes como con contra cual cuando de del "
@@ -88,6 +81,10 @@ WS_CLASS = (
     r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# Vectors of one batch of questions hold at most so many bytes.
+QUESTION_BYTES = 64 << 20
+# The same characters, to trim with.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @dataclass(frozen=True)
@@ -100,10 +97,6 @@ class Defaults:
     budget: int = BACKFILL_BUDGET
     sentences: int = SUMMARY_SENTENCES
     embed_dim: int = 256
-    # Broadcast limits: a side is broadcast only when a cheap count proves
-    # it under these bounds; otherwise the shuffle path is taken.
-    broadcast_max_rows: int = 2_000_000
-    broadcast_max_bytes: int = 64 << 20
     extra: dict = field(default_factory=dict)
 
 

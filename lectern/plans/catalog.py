@@ -13,7 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import jsonfn as J
 from ..functions import links as L
 from ..functions import text as X
 from ..operators import aggregates as A
@@ -24,7 +26,18 @@ from ..operators import knn as K
 from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..operators import summary as M
-from ..params import CHUNK_LENGTH, LSA_SMOOTH, STOP_WORDS_ES, SUMMARY_SENTENCES
+from ..params import (
+    BULLETIN_SEGMENT,
+    CHUNK_LENGTH,
+    CMD_AGENT,
+    CMD_HISTORY,
+    CMD_RESET,
+    FEEDBACK_FLAGS,
+    LSA_SMOOTH,
+    NOTICE_XML_PATH,
+    STOP_WORDS_ES,
+    SUMMARY_SENTENCES,
+)
 from ..runtime import read_table, scratch_path
 from ..sources import files as FS
 from ..sources import pages as P
@@ -48,8 +61,8 @@ def register(name: str, sql: str | None = None):
 # Parameters of the registered queries ------------------------------------
 
 DAY_SOURCES = [
-    ("gazette_a", "https://gazette-a.example/dias/$anio/$mes/$dia/index.php?s=2B"),
-    ("gazette_b", "https://gazette-b.example/boletin.do?fechaBoletin=$dia/$mes/$anio"),
+    ("north", "https://north.example/archive?y=$anio&m=$mes&d=$dia"),
+    ("south", "https://south.example/$dia-$mes-$anio/contents"),
 ]
 BACKFILL_BUDGET_Q = 300
 LINK_TEXT_Q = "de"
@@ -135,7 +148,8 @@ def scan_pages(spark, d):
     )
 
 
-_DAYS_SQL = "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events"
+_DAYS_SQL = """SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS DATE) AS day
+  FROM events"""
 _day_url_sql = " UNION ALL ".join(
     f"SELECT {Q.lit(name)} AS source, day, day_offset, "
     f"replace(replace(replace({Q.lit(tpl)}, '$anio', CAST(year(day) AS VARCHAR)), "
@@ -151,8 +165,10 @@ o AS (SELECT day, CAST(date_diff('day', day, m) AS BIGINT) AS day_offset FROM d,
 {_day_url_sql}""",
 )
 def day_urls(spark, d):
-    events = read_table(spark, d, "events").select("ts")
-    days = B.day_offsets(events, "ts").select("day", _bigint("day_offset").alias("day_offset")).distinct()
+    span = read_table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
+    # every calendar day, those without rows included
+    days = span.select("hi", F.explode(B.calendar(F.col("lo"), F.col("hi"))).alias("day"))
+    days = days.select("day", _bigint(F.datediff("hi", "day")).alias("day_offset"))
     return B.day_urls(days, DAY_SOURCES).select("source", "day", "day_offset", "url")
 
 
@@ -184,8 +200,6 @@ def xml_notice_fields(spark, d):
     "SELECT doc_id, text, lang, source, n_chars FROM documents",
 )
 def csv_roundtrip(spark, d):
-    from pyspark.sql import types as T
-
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     path = scratch_path(spark, "csv_roundtrip")
     FS.write_pipe_csv(docs, path, mode="errorifexists")
@@ -201,16 +215,71 @@ def csv_roundtrip(spark, d):
     return FS.read_pipe_csv(spark, path, schema)
 
 
+@register(
+    "daily_csv",
+    f"""WITH c AS ({SQL_CHUNKS}),
+r AS (SELECT page_id % 2 AS source, url, nullif(titulo, '') AS titulo, {Q.decorate('chunk', 'url')} AS resumen FROM c)
+SELECT url, titulo, CAST(NULL AS VARCHAR) AS texto, resumen FROM r
+UNION ALL SELECT url, titulo, NULL, resumen FROM r WHERE source = 0""",
+)
+def daily_csv(spark, d):
+    """Files of two sources over several days, written once and read in one
+    go; a folder named twice counts twice, one that is missing not at all."""
+    rows = _notice_rows(spark, d)
+    source = F.when(F.pmod("page_id", F.lit(2)) == 0, F.lit("north")).otherwise(F.lit("south"))
+    day = F.date_add(F.lit("2024-02-27").cast("date"), F.pmod("page_id", F.lit(5)).cast("int"))
+    path = scratch_path(spark, "daily_csv")
+    rows = rows.select("url", "titulo", "texto", "resumen", source.alias("source"), day.alias("day"))
+    FS.write_pipe_csv(rows, path, partition_by=["source", "day"], mode="errorifexists")
+    folders = [f"{path}/source={name}" for name in ("north", "south", "east", "north")]
+    return FS.read_pipe_csv(spark, folders).select("url", "titulo", "texto", "resumen")
+
+
+@register(
+    "json_encode",
+    """SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' AS json
+FROM documents WHERE lang IS NOT NULL""",
+)
+def json_encode(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", "n_chars").where(F.col("lang").isNotNull())
+    return FS.to_json_text(docs, ["doc_id", "lang", "n_chars"]).select("doc_id", "json")
+
+
+@register(
+    "json_nested",
+    """WITH e AS (SELECT event_id, value, unnest([0, 1, 2, 3]) AS k, ts FROM events),
+f AS (SELECT event_id, k, value + k AS temp, ts + to_hours(CAST(k * 3 AS INTEGER)) AS moment FROM e)
+SELECT o.event_id, CASE WHEN n.moment IS NOT NULL THEN strftime(n.moment, '%Y-%m-%d %H:%M') END AS moment, n.temp,
+  'sky ' || n.k AS sky
+FROM events o LEFT JOIN (SELECT event_id, min({'moment': moment, 'temp': temp, 'k': k}) AS n FROM f WHERE hour(moment) BETWEEN 12 AND 14
+  GROUP BY event_id) USING (event_id)""",
+)
+def json_nested(spark, d):
+    """Nested arrays in a JSON body: the first entry at noon of a forecast of
+    four entries, three hours apart."""
+    ev = read_table(spark, d, "events").select("event_id", "ts", "value")
+
+    def entry(k):
+        at = F.date_format(F.col("ts") + F.expr(f"INTERVAL {3 * k} HOUR"), "yyyy-MM-dd HH:mm")
+        sky = F.array(F.struct(F.lit(f"sky {k}").alias("description")))
+        return F.struct(at.alias("at"), F.struct((F.col("value") + k).alias("temp")).alias("main"), sky.alias("weather"))
+
+    body = F.to_json(F.struct(F.array(*[entry(k) for k in range(4)]).alias("list")))
+    schema = "list array<struct<at string, main struct<temp double>, weather array<struct<description string>>>>"
+    parsed = ev.select("event_id", J.parse(body, schema).alias("body"))
+    noon = J.first_where("body.list", lambda x: F.substring(x["at"], 12, 2).isin("12", "13", "14"))
+    found = parsed.select("event_id", noon.alias("n"))
+    return found.select("event_id", F.col("n.at").alias("moment"), "n.main.temp", F.try_element_at("n.weather", F.lit(1))["description"].alias("sky"))
+
+
 @register(
     "metadata_json",
     f"""WITH t AS ({SQL_PAGE_TEXT})
-SELECT page_id, url, titulo AS title, substring(texto, 1, {CHUNK_LENGTH}) AS text_resume FROM t""",
+SELECT page_id, url, titulo AS title, texto AS text_resume FROM t""",
 )
 def metadata_json(spark, d):
-    from pyspark.sql import types as T
-
     recs = _page_text(spark, d).select(
-        "page_id", "url", F.col("titulo").alias("title"), F.substring("texto", 1, CHUNK_LENGTH).alias("text_resume")
+        "page_id", "url", F.col("titulo").alias("title"), F.col("texto").alias("text_resume")
     )
     path = scratch_path(spark, "metadata_json")
     FS.write_json_records(recs, path, mode="errorifexists")
@@ -297,7 +366,7 @@ def strip_html(spark, d):
     "link_filter_exact",
     f"""WITH l AS ({SQL_LINKS})
 SELECT page_id, link_no, href, 'https://' || {Q.host('url')} || href AS abs_url,
-  {Q.replace_path("'https://' || " + Q.host('url') + " || href", "diario_boe/xml.php")} AS xml_url
+  {Q.replace_path("'https://' || " + Q.host('url') + " || href", NOTICE_XML_PATH)} AS xml_url
 FROM l WHERE anchor_text = {Q.lit(LINK_TEXT_Q)}""",
 )
 def link_filter_exact(spark, d):
@@ -312,7 +381,7 @@ def link_filter_exact(spark, d):
 @register(
     "link_filter_regex",
     f"""WITH l AS ({SQL_LINKS})
-SELECT page_id, link_no, anchor, {Q.rewrite_segments(Q.host('url'), 'href', 'boletines')} AS bulletin_url
+SELECT page_id, link_no, anchor, {Q.rewrite_segments(Q.host('url'), 'href', BULLETIN_SEGMENT)} AS bulletin_url
 FROM l WHERE regexp_matches(anchor, {Q.lit(LINK_PATTERN_Q)})""",
 )
 def link_filter_regex(spark, d):
@@ -341,17 +410,17 @@ def _messages(spark, d):
     return _derive_messages(conv)
 
 
-SQL_MESSAGES = """SELECT conv_id, turn, chr(160) || ' ' || (CASE turn % 4
-    WHEN 1 THEN '@RESETEAR_SESION ' || text
-    WHEN 2 THEN text || ' @Ver_Historial'
-    WHEN 3 THEN 'Usa el agente para ' || text
+SQL_MESSAGES = f"""SELECT conv_id, turn, chr(160) || ' ' || (CASE turn % 4
+    WHEN 1 THEN {Q.lit(CMD_RESET.upper() + ' ')} || text
+    WHEN 2 THEN text || {Q.lit(' ' + CMD_HISTORY.upper())}
+    WHEN 3 THEN {Q.lit(CMD_AGENT.capitalize() + ' ')} || text
     ELSE text END) || chr(10) || chr(9) AS text FROM conversations"""
 
 SQL_ROUTED = f"""WITH m AS ({SQL_MESSAGES}), c AS (SELECT conv_id, turn, {Q.strip_ws('text')} AS clean_text FROM m)
 SELECT conv_id, turn, CASE
-  WHEN contains(lower(clean_text), '@resetear_sesion') THEN 'reset'
-  WHEN contains(lower(clean_text), '@ver_historial') THEN 'history'
-  WHEN contains(lower(clean_text), 'usa el agente para') THEN 'agent'
+  WHEN contains(lower(clean_text), {Q.lit(CMD_RESET)}) THEN 'reset'
+  WHEN contains(lower(clean_text), {Q.lit(CMD_HISTORY)}) THEN 'history'
+  WHEN contains(lower(clean_text), {Q.lit(CMD_AGENT)}) THEN 'agent'
   ELSE 'retrieve' END AS route, clean_text FROM c"""
 ORACLES["route_messages"] = SQL_ROUTED
 
@@ -380,47 +449,60 @@ def array_filter_first(spark, d):
 # 2.3 Joins / 2.6 top-k -------------------------------------------------------
 
 
+SQL_LABEL_MEANS = """m AS (SELECT label, i, round(avg(v), 6) AS v FROM (
+    SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL),
+q AS (SELECT label AS qid, list(v ORDER BY i) AS qvec FROM m GROUP BY label)"""
+
+
+def _significant(x: str) -> str:
+    """``x`` to nine significant digits."""
+    return f"CASE WHEN {x} > 0 THEN round({x}, CAST(8 - floor(log10({x})) AS INTEGER)) ELSE 0 END"
+
+
 def _knn_sql(k: int, with_label: bool = False) -> str:
     label = ", c.label::BIGINT AS label" if with_label else ""
     label_out = ", label" if with_label else ""
-    return f"""WITH p AS (
-  SELECT q.vec_id AS qid, c.vec_id{label},
-    list_sum(list_transform(range(len(q.embedding)), lambda i:
-      (q.embedding[i + 1]::DOUBLE - c.embedding[i + 1]::DOUBLE) * (q.embedding[i + 1]::DOUBLE - c.embedding[i + 1]::DOUBLE))) AS d
-  FROM embeddings q, embeddings c),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS rank FROM p)
-SELECT qid, CAST(rank AS BIGINT) AS rank, vec_id, round(greatest(d, 0.0), 6) AS dist{label_out} FROM r WHERE rank <= {k}"""
+    return f"""WITH {SQL_LABEL_MEANS}, p AS (
+  SELECT q.qid::BIGINT AS qid, c.vec_id{label},
+    list_sum(list_transform(range(len(q.qvec)), lambda i:
+      (q.qvec[i + 1] - c.embedding[i + 1]::DOUBLE) * (q.qvec[i + 1] - c.embedding[i + 1]::DOUBLE))) AS d
+  FROM q, embeddings c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_significant('d')}, vec_id) AS rank FROM p)
+SELECT qid, CAST(rank AS BIGINT) AS rank, vec_id, round(d, 6) AS dist{label_out} FROM r WHERE rank <= {k}"""
 
 
-def _knn_embeddings(spark, d, k: int):
-    emb = read_table(spark, d, "embeddings", heavy=True)
-    questions = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    hits = K.knn(emb.select("vec_id", "embedding"), questions, k=k, id_col="vec_id", vec_col="embedding", q_id="qid", q_vec="qvec")
-    return hits, emb
+def _label_means(emb):
+    """The mean vector of each label, from every row: a handful of questions."""
+    parts = emb.select(_bigint("label").alias("qid"), F.posexplode("embedding").alias("i", "v"))
+    means = parts.groupBy("qid", "i").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))
+    vectors = means.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("parts"))
+    return vectors.select("qid", F.transform("parts", lambda x: x["v"]).alias("qvec"))
 
 
 def _knn_out(hits):
     return hits.select("qid", _bigint("rank").alias("rank"), "vec_id", F.round("dist", 6).alias("dist"))
 
 
+_KNN_COLUMNS = {"id_col": "vec_id", "vec_col": "embedding", "q_id": "qid", "q_vec": "qvec"}
+
+
 @register("knn_l2", _knn_sql(4))
 def knn_l2(spark, d):
-    hits, _ = _knn_embeddings(spark, d, 4)
-    return _knn_out(hits)
+    emb = read_table(spark, d, "embeddings", heavy=True)
+    return _knn_out(K.knn(emb, _label_means(emb), k=4, **_KNN_COLUMNS))
 
 
 @register("knn_top1", _knn_sql(1))
 def knn_top1(spark, d):
-    hits, _ = _knn_embeddings(spark, d, 1)
-    return _knn_out(hits)
+    emb = read_table(spark, d, "embeddings", heavy=True)
+    return _knn_out(K.nearest(emb, _label_means(emb), **_KNN_COLUMNS))
 
 
 @register("knn_with_metadata", _knn_sql(4, with_label=True))
 def knn_with_metadata(spark, d):
-    hits, emb = _knn_embeddings(spark, d, 4)
-    n_questions = emb.count()  # the questions are the table's rows
-    meta = read_table(spark, d, "embeddings")
-    joined = K.attach_metadata(_knn_out(hits), meta, "vec_id", ["label"], hits_bound=n_questions * 4)
+    emb = read_table(spark, d, "embeddings", heavy=True)
+    hits = _knn_out(K.knn(emb, _label_means(emb), k=4, **_KNN_COLUMNS))
+    joined = K.attach_metadata(hits, read_table(spark, d, "embeddings"), "vec_id", ["label"])
     return joined.select("qid", "rank", "vec_id", "dist", _bigint("label").alias("label"))
 
 
@@ -446,12 +528,22 @@ def vector_head(spark, d):
 # Retrieval over page chunks ------------------------------------------------
 
 
-def _chunk_corpus(spark, d):
+def _embed(df, text_col, out_col):
+    """The index's embedding, as a caller would supply one."""
+    return E.embed_with(df, text_col, lambda texts: E.embed_texts(texts, EMBED_DIM), out_col, T.DoubleType())
+
+
+def _index(spark, d):
+    """Notices -> chunks -> splits -> vectors, saved and loaded again."""
     rows = _notice_rows(spark, d)
-    return rows.select(
-        F.concat_ws(":", F.col("page_id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"),
-        F.col("resumen").alias("page_content"),
-    )
+    splits = C.recursive_split(rows, "resumen", keep=["page_id", "chunk_no"], out_col="page_content")
+    chunk_id = F.concat_ws(":", *[F.col(c).cast("string") for c in ("page_id", "chunk_no", "split_no")])
+    vectors = _embed(splits.select(chunk_id.alias("chunk_id"), "page_content"), "page_content", "embedding")
+    return FS.load_vectors(spark, FS.save_vectors(vectors, scratch_path(spark, "index"), "1"))
+
+
+def _retrieved(spark, d):
+    return R.retrieve(_index(spark, d), _questions(spark, d), lambda q: _embed(q, "question", "qvec"), k=K_RAG)
 
 
 def _questions(spark, d):
@@ -459,8 +551,7 @@ def _questions(spark, d):
 
 
 def _rag_context(spark, d):
-    hits = R.retrieve(_chunk_corpus(spark, d), _questions(spark, d), k=K_RAG, dim=EMBED_DIM)
-    return R.stuff_context(hits)
+    return R.stuff_context(_retrieved(spark, d))
 
 
 def _sparse_sql(src: str, id_expr: str, text_expr: str, name: str) -> str:
@@ -471,7 +562,8 @@ def _sparse_sql(src: str, id_expr: str, text_expr: str, name: str) -> str:
 {name}_q AS (SELECT id, sum(w * w) AS ss FROM {name}_w GROUP BY id)"""
 
 
-SQL_RAG_CONTEXT = f"""WITH ch AS (SELECT page_id || ':' || chunk_no AS chunk_id, {Q.decorate('chunk', 'url')} AS page_content FROM ({SQL_CHUNKS})),
+SQL_RAG_HITS = f"""WITH ch AS (SELECT page_id || ':' || chunk_no || ':0' AS chunk_id, {Q.strip_ws(Q.decorate('chunk', 'url'))} AS page_content
+  FROM ({SQL_CHUNKS})),
 qs AS (SELECT item_id AS qid, text AS question FROM benchmark),
 {_sparse_sql('ch', 'chunk_id', 'page_content', 'cv')},
 {_sparse_sql('qs', 'qid', 'question', 'qv')},
@@ -483,9 +575,18 @@ pairs AS (
   LEFT JOIN qv_q qq ON qq.id = qs.qid
   LEFT JOIN cv_q cc ON cc.id = ch.chunk_id
   LEFT JOIN dots ON dots.qid = qs.qid AND dots.chunk_id = ch.chunk_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), chunk_id) AS rank FROM pairs)
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_significant('d')}, chunk_id) AS rank FROM pairs)
+SELECT qid, CAST(rank AS BIGINT) AS rank, chunk_id, round(d, 6) AS dist, page_content FROM r WHERE rank <= {K_RAG}"""
+
+SQL_RAG_CONTEXT = f"""WITH hits AS ({SQL_RAG_HITS})
 SELECT qid, count(*)::BIGINT AS n_hits, string_agg(page_content, chr(10) || chr(10) ORDER BY rank) AS context
-FROM r WHERE rank <= {K_RAG} GROUP BY qid"""
+FROM hits GROUP BY qid"""
+
+
+@register("index_search", SQL_RAG_HITS)
+def index_search(spark, d):
+    hits = _retrieved(spark, d)
+    return hits.select("qid", _bigint("rank").alias("rank"), "chunk_id", F.round("dist", 6).alias("dist"), "page_content")
 
 
 @register("rag_context", SQL_RAG_CONTEXT)
@@ -519,6 +620,60 @@ def rag_prompt(spark, d):
     return prompts.select("qid", "prompt")
 
 
+SQL_HISTORY = """SELECT conv_id, count(*)::BIGINT AS n_prompts, string_agg(text, chr(10) ORDER BY turn) AS history
+FROM conversations GROUP BY conv_id"""
+
+
+@register(
+    "rag_prompt_history",
+    f"""WITH ctx AS ({SQL_RAG_CONTEXT}), h AS ({SQL_HISTORY})
+SELECT b.item_id AS qid, {_template_sql(R.HISTORY_TEMPLATE, {'history': 'h.history', 'context': 'ctx.context', 'input': 'b.text'})} AS prompt
+FROM benchmark b LEFT JOIN ctx ON ctx.qid = b.item_id LEFT JOIN h ON h.conv_id = b.item_id // 2""",
+)
+def rag_prompt_history(spark, d):
+    """Prompts that carry the memory of the session the question is asked in
+    (two questions a session)."""
+    questions = _questions(spark, d).withColumn("conv_id", F.floor(F.col("qid") / 2))
+    log = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    history = S.session_history(log, "conv_id", "turn", "text", bucket_width=4)
+    prompts = R.build_prompts(
+        questions, _rag_context(spark, d), template=R.HISTORY_TEMPLATE, history=history, session_col="conv_id"
+    )
+    return prompts.select("qid", "prompt")
+
+
+def _answer(prompts):
+    """A stand-in for the caller's model that uses the whole prompt."""
+    return [f"{len(p)} characters: {p}" for p in prompts]
+
+
+@register(
+    "chat_log",
+    """WITH q AS (SELECT item_id // 2 AS session_id, item_id * 2 AS seq, text AS prompt FROM benchmark)
+SELECT session_id, seq, prompt, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS turn_no FROM (
+  SELECT * FROM q UNION ALL SELECT session_id, seq + 1, length(prompt) || ' characters: ' || prompt FROM q)""",
+)
+def chat_log(spark, d):
+    """Questions and their answers appended to the session log, read back
+    with their turn numbers."""
+    asked = _questions(spark, d).select(
+        F.floor(F.col("qid") / 2).alias("session_id"), (F.col("qid") * 2).alias("seq"), F.col("question").alias("prompt")
+    )
+    answered = R.generate(asked, "prompt", _answer, "answer")
+    path = scratch_path(spark, "chat_log")
+    S.append_log(asked, path)
+    S.append_log(answered.select("session_id", (F.col("seq") + 1).alias("seq"), F.col("answer").alias("prompt")), path)
+    numbered = S.number_turns(S.read_log(spark, path), "session_id", "seq", "seq")
+    return numbered.select("session_id", "seq", "prompt", _bigint("turn_no").alias("turn_no"))
+
+
+@register("one_session", "SELECT conv_id, turn, text FROM conversations WHERE conv_id = 3")
+def one_session(spark, d):
+    """One session's messages; the predicate reaches the scan."""
+    log = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return S.session_messages(log, 3, "conv_id")
+
+
 @register(
     "fewshot_prompt",
     f"""SELECT item_id, {Q.lit(FEWSHOT_HEAD)} || {_template_sql(FEWSHOT_SUFFIX, {'input': 'text'})} AS prompt FROM benchmark""",
@@ -582,8 +737,7 @@ def backfill_rows(spark, d):
 
 @register(
     "session_history",
-    "SELECT conv_id, count(*)::BIGINT AS n_prompts, string_agg(text, chr(10) ORDER BY turn) AS history "
-    "FROM conversations GROUP BY conv_id",
+    SQL_HISTORY,
 )
 def session_history(spark, d):
     log = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
@@ -665,7 +819,7 @@ def extract_links(spark, d):
 
 @register(
     "rewrite_path",
-    f"SELECT page_id, link_no, {Q.replace_path(chr(39) + 'https://' + chr(39) + ' || ' + Q.host('url') + ' || href', 'diario_boe/xml.php')} AS xml_url FROM ({SQL_LINKS})",
+    f"SELECT page_id, link_no, {Q.replace_path(chr(39) + 'https://' + chr(39) + ' || ' + Q.host('url') + ' || href', NOTICE_XML_PATH)} AS xml_url FROM ({SQL_LINKS})",
 )
 def rewrite_path(spark, d):
     links = _links(spark, d)
@@ -675,7 +829,7 @@ def rewrite_path(spark, d):
 
 @register(
     "rewrite_segments",
-    f"SELECT page_id, link_no, {Q.rewrite_segments(Q.host('url'), 'href', 'boletines')} AS bulletin_url FROM ({SQL_LINKS})",
+    f"SELECT page_id, link_no, {Q.rewrite_segments(Q.host('url'), 'href', BULLETIN_SEGMENT)} AS bulletin_url FROM ({SQL_LINKS})",
 )
 def rewrite_segments(spark, d):
     links = _links(spark, d)
@@ -753,15 +907,15 @@ def _transcripts(spark, d):
     )
     close = F.when(F.pmod("turn", F.lit(5)) == 4, F.lit(")")).otherwise(F.lit("]"))
     text = F.concat(
-        F.lit("Thought: "), F.substring("text", 1, 30), F.lit("\nAction: "), tool, F.lit('["'),
-        F.substring("text", 1, 20), F.lit('"'), close,
+        F.lit("Thought: "), "text", F.lit("\nAction: "), tool, F.lit('["'),
+        F.translate("text", "\n", " "), F.lit('"\r'), close,
     )
     return conv.select("conv_id", "turn", text.alias("text"))
 
 
-SQL_TRANSCRIPTS = """SELECT conv_id, turn, 'Thought: ' || substring(text, 1, 30) || chr(10) || 'Action: ' ||
+SQL_TRANSCRIPTS = """SELECT conv_id, turn, 'Thought: ' || text || chr(10) || 'Action: ' ||
   (CASE conv_id % 3 WHEN 0 THEN 'ObtenerTexto' WHEN 1 THEN 'Buscar' ELSE 'Finish' END) || '["' ||
-  substring(text, 1, 20) || '"' || (CASE WHEN turn % 5 = 4 THEN ')' ELSE ']' END) AS text FROM conversations"""
+  translate(text, chr(10), ' ') || '"' || chr(13) || (CASE WHEN turn % 5 = 4 THEN ')' ELSE ']' END) AS text FROM conversations"""
 
 SQL_TOOL_CALLS = f"""WITH t AS ({SQL_TRANSCRIPTS}),
 l AS (SELECT conv_id, turn, regexp_extract({Q.strip_ws('text')}, '([^\\n]*)$', 1) AS last_line FROM t),
@@ -791,23 +945,39 @@ def unknown_tools(spark, d):
     return S.unknown_tools(calls, registry).select("conv_id", "turn", "tool")
 
 
+_flag_list = ", ".join(Q.lit(f) for f in FEEDBACK_FLAGS)
+SQL_FLAGGED = f"""SELECT conv_id AS session_id, turn AS idx, text, ([{_flag_list}, 'Otro'])[turn % 4 + 1] AS flag FROM conversations"""
+
+
+def _flagged(spark, d):
+    conv = read_table(spark, d, "conversations")
+    flags = F.array(*[F.lit(f) for f in (*FEEDBACK_FLAGS, "Otro")])
+    flag = flags[F.pmod("turn", F.lit(4)).cast("int")]
+    return conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "text", flag.alias("flag"))
+
+
+@register("feedback_rows", f"SELECT * FROM ({SQL_FLAGGED}) WHERE flag IN ({_flag_list})")
+def feedback_rows(spark, d):
+    """Feedback stored with its text; unknown flags are refused."""
+    path = scratch_path(spark, "feedback")
+    S.store_feedback(_flagged(spark, d), path)
+    return spark.read.parquet(path)
+
+
 @register(
-    "feedback_rows",
-    """WITH f AS (SELECT CASE turn % 4 WHEN 0 THEN 'Incorrecto' WHEN 1 THEN 'Irrelevante' WHEN 2 THEN 'Ofensivo'
-  ELSE 'Otro' END AS flag FROM conversations)
-SELECT flag, flag IN ('Incorrecto', 'Irrelevante', 'Ofensivo') AS valid, count(*)::BIGINT AS n FROM f GROUP BY ALL""",
+    "feedback_counts",
+    f"SELECT flag, flag IN ({_flag_list}) AS valid, count(*)::BIGINT AS n FROM ({SQL_FLAGGED}) GROUP BY ALL",
 )
-def feedback_rows(spark, d):
-    conv = read_table(spark, d, "conversations").select("turn")
-    m = F.pmod("turn", F.lit(4))
-    flag = (
-        F.when(m == 0, F.lit("Incorrecto")).when(m == 1, F.lit("Irrelevante")).when(m == 2, F.lit("Ofensivo"))
-        .otherwise(F.lit("Otro"))
-    )
-    return S.feedback_counts(conv.select(flag.alias("flag")))
+def feedback_counts(spark, d):
+    return S.feedback_counts(_flagged(spark, d))
 
 
-@register("session_tokens")
+@register(
+    "session_tokens",
+    f"""SELECT conv_id, array_to_string(list_transform(range(32), lambda i: substr({Q.lit(S.TOKEN_ALPHABET)},
+  ('0x' || substr(h, 2 * i + 1, 2))::INTEGER % 62 + 1, 1)), '') AS token
+FROM (SELECT DISTINCT conv_id, sha256(conv_id || ':{SEED}') AS h FROM conversations)""",
+)
 def session_tokens(spark, d):
     conv = read_table(spark, d, "conversations").select("conv_id")
     return S.session_tokens(conv, "conv_id", SEED)
@@ -827,18 +997,20 @@ def session_append(spark, d):
     return S.read_log(spark, path)
 
 
-@register("prompt_steps")
+@register(
+    "prompt_steps",
+    """WITH a AS (SELECT item_id, text AS idea, 'Name a project for: ' || text AS p FROM benchmark),
+b AS (SELECT item_id, idea, length(p) || ' characters: ' || p AS name FROM a),
+c AS (SELECT *, 'Write a plan for ' || name AS p FROM b)
+SELECT item_id, idea, name, length(p) || ' characters: ' || p AS plan FROM c""",
+)
 def prompt_steps(spark, d):
     qs = read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("idea"))
-
-    def generator(prompts):
-        return [" ".join(p.split()[:6]).upper() for p in prompts]
-
     steps = [
         ("Name a project for: {idea}", "idea", "name"),
         ("Write a plan for {name}", "name", "plan"),
     ]
-    return R.prompt_steps(qs, steps, generator).select("item_id", "idea", "name", "plan")
+    return R.prompt_steps(qs, steps, _answer).select("item_id", "idea", "name", "plan")
 
 
 # Summary ----------------------------------------------------------------------
@@ -877,7 +1049,7 @@ FROM r WHERE rn <= {SUMMARY_SENTENCES} GROUP BY doc_id"""
 
 @register("lsa_summary", SQL_LSA)
 def lsa_summary(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
     out = M.lsa_summary(docs)
     return out.select("doc_id", _bigint("n_sentences").alias("n_sentences"), "summary")
 
@@ -887,7 +1059,7 @@ def lsa_summary(spark, d):
 
 @register(
     "stream_chunks",
-    f"SELECT page_id, chunk_no, url, '' AS texto, {Q.decorate('chunk', 'url')} AS resumen FROM ({SQL_CHUNKS})",
+    f"SELECT page_id, chunk_no, url, titulo, '' AS texto, {Q.decorate('chunk', 'url')} AS resumen FROM ({SQL_CHUNKS})",
 )
 def stream_chunks(spark, d):
     schema = spark.read.parquet(os.path.join(d, "pages.parquet")).select("page_id", "url", "html").schema
@@ -895,7 +1067,7 @@ def stream_chunks(spark, d):
     ckpt = scratch_path(spark, "stream_chunks_ckpt")
     ST.stream_notice_chunks(spark, _landing(d, "pages"), schema, sink, ckpt)
     out = spark.read.parquet(sink)
-    return out.select("page_id", _bigint("chunk_no").alias("chunk_no"), "url", "texto", "resumen")
+    return out.select("page_id", _bigint("chunk_no").alias("chunk_no"), "url", "titulo", "texto", "resumen")
 
 
 def _landing(d: str, table: str) -> str:
@@ -908,8 +1080,6 @@ def _landing(d: str, table: str) -> str:
     "WHERE route NOT IN ('reset', 'history')",
 )
 def stream_session_log(spark, d):
-    from pyspark.sql import types as T
-
     schema = T.StructType(
         [T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("text", T.StringType())]
     )
@@ -923,9 +1093,9 @@ def _derive_messages(df: DataFrame) -> DataFrame:
     t = F.col("text")
     m = F.pmod(F.col("turn"), F.lit(4))
     text = (
-        F.when(m == 1, F.concat(F.lit("@RESETEAR_SESION "), t))
-        .when(m == 2, F.concat(t, F.lit(" @Ver_Historial")))
-        .when(m == 3, F.concat(F.lit("Usa el agente para "), t))
+        F.when(m == 1, F.concat(F.lit(CMD_RESET.upper() + " "), t))
+        .when(m == 2, F.concat(t, F.lit(" " + CMD_HISTORY.upper())))
+        .when(m == 3, F.concat(F.lit(CMD_AGENT.capitalize() + " "), t))
         .otherwise(t)
     )
     return df.select("conv_id", "turn", F.concat(F.lit("  "), text, F.lit("\n\t")).alias("text"))

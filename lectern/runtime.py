@@ -1,4 +1,4 @@
-"""Session, table access, shared scratch paths and size-checked broadcast."""
+"""Session, table access and shared scratch paths."""
 
 from __future__ import annotations
 
@@ -9,14 +9,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .params import DEFAULTS
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
+# Partitions that CPU-heavy tables are spread over; unset or 0: as they are
+# scanned.  A file of one row group cannot be split, so a small table of long
+# texts is one task; a session over such files may set this to its cores.  It
+# is a plain setting: nothing looks at sizes.
+SPREAD_SETTING = "spark.lectern.spread"
+
+# Id column of each table with CPU-heavy rows (text or vectors).
+SPREAD_KEYS = {
+    "documents": "doc_id",
+    "pages": "page_id",
+    "embeddings": "vec_id",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench.  On a cluster, use the cluster's own
     session; nothing here is required by the operators."""
@@ -33,6 +45,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(64 << 20))
+        .config(SPREAD_SETTING, "0" if cores == "*" else str(cores))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,14 +54,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-# Id column of each table with CPU-heavy rows (text or vectors).
-SPREAD_KEYS = {
-    "documents": "doc_id",
-    "pages": "page_id",
-    "embeddings": "vec_id",
-}
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -81,50 +86,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """A driver table.  ``heavy`` marks per-row CPU-heavy use (regexes over
-    long texts, vector products): only then may the rows be spread."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    key = SPREAD_KEYS.get(name) if heavy else None
-    return spread(df, key) if key else df
-
-
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Make sure per-row heavy work can use every core.
-
-    A scan has one task per file split; a file written as one row group
-    cannot be split, so a small table of long texts would be processed by
-    one task.  Only when the scan yields fewer partitions than the cluster
-    has cores are the rows hash-partitioned by ``key`` (hash, not
-    round-robin, so no sort is needed to make retries deterministic).  On
-    a large input the scan already has many splits and nothing is added.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if num_partitions(df) >= want:
-        return df
-    return df.repartition(want, F.col(key))
-
-
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` for CPU-heavy per-key work.
-
-    The partition count is fixed (the session's shuffle partitions, and at
-    least the number of cores): AQE may coalesce a repartition without a
-    count by bytes, which would put a small but CPU-heavy input on a single
-    task.
-    """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, F.col(key))
-
-
-def num_partitions(df: DataFrame) -> int:
-    """Partitions the physical plan would produce (no job is run)."""
-    try:
-        plan = df._jdf.queryExecution().executedPlan()
-        if plan.nodeName() != "AdaptiveSparkPlan":  # never run stages here
-            return int(plan.execute().getNumPartitions())
-    except Exception:  # e.g. a remote session without the JVM handle
-        pass
-    return df.rdd.getNumPartitions()
+    long texts): such rows are spread where the session asks for it."""
+    df = spark.read.parquet("/".join([sf_dir.rstrip("/"), f"{name}.parquet"]))
+    n = int(spark.conf.get(SPREAD_SETTING, "0"))
+    # hash, not round-robin: no sort is needed to make retries deterministic
+    return df.repartition(n, F.col(SPREAD_KEYS[name])) if heavy and n else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -162,19 +128,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder's URI scheme is kept."""
     root = ensure_checkpoint_dir(spark)
     return "/".join([root.rstrip("/"), "lectern", name, uuid.uuid4().hex])
-
-
-def broadcast_if_bounded(
-    df: DataFrame,
-    max_rows: int = DEFAULTS.broadcast_max_rows,
-) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when a count proves it small.
-
-    Returns the (possibly hinted) frame and whether the hint was applied.
-    Beyond the bound the frame is returned unchanged and the planner
-    (with AQE) picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False

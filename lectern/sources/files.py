@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,19 +61,30 @@ def read_pipe_csv(
     index_column: bool = False,
 ) -> DataFrame:
     """Every CSV under ``paths`` (a glob, a directory or a list), as one bag:
-    repeated files give repeated rows.  ``index_column`` accepts files
-    whose first, unnamed column is a row index; it is dropped.  No file at
-    all gives an empty table rather than an error."""
+    a path given twice gives its rows twice, a path without files gives none.
+    ``index_column`` accepts files whose first, unnamed column is a row
+    index; it is dropped."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     read_schema = schema
     if index_column:
         read_schema = T.StructType([T.StructField("_c0", T.StringType())] + schema.fields)
-    try:
-        df = spark.read.schema(read_schema).options(**_CSV_OPTIONS).csv(paths)
-    except Exception as exc:  # no matching path
-        if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
+    # folders of several sources and days in one scan, whatever their layout
+    reader = spark.read.schema(read_schema).options(**_CSV_OPTIONS, recursiveFileLookup="true")
+
+    def exists(path: str) -> bool:
+        try:
+            reader.csv(path)  # lists the files, reads none
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    times = Counter(paths)
+    times = {p: n for p, n in times.items() if exists(p)}
+    # one scan of every path that is there, and one more for each repetition
+    scans = [reader.csv([p for p, n in times.items() if n > k]) for k in range(max(times.values(), default=0))]
+    df = reduce(DataFrame.unionAll, scans) if scans else spark.createDataFrame([], read_schema)
     return df.drop("_c0") if index_column else df
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.text import strip_html
 from ..operators.chunking import notice_rows
 from ..operators.sessions import loggable, route_messages
+from ..sources.pages import first_element_text
 
 
 def _file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
@@ -44,10 +45,12 @@ def stream_notice_chunks(
     checkpoint: str,
     max_files: int = 16,
 ) -> None:
-    """landing pages (page_id, url, html) -> chunk rows appended at ``sink``."""
+    """landing pages (page_id, url, html) -> chunk rows, title included,
+    appended at ``sink``: the batch plan's rows."""
     pages = _file_stream(spark, landing, schema, max_files)
-    text = pages.select("page_id", "url", strip_html("html").alias("texto"))
-    rows = notice_rows(text, "texto", "url", keep=["page_id", "url"])
+    title = first_element_text("html", "title")
+    text = pages.select("page_id", "url", title.alias("titulo"), strip_html("html").alias("texto"))
+    rows = notice_rows(text, "texto", "url", keep=["page_id", "url", "titulo"])
     query = (
         rows.writeStream.format("parquet")
         .option("path", sink)
@@ -73,8 +76,8 @@ def stream_session_log(
 ) -> None:
     """Messages -> routed -> storable ones appended to the session log.
 
-    ``foreachBatch`` writes each micro-batch with a plain append; the batch
-    id is recorded with the rows so a replayed batch can be recognised.
+    ``foreachBatch`` writes each micro-batch into its own ``batch_id=``
+    folder and overwrites that folder, so a replayed batch replaces itself.
     """
     messages = _file_stream(spark, landing, schema, max_files)
     if derive is not None:
@@ -82,18 +85,10 @@ def stream_session_log(
     routed = route_messages(messages, text_col)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            loggable(batch)
-            .select(
-                F.col(session_col).alias("session_id"),
-                F.col(seq_col).alias("seq"),
-                F.col("clean_text").alias("prompt"),
-                F.col("route"),
-                F.lit(batch_id).cast("bigint").alias("batch_id"),
-            )
-            .write.mode("append")
-            .parquet(log_path)
+        rows = loggable(batch).select(
+            F.col(session_col).alias("session_id"), F.col(seq_col).alias("seq"), F.col("clean_text").alias("prompt"), "route"
         )
+        write_log_batch(rows, log_path, batch_id)
 
     query = (
         routed.writeStream.foreachBatch(write)
@@ -102,3 +97,8 @@ def stream_session_log(
         .start()
     )
     query.awaitTermination()
+
+
+def write_log_batch(rows: DataFrame, log_path: str, batch_id: int) -> None:
+    """One micro-batch of the log; writing it again changes nothing."""
+    rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")

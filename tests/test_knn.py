@@ -41,13 +41,45 @@ def test_ties_broken_by_id_and_short_corpus(spark):
     assert sorted(round(h["dist"], 6) for h in hits) == [0.0, 0.0, 2.0]
 
 
-def test_question_blocks_give_same_result(spark):
-    rng = np.random.default_rng(3)
-    corpus = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
-    questions = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(30)]
-    one, _ = _run(spark, corpus, questions, 3)
-    many, _ = _run(spark, corpus, questions, 3, max_block_bytes=200, max_pairs=50)
-    assert one == many
+def test_too_large_a_batch_of_questions_raises(spark):
+    corpus = [(1, [0.0, 1.0])]
+    with pytest.raises(ValueError, match="smaller batches"):
+        _run(spark, corpus, [(i, [0.0, 0.0]) for i in range(9)], 1, max_bytes=100)
+
+
+def test_order_holds_at_small_scales(spark):
+    corpus = [(i, [(10 - i) * 1e-6, 0.0]) for i in range(1, 6)]
+    got, _ = _run(spark, corpus, [(1, [0.0, 0.0])], 2)
+    assert got == {1: [5, 4]}
+
+
+def test_order_holds_far_from_the_origin(spark):
+    corpus = [(i, [1e6 + i / 8, -1e6]) for i in range(9)]
+    got, _ = _run(spark, corpus, [(1, [1e6 + 0.5, -1e6])], 3)
+    assert got == {1: [4, 3, 5]}
+
+
+def test_a_task_yields_k_rows_a_question(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(30_000)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [0.0, 0.0])], "qid long, embedding array<double>")
+    hits = K.knn(corpus, q, k=2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan
+    seen = []
+    best = K._Best(np.zeros((1, 2)), 2)
+    for lo in range(0, 30_000, 10_000):
+        part = rows[lo : lo + 10_000]
+        best.add(np.array([i for i, _ in part], object), np.array([v for _, v in part]))
+        seen.append(len(best.ids[0]))
+    assert seen == [2, 2, 2]
+    assert [r["id"] for r in hits.orderBy("rank").collect()] == sorted(range(30_000), key=lambda i: sum(x * x for x in rows[i][1]))[:2]
+
+
+def test_empty_sides(spark):
+    assert _run(spark, [(1, [0.0])], [], 2)[0] == {}
+    assert _run(spark, [], [(1, [0.0])], 2)[0] == {}
 
 
 def test_dimension_mismatch_raises(spark):

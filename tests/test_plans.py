@@ -9,7 +9,7 @@ import __spark_entry__ as entry_mod
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables missing")
-QUERIES = entry_mod.queries()
+QUERIES = {k: f for k, f in entry_mod.queries().items() if not k.startswith("op") and k != "pipeline"}
 
 
 def _plan(spark, name):
@@ -23,20 +23,27 @@ def test_no_nested_loop_or_cartesian_join(spark):
         assert "CartesianProduct" not in plan, name
 
 
-def test_knn_never_shuffles_corpus_by_question(spark):
+def test_knn_never_shuffles_corpus(spark):
     plan = _plan(spark, "knn_l2")
     assert "MapInPandas" in plan
-    # the only shuffles: the optional spread of the scan and the top-k merge
-    # on the question id, with a partial group limit before it
-    shuffles = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
-    assert set(shuffles) <= {"qid", "vec_id"}
+    # the only shuffle of the search is the top-k merge on the question id,
+    # with a partial group limit before it
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"qid"}
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_lsa_summary_single_exchange(spark):
-    plan = _plan(spark, "lsa_summary")
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "SortAggregate" not in plan
+@pytest.mark.parametrize("name", ["lsa_summary", "lsa_term_weights", "strip_html", "chunk_text", "tool_calls", "hash_embed"])
+def test_row_wise_queries_have_no_exchange(spark, name):
+    assert "Exchange" not in _plan(spark, name)
+
+
+def test_unknown_tools_leaves_the_join_to_the_planner(spark):
+    logical = QUERIES["unknown_tools"](spark, SF)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
+
+
+def test_one_session_is_a_pushed_filter(spark):
+    assert re.search(r"PushedFilters: \[.*EqualTo\(conv_id,3\)", _plan(spark, "one_session"))
 
 
 def test_history_spreads_hot_sessions(spark):
@@ -49,19 +56,3 @@ def test_scans_read_only_needed_columns(spark):
     assert re.search(r"ReadSchema: struct<page_id:bigint,url:string>", plan)
     plan = _plan(spark, "json_extract")
     assert re.search(r"ReadSchema: struct<event_id:bigint,props:string>", plan)
-
-
-def test_knn_blocks_read_written_corpus(spark):
-    from pyspark.sql import functions as F
-
-    from lectern.operators import knn as K
-
-    emb = spark.read.parquet(os.path.join(SF, "embeddings.parquet"))
-    q = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    one = K.knn(emb, q, k=2, id_col="vec_id", q_id="qid", q_vec="qv")
-    many = K.knn(emb, q, k=2, id_col="vec_id", q_id="qid", q_vec="qv", max_block_bytes=4000)
-    # same hits; distances agree to the 1e-9 resolution used for ranking
-    # (matrix products of different shapes may differ in the last bit)
-    a = sorted((r["qid"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in one.collect())
-    b = sorted((r["qid"], r["rank"], r["vec_id"], round(r["dist"], 9)) for r in many.collect())
-    assert a == b

@@ -56,6 +56,14 @@ def test_missing_csv_gives_empty_table(spark, tmp_path):
     assert df.count() == 0 and df.columns == ["url", "titulo", "texto", "resumen"]
 
 
+def test_missing_paths_leave_the_others_and_repeats_count(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(f"url|titulo|texto|resumen\n{name}|t||r\n", encoding="utf-8")
+    good, other = str(tmp_path / "a.csv"), str(tmp_path / "b.csv")
+    rows = FS.read_pipe_csv(spark, [good, str(tmp_path / "missing.csv"), other, good]).collect()
+    assert sorted(r["url"] for r in rows) == ["a", "a", "b"]
+
+
 def test_json_array_metadata_file(spark, tmp_path):
     recs = [{"url": "https://x.example/a|b", "title": "Administración", "text_resume": "ñ"}] * 2
     (tmp_path / "metadata.json").write_text(json.dumps(recs, ensure_ascii=False), encoding="utf-8")
@@ -118,6 +126,9 @@ def test_tool_call_parsing(spark):
         'Action: Buscar["a", "b"]',
         'Action: Buscar["a")',
         "Observation: nada",
+        'Action: A["x\ry"]',
+        'Action: A["x\u2028y\x85"]',
+        "first\nAction: A[x][z] \n \n",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "step int, text string")
     out = S.tool_calls(df).orderBy("step").collect()
@@ -128,10 +139,13 @@ def test_tool_call_parsing(spark):
         ("Buscar", '"a", "b"', False),
         (None, None, False),
         (None, None, False),
+        ("A", '"x\ry"', False),
+        ("A", '"x\u2028y\x85"', False),
+        ("A", "x", False),
     ]
     registry = spark.createDataFrame([("ObtenerTexto",), ("Buscar",)], "name string")
     unknown = [r["tool"] for r in S.unknown_tools(S.tool_calls(df), registry).collect()]
-    assert unknown == ["Desconocida"]
+    assert sorted(unknown) == ["A", "A", "A", "Desconocida"]
 
 
 def test_feedback_flags(spark):
@@ -146,6 +160,52 @@ def test_session_tokens_shape(spark):
     assert len(toks) == 20 and all(len(t) == 32 and t.isalnum() and t.isascii() for t in toks)
 
 
+def test_session_tokens_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "s int")
+    runs = [dict(map(tuple, S.session_tokens(df.repartition(n), "s", 7).collect())) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(set(runs[0].values())) == 50
+
+
+def test_feedback_is_stored_with_its_text(spark):
+    rows = [("s", 1, "a\nb", "Ofensivo"), ("s", 2, "c", "otro"), ("s", 3, None, None)]
+    path = scratch_path(spark, "feedback_test")
+    S.store_feedback(spark.createDataFrame(rows, "session_id string, idx int, text string, flag string"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == rows[:1]
+
+
+def test_a_replayed_log_batch_leaves_no_duplicate(spark):
+    from lectern.streaming.ingest import write_log_batch
+
+    path = scratch_path(spark, "log_test")
+    rows = spark.createDataFrame([("s", 1, "p", "agent")], "session_id string, seq int, prompt string, route string")
+    for batch in (0, 1, 1, 0):
+        write_log_batch(rows, path, batch)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_turns_are_numbered_by_time_then_sequence(spark):
+    log = spark.createDataFrame([("a", 5, 1), ("a", 4, 9), ("a", 5, 0), ("b", 1, 1)], "s string, ts int, seq int")
+    out = {(r["s"], r["ts"], r["seq"]): r["turn_no"] for r in S.number_turns(log, "s", "ts", "seq").collect()}
+    assert out == {("a", 4, 9): 1, ("a", 5, 0): 2, ("a", 5, 1): 3, ("b", 1, 1): 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from lectern.runtime import ensure_checkpoint_dir
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
 def test_forecast_noon_entry(spark):
     payload = {
         "list": [

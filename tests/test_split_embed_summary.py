@@ -6,7 +6,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators import chunking as C
 from lectern.operators import embedding as E
@@ -54,12 +54,19 @@ def test_recursive_split_fast_and_slow_paths(spark):
     assert 3 not in by_id and 4 not in by_id
 
 
-def test_bucket_matches_jvm_and_known_value(spark):
+def test_bucket_known_value_and_hook_equals_the_native_form(spark):
     assert E.bucket_of("hola", 256) == 33
-    words = ["hola", "año", "ß", "12", "été"]
-    df = spark.createDataFrame([(" ".join(words),)], "t string")
-    jvm = df.select(E.token_buckets("t", 256).alias("b")).first()["b"]
-    assert jvm == [E.bucket_of(w, 256) for w in words]
+    df = spark.createDataFrame([("Hola, hola año_ß 12 été",), ("",), ("...",)], "t string")
+    both = E.with_hashed_embedding(df, "t", "a", 64)
+    both = E.embed_with(both, "t", lambda texts: E.embed_texts(texts, 64), "b", T.DoubleType())
+    for r in both.collect():
+        assert np.allclose(r["a"], r["b"], atol=0)
+
+
+def test_embed_with_gives_every_text_its_vector(spark):
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(50)], "id int, t string").repartition(3)
+    out = E.embed_with(df, "t", lambda texts: [[len(t), 1.0] for t in texts])
+    assert {r["id"]: r["embedding"] for r in out.collect()} == {i: [float(i), 1.0] for i in range(50)}
 
 
 def test_embedding_normalised_and_empty(spark):
@@ -71,29 +78,15 @@ def test_embedding_normalised_and_empty(spark):
     assert not np.any(rows[2]) and not np.any(rows[3])
 
 
-def _lsa_reference(text, n, smooth=0.4):
-    """The published method, computed with an explicit SVD."""
-    sents = [s.strip() for s in re.findall(r"[^.!?\n]+[.!?]*", text)]
-    sents = [s for s in sents if s]
-    words = [[w for w in re.split(r"[^\w]+|_", s.lower()) if w and w not in STOP_WORDS_ES] for s in sents]
-    vocab = sorted({w for ws in words for w in ws})
-    if not vocab:
-        return []
-    a = np.zeros((len(vocab), len(sents)))
-    index = {w: i for i, w in enumerate(vocab)}
-    for j, ws in enumerate(words):
-        for w in ws:
-            a[index[w], j] += 1
-    mx = a.max(axis=0)
-    for j in range(a.shape[1]):
-        if mx[j] != 0:
-            a[:, j] = smooth + (1 - smooth) * a[:, j] / mx[j]
-    _, sigma, vt = np.linalg.svd(a, full_matrices=False)
-    dims = max(3, len(sigma))
-    power = [s**2 if i < dims else 0.0 for i, s in enumerate(sigma)]
-    ranks = [math.sqrt(sum(p * v**2 for p, v in zip(power, col))) for col in vt.T]
-    order = sorted(range(len(sents)), key=lambda i: -ranks[i])[:n]
-    return [sents[i] for i in sorted(order)], ranks
+def _svd_scores(text, smooth=0.4):
+    """Sentences, and their scores by an explicit SVD of the smoothed matrix."""
+    sentences = [s.strip() for s in re.findall(r"[^.!?\n]+[.!?]*", text) if s.strip()]
+    words = [[w for w in re.findall(r"[^\W_]+", s.lower()) if w not in STOP_WORDS_ES] for s in sentences]
+    counts = np.array([[ws.count(t) for ws in words] for t in sorted(set(sum(words, [])))], float)
+    top = counts.max(0)
+    a = np.where(top > 0, smooth + (1 - smooth) * counts / np.maximum(top, 1), 0)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    return sentences, np.linalg.norm(s[:, None] * vt, axis=0)
 
 
 def test_lsa_score_equals_svd(spark):
@@ -104,7 +97,8 @@ def test_lsa_score_equals_svd(spark):
     )
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     scored = M.scored_sentences(docs).orderBy("sent_no").collect()
-    expected_summary, ranks = _lsa_reference(text, 3)
+    sentences, ranks = _svd_scores(text)
+    expected_summary = [sentences[i] for i in sorted(np.argsort(-ranks, kind="stable")[:3])]
     assert np.allclose([r["score"] for r in scored], ranks, rtol=1e-9, atol=1e-12)
     got = M.lsa_summary(docs, n=3).first()["summary"].split("\n")
     assert got == expected_summary
@@ -118,3 +112,10 @@ def test_lsa_summary_invariants(spark):
     lines = out[1]["summary"].split("\n")
     assert len(lines) == 2 and all(line in text for line in lines)
     assert text.index(lines[0]) < text.index(lines[1])
+
+
+def test_long_sentence_of_equal_terms_is_fast(spark):
+    docs = spark.createDataFrame([(1, "palabra otra " * 20_000)], "doc_id int, text string")
+    assert M.scored_sentences(docs).count() == 1
+    got = {r["term"]: r["cnt"] for r in M.term_counts(M.split_sentences(docs)).collect()}
+    assert got == {"palabra": 20_000}  # "otra" is a stop word

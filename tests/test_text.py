@@ -1,5 +1,9 @@
 """Markup stripping, white space, links, chunking and templates."""
 
+import re
+import time
+from html.parser import HTMLParser
+
 from conftest import one_col
 from pyspark.sql import functions as F
 
@@ -32,11 +36,74 @@ def test_strip_ws_unicode(spark):
     assert out == ["hi", "x y", "", "", ""]
 
 
-def test_format_links_docstring_example(spark):
-    out = _apply(spark, X.format_links, ["Visita https://www.example.com para más información."])
+class _Text(HTMLParser):
+    """Text outside scripts and styles, references decoded by the parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out += data
+
+
+def test_references_and_markup_equal_an_html_parser(spark):
+    cases = [
+        "Administraci&oacute;n &#241; &#xE1; &euro; &ntilde;&Ntilde;",
+        "a &amp;lt; b &amp;amp; c &unknown; &#0; &#xD800; & &; &#; x",
+        "<p title='a b'>uno</p><SCRIPT type=x>var a = '<p>';</SCRIPT >dos<style>p{}</style>",
+        "<!-- <!-- a --> b <!-- c\nd -->e",
+        "t&uacute; &iquest;qu&eacute;? &#8364;&#x1F600; &apos;&quot;",
+    ]
+    want = []
+    for c in cases:
+        parser = _Text()
+        parser.feed(c)
+        parser.close()
+        want.append(parser.out)
+    assert _apply(spark, X.drop_markup, cases) == want
+
+
+def test_unclosed_openers_keep_their_text(spark):
+    cases = ["a <!-- b", "a<script>b", "x <!-- y --> z <!-- w", "<b", "1 < 2"]
+    assert _apply(spark, X.drop_markup, cases) == ["a <!-- b", "ab", "x  z <!-- w", "<b", "1 < 2"]
+
+
+def test_leftover_tags_equal_the_lazy_pattern(spark):
+    cases = ["a <b> c", "< b <c> d", "<<<<", "a < b\nc > d", "<>x<\r>", "x <y", "<a<b\n<c>"]
+    assert [re.sub("<.*?>", "", c) for c in cases] == [
+        r for r in _apply(spark, lambda c: F.regexp_replace(c, X.RE_LEFTOVER_TAG, "$1"), cases)
+    ]
+
+
+def test_hostile_texts_take_linear_time(spark):
+    texts = ["<!--" * 50_000, "<a " * 50_000, "<script>" * 30_000, "<" * 100_000, "a" + " " * 200_000 + "b", "&" * 100_000]
+    start = time.time()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    rows = df.select("i", X.strip_html("v").alias("h"), F.length(X.strip_ws("v")).alias("n")).collect()
+    assert len(rows) == len(texts) and time.time() - start < 20
+    assert {r["i"]: r["n"] for r in rows}[4] == 200_002
+    start = time.time()
+    long = spark.createDataFrame([("x" * 2_000_000,)], "t string")
+    assert C.chunk_fixed(long, "t").count() == -(-2_000_000 // 512) and time.time() - start < 20
+
+
+def test_strip_equals_python(spark):
+    cases = [c + "x y" + c for c in map(chr, range(0x3001)) if c.isspace()] + ["", " ", "\u200bx", "x"]
+    assert _apply(spark, X.strip_ws, cases) == [c.strip() for c in cases]
+
+
+def test_format_links_wraps_a_link(spark):
+    out = _apply(spark, X.format_links, ["See https://a.example/x?y=1 there."])
     assert out == [
-        'Visita <a href="https://www.example.com" target="_blank" style="color: blue;">'
-        "https://www.example.com</a> para más información."
+        'See <a href="https://a.example/x?y=1" target="_blank" style="color: blue;">https://a.example/x?y=1</a> there.'
     ]
 
 
