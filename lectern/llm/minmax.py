@@ -13,8 +13,12 @@ Candidates are confirmed on full shingle sets, without all pairs of a group:
    confirmed links give components.
 3. In a bucket whose classes still lie in several components, the classes
    outside the smallest one's component are compared with the bucket's
-   classes of other components.  Then every pair of a bucket has been
-   confirmed, refused, or lies in one component.
+   classes of other components.  Pairs whose sets differ too much by their
+   parity sketches never leave the join: each set's sketch holds, in
+   ``SKETCH_BITS`` bits, the parity of the shingles that fall on a bit, so the
+   bits in which two sketches differ are at most the shingles in which the sets
+   differ (the published bitmap filter; an exact bound).  Then every pair of a
+   bucket has been confirmed, refused, or lies in one component.
 
 A comparison streams: the task holds one leader's set at a time and the
 others pass by; leaders with many others are dealt to several tasks.
@@ -32,6 +36,7 @@ PERMUTATIONS = 64
 PER_BAND = 2
 BANDS = PERMUTATIONS // PER_BAND
 SEED = 20240711
+SKETCH_BITS = 1024
 #: Others of one leader compared by one task at a time.
 AT_ONCE = 1024
 
@@ -78,12 +83,20 @@ def bands_of(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNATURE_SCHEMA = "doc_id long, text_hash long, n_shingles long, print1 long, print2 long, bands array<long>"
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The parity of the shingles on each of ``SKETCH_BITS`` bits, as longs."""
+    odd = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SIGNATURE_SCHEMA = (
+    "doc_id long, text_hash long, n_shingles long, print1 long, print2 long, bands array<long>, sketch array<long>"
+)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: set size, a 128-bit print of the set, band keys (none for
-    sets under four shingles, which reach 0.8 only by being equal)."""
+    """Per row: set size, a 128-bit print of the set, band keys and sketch
+    (none for sets under four shingles, which reach 0.8 only by being equal)."""
 
     def sign(batches):
         def each(rows):
@@ -91,8 +104,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(r["text"], width)
                 p1 = int(_mix(s, _K1).sum(dtype=np.uint64).view(np.int64))
                 p2 = int(_mix(s ^ _K1, _K2).sum(dtype=np.uint64).view(np.int64))
-                bands = bands_of(s).tolist() if len(s) >= 4 else []
-                yield r["doc_id"], r["text_hash"], len(s), p1, p2, bands
+                bands, sketch = (bands_of(s).tolist(), sketch_of(s).tolist()) if len(s) >= 4 else ([], [])
+                yield r["doc_id"], r["text_hash"], len(s), p1, p2, bands, sketch
 
         yield from batches_of(each, arrow_schema(SIGNATURE_SCHEMA), 1024)(batches)
 
@@ -160,8 +173,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # equal sets meet before the shuffle, so a set of a third of all rows is a row a task
     classes = written(
         linkable.groupBy(*print_)
-        .agg(F.min_by(F.struct("doc_id", "text_hash", "bands"), F.struct("doc_id", "text_hash")).alias("m"))
-        .select(F.col("m.doc_id").alias("id"), F.col("m.text_hash").alias("text_hash"), *print_, F.col("m.bands").alias("bands")),
+        .agg(F.min_by(F.struct("doc_id", "text_hash", "bands", "sketch"), F.struct("doc_id", "text_hash")).alias("m"))
+        .select(F.col("m.doc_id").alias("id"), "m.text_hash", *print_, "m.bands", "m.sketch"),
         "classes",
     )
     members = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -186,11 +199,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     head = labels.select(F.col("id").alias("a"), F.col("component").alias("lead_component"))
     named = named.join(head, "a", "left").withColumn("lead_component", F.coalesce("lead_component", "a"))
     named = written(named.select("key", "a", "id", "n", "component", "lead_component"), "named")
-    minor = named.where("component <> lead_component").select(
-        "key", F.col("id").alias("m_id"), F.col("n").alias("m"), F.col("component").alias("m_component")
-    )
+    unsettled = named.where("component <> lead_component").select("key").distinct()
     # a leader has met all of its bucket already
-    cross = named.where("id <> a").join(minor, "key").where((F.col("component") != F.col("m_component")) & fits)
+    rest = named.where("id <> a").join(unsettled, "key", "left_semi")
+    rest = written(rest.join(classes.select("id", "sketch"), "id"), "unsettled")
+    minor = rest.where("component <> lead_component").select(
+        "key",
+        F.col("id").alias("m_id"),
+        F.col("n").alias("m"),
+        F.col("component").alias("m_component"),
+        F.col("sketch").alias("m_sketch"),
+    )
+    differing = " + ".join(f"bit_count(sketch[{i}] ^ m_sketch[{i}])" for i in range(SKETCH_BITS // 64))
+    close = F.expr(f"({100 + percent}) * ({differing}) <= ({100 - percent}) * (n + m)")
+    cross = rest.join(minor, "key").where((F.col("component") != F.col("m_component")) & fits & close)
     cross = cross.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b")).distinct()
     cross = written(cross.join(star, ["a", "b"], "left_anti"), "pairs")
     more = written(confirmed(cross, texts, width, percent), "links")

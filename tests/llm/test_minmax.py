@@ -121,3 +121,25 @@ def test_min_max_bands_meet_as_promised():
         b = np.concatenate((both, rng.integers(0, 1 << 63, 10, dtype=np.uint64)))
         met += (minmax.bands_of(a) == minmax.bands_of(b)).sum()
     assert abs(met / 200 / minmax.BANDS - 0.8**4) < 0.04
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(1)
+    for n in (4, 50, 3000):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a = np.concatenate((both, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)))
+        b = np.concatenate((both, rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)))
+        bits = (minmax.sketch_of(a) ^ minmax.sketch_of(b)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in bits) <= n // 4 + n // 3
+
+
+def test_many_outliers_of_one_group_are_settled(spark):
+    rng = random.Random(9)
+    base = words(rng, 90)
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 4, 6, 8, 12, 20))):
+            w[rng.randrange(90)] = f"q{rng.randrange(10**7)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows, 2)
