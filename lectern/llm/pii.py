@@ -220,10 +220,10 @@ def disclosing_terms(
     and term) that give their entity away."""
     pairs = suspects.groupBy("entity", "term").agg(F.count("*").alias("df_pair"), F.count_distinct("context").alias("seen"))
     pairs = pairs.where(F.col("seen") >= contexts)
-    total = docs.agg(F.count("*").cast("double").alias("n"))
+    total = docs.agg(F.count("*").cast("double")).scalar()
     per_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
     known = pairs.join(per_entity, "entity").join(document_frequencies(docs), "term")
-    scored = known.join(F.broadcast(total))  # one row
+    scored = known.withColumn("n", total)
     information = F.log2(F.col("n") / F.col("df_entity"))
     pmi = F.log2(F.col("n") * F.col("df_pair") / (F.col("df_entity") * F.col("df")))
     share = F.when(information > 0, pmi / information)
