@@ -22,8 +22,8 @@ HIDDEN = 16
 WINDOW, CONTEXT = 128, 16
 #: Labelled documents per language that the network is fitted on, at most.
 SAMPLE = 256
-PASSAGES, PASSAGE_CHARS = 4, 96
-STEPS, BATCH, RATE, SEED = 240, 128, 0.02, 5
+PASSAGES, PASSAGE_CHARS = 4, 64
+STEPS, BATCH, RATE, SEED = 160, 128, 0.02, 5
 UNKNOWN = "und"
 #: Windows read at once.
 AT_ONCE = 1024
@@ -95,9 +95,10 @@ class Network:
             grad_u += h.T @ g_state
             grad_h = grad_h * update + g_state @ u.T
         flat, bytes_ = grad_x.reshape(-1, 3 * k), x.reshape(-1)
-        hot = np.zeros((256, len(bytes_)), np.float32)
-        hot[bytes_, np.arange(len(bytes_))] = 1
-        return hot @ flat, grad_u
+        grad_e = np.empty((256, 3 * k), np.float32)
+        for j in range(3 * k):
+            grad_e[:, j] = np.bincount(bytes_, flat[:, j], 256)
+        return grad_e, grad_u
 
     def probabilities(self, states: np.ndarray) -> np.ndarray:
         z = states @ self.w["v"] + self.w["c"]

@@ -1,7 +1,7 @@
 import hashlib
 
 from compare import compare, duck
-from conftest import SF
+from llm_fixtures import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

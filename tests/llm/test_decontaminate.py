@@ -4,7 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from conftest import DOCS, SF
+from llm_fixtures import DOCS, SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -3,7 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from llm_fixtures import SF
 
 from lectern.llm import langid, queries
 

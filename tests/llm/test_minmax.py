@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
-from conftest import DOCS, SF
+from llm_fixtures import DOCS, SF
 
 from lectern.llm import minmax, queries
 

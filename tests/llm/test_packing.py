@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF
+from llm_fixtures import SF
 from tokenizers import Tokenizer
 
 from lectern.llm import packing, queries

@@ -3,7 +3,7 @@ import random
 import re
 
 import duckdb
-from conftest import DOCS, SF
+from llm_fixtures import DOCS, SF
 
 from lectern.llm import pii, queries
 

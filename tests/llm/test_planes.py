@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF
+from llm_fixtures import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

@@ -2,7 +2,7 @@ import zlib
 
 import duckdb
 import pytest
-from conftest import SF  # noqa: F401
+from llm_fixtures import SF  # noqa: F401
 
 from lectern.llm import queries, sharding
 

@@ -1,6 +1,6 @@
 import duckdb
 import numpy as np
-from conftest import SF
+from llm_fixtures import SF
 
 from lectern.llm import queries, vectors
 

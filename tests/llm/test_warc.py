@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 from compare import compare, duck
-from conftest import SF
+from llm_fixtures import SF
 
 from lectern.llm import queries, warc
 
