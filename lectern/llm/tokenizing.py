@@ -112,32 +112,35 @@ class Encoder:
         if self.rule == "whole":
             return self._raw(texts)
         skip = 1 if self.rule == "prefix" else 0
-        split = [t.split(" ") for t in texts]
         out: list[bytes | None] = [None] * len(texts)
         get = self.new.get
-        wait, need = [], set()
-        for i, pieces in enumerate(split):
-            got = list(map(get, pieces[skip:]))
+        firsts, wait, need = [], [], set()
+        for i, text in enumerate(texts):
+            pieces = text.split(" ")
+            firsts.append(pieces[0])
+            if skip:
+                del pieces[0]
+            got = list(map(get, pieces))
             if None in got:
-                wait.append(i)
-                need.update(p for p, g in zip(pieces[skip:], got, strict=True) if g is None)
+                gaps = [j for j, g in enumerate(got) if g is None]
+                missing = [pieces[j] for j in gaps]
+                need.update(missing)
+                wait.append((i, got, gaps, missing))
             else:
                 out[i] = b"".join(got)
         if need:
             self._learn(need)
-        whole = []
-        for i in wait:
-            try:
-                out[i] = b"".join(map(self.new.__getitem__, split[i][skip:]))
-            except (KeyError, TypeError):  # another generation, or a piece that needs its neighbours
-                got = [self.new.get(p, self.old.get(p)) for p in split[i][skip:]]
-                out[i] = None if None in got else b"".join(got)
+        for i, got, gaps, missing in wait:
+            for j, piece in zip(gaps, missing, strict=True):
+                got[j] = self.new[piece]
+            # None: a piece needs its neighbours, the text is encoded whole
+            out[i] = None if None in got else b"".join(got)
         whole = [i for i in range(len(texts)) if out[i] is None]
         if skip:
             first = [i for i in range(len(texts)) if out[i] is not None and texts[i]]
-            ok = [i for i in first if not _WHITE_END.search(split[i][0])]
+            ok = [i for i in first if not _WHITE_END.search(firsts[i])]
             whole += sorted(set(first) - set(ok))
-            for i, ids in zip(ok, self._raw([split[i][0] for i in ok]), strict=True):
+            for i, ids in zip(ok, self._raw([firsts[i] for i in ok]), strict=True):
                 out[i] = ids + out[i]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
