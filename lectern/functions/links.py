@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from ..params import BULLETIN_SEGMENT, LINK_PATTERN, LINK_TEXT, NOTICE_XML_PATH
 from .arrays import posexplode_rows
-from .text import drop_markup
+from .text import drop_markup, enclosed
 
-RE_ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
 RE_ANCHOR_OPEN = r"(?is)^<a\b[^>]*>"
 RE_ANCHOR_INNER = r"(?is)^<a\b[^>]*>(.*)</a\s*>$"
 RE_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]*)"""
@@ -24,7 +23,7 @@ def _col(c) -> Column:
 
 def anchors(html) -> Column:
     """Array of whole ``<a ...>...</a>`` elements, in page order."""
-    return F.regexp_extract_all(_col(html), F.lit(RE_ANCHOR), 0)
+    return enclosed(html, r"<a\b[^<>]*>", r"</a\s*>", "is")
 
 
 def extract_links(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -100,6 +100,30 @@ def _without(c, opener: str, closer: str, reopen: str = "") -> Column:
     )
 
 
+def enclosed(c, opener: str, closer: str, flags: str = "s") -> Column:
+    """Array of whole elements, from an ``opener`` to the next ``closer``, in
+    order.  The text is cut at its closers; in each piece the element starts
+    at the first opener.  Time is linear in the text."""
+    end = f"(?{flags}){closer}"
+    start = f"(?{flags}){opener}.*\\z"
+
+    def found(ends, pieces):
+        whole = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(ends)),
+            ends,
+            lambda piece, e: _let(F.regexp_extract(piece, start, 0), lambda m: F.when(m != "", F.concat(m, e))),
+        )
+        return F.filter(whole, lambda m: m.isNotNull())
+
+    return _let(
+        _col(c),
+        lambda text: _let(
+            F.regexp_extract_all(text, F.lit(end), F.lit(0)),
+            lambda ends: _let(F.split(text, end, -1), lambda pieces: found(ends, pieces)),
+        ),
+    )
+
+
 def drop_markup(c) -> Column:
     """Visible text of an HTML fragment, text nodes joined with no
     separator: scripts, styles, comments and declarations dropped, tags

@@ -127,7 +127,7 @@ SELECT page_id, url, titulo, CAST(start // {CHUNK_LENGTH} AS BIGINT) AS chunk_no
 FROM s"""
 
 SQL_LINKS = f"""
-WITH a AS (SELECT page_id, url, regexp_extract_all(html, {Q.lit(L.RE_ANCHOR)}, 0) AS l FROM pages),
+WITH a AS (SELECT page_id, url, regexp_extract_all(html, {Q.lit(Q.RE_ANCHOR)}, 0) AS l FROM pages),
 e AS (SELECT page_id, url, l, unnest(range(0, len(l))) AS link_no FROM a),
 f AS (SELECT page_id, url, CAST(link_no AS BIGINT) AS link_no, l[link_no + 1] AS anchor FROM e)
 SELECT page_id, url, link_no, anchor,

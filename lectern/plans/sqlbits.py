@@ -29,6 +29,8 @@ def regexp_replace_all(x: str, pattern: str, repl: str = "") -> str:
     return f"regexp_replace({x}, {rx(pattern)}, {lit(repl)}, 'g')"
 
 
+RE_ANCHOR = r"(?is)<a\b[^<>]*>.*?</a\s*>"
+
 # The oracle's own forms: RE2 runs in linear time, so lazy patterns do.
 _MARKUP = (
     r"(?is)<script\b[^<>]*>.*?</script\s*>",

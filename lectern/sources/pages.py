@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.links import notice_pdf_url
-from ..functions.text import drop_markup, strip_html
+from ..functions.text import drop_markup, enclosed, strip_html
 
 
 def scan_pages(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -46,22 +46,15 @@ def land_files(df: DataFrame, path: str, key: str, body: str) -> None:
     df.select(key, body).repartition(F.col(key)).write.mode("errorifexists").partitionBy(key).text(path)
 
 
-def _element_re(tag: str, group: bool) -> str:
-    inner = "(.*?)" if group else ".*?"
-    return rf"(?s)<{tag}\b[^>]*>{inner}</{tag}\s*>"
-
-
 def elements(body, tag: str) -> Column:
     """Every ``<tag ...>...</tag>`` element (markup included), in order."""
-    b = F.col(body) if isinstance(body, str) else body
-    return F.regexp_extract_all(b, F.lit(_element_re(tag, False)), 0)
+    return enclosed(body, rf"<{tag}\b[^<>]*>", rf"</{tag}\s*>")
 
 
 def first_element_text(body, tag: str) -> Column:
-    """Visible text of the first ``tag`` element; NULL when there is none."""
-    b = F.col(body) if isinstance(body, str) else body
-    pattern = _element_re(tag, True)
-    return F.when(b.rlike(pattern), drop_markup(F.regexp_extract(b, pattern, 1)))
+    """Visible text of the first ``tag`` element; NULL when there is none.
+    Its own tags are markup like any other."""
+    return drop_markup(F.try_element_at(elements(body, tag), F.lit(1)))
 
 
 def notice_fields(

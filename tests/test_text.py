@@ -95,6 +95,12 @@ def test_hostile_texts_take_linear_time(spark):
     assert C.chunk_fixed(long, "t").count() == -(-2_000_000 // 512) and time.time() - start < 20
 
 
+def test_enclosed_equals_the_lazy_pattern(spark):
+    cases = ["<a>1</a >x<a b>2<a>3</a></a><A>4</A>", "</a><a>", "<a", "", "<a\n>x\n</a>", "<ab>no</a>", "<a>" * 40_000]
+    want = [re.findall(r"(?is)<a\b[^<>]*>.*?</a\s*>", c) if len(c) < 999 else [] for c in cases]
+    assert _apply(spark, lambda c: X.enclosed(c, r"<a\b[^<>]*>", r"</a\s*>", "is"), cases) == want
+
+
 def test_strip_equals_python(spark):
     cases = [c + "x y" + c for c in map(chr, range(0x3001)) if c.isspace()] + ["", " ", "\u200bx", "x"]
     assert _apply(spark, X.strip_ws, cases) == [c.strip() for c in cases]
