@@ -32,24 +32,22 @@ from .common import arrow_schema, batches_of, rows_to_arrow, written
 FEATURES, RANK, OVERSAMPLE, SEED = 2048, 48, 16, 31
 PASSAGE, BLOCK = 32, 8
 SCALES = (16, 32, 64)
-COSINE = 0.4
+COSINE = 0.42
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.8, 0.6, 8
 #: Shorter items are no evidence: their words meet by chance.
 MIN_WORDS = 6
 #: Benchmarks up to this many words travel with the tasks' code.
 MAX_BENCHMARK_WORDS = 50_000_000
-_WORD = re.compile(r"\w+")
+# words: runs of letters, digits and underscores, and of anything beyond ASCII
+_WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
 def hashed(text: str | None) -> np.ndarray:
+    """32-bit hashes of the lower-cased text's words, in order."""
     from xxhash import xxh32_intdigest
 
-    words = _WORD.findall(text.lower()) if text else ()
-    return np.fromiter(map(xxh32_intdigest, map(_utf8, words)), np.uint32, len(words))
-
-
-def _utf8(s: str) -> bytes:
-    return s.encode("utf-8", "surrogatepass")
+    words = _WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if text else ()
+    return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
 WORDS_SCHEMA = "doc_id long, text_hash long, words binary"
@@ -88,7 +86,7 @@ def added_up(parts: DataFrame, fan: int = 32) -> np.ndarray | None:
     return sum(np.frombuffer(r["v"], np.float64) for r in rows) if rows else None
 
 
-def _passages(batches, most: int = 1024):
+def _passages(batches, most: int = 256):
     """Feature numbers and passage numbers of up to ``most`` passages at a time."""
     features, owners, n = [], [], 0
     for batch in batches:
@@ -170,18 +168,25 @@ class Benchmark:
             words = hashed(text)
             if len(words) < MIN_WORDS:
                 continue
-            sentences = [s for s in re.split(r"[.!?\n]+", text) if _WORD.search(s)]
+            sentences = [s for s in re.split(r"[.!?\n]+", text) if len(hashed(s))]
             answer = hashed(sentences[-1])[-ANSWER:]
             for at in range(0, len(words), SCALES[-1]):
                 part = words[at : at + SCALES[-1]]
                 if len(part) >= MIN_WORDS:
-                    parts.append((item, part, answer))
+                    parts.append((item, part, answer, frozenset(part.tolist())))
         for scale, below in zip(SCALES, (0, *SCALES[:-1]), strict=True):
             # a passage goes with the smallest window that holds most of it
             some = [p for p in parts if below * 1.25 < len(p[1]) <= (scale * 1.25 if scale < SCALES[-1] else 1 << 30)]
             vectors = [table[p[1] % FEATURES].sum(0) for p in some]
             if some:
-                self.of_scale.append({"scale": scale, "parts": some, "q": _normal(np.array(vectors)).T.astype(np.float32)})
+                vocabulary = np.unique(np.concatenate([p[1] for p in some]))
+                has = np.zeros((len(vocabulary) + 1, len(some)), np.uint8)  # last: any other word
+                for k, p in enumerate(some):
+                    has[np.searchsorted(vocabulary, p[1]), k] = 1
+                group = {"scale": scale, "parts": some, "q": _normal(np.array(vectors)).T.astype(np.float32)}
+                group |= {"vocabulary": vocabulary, "has": has, "need": np.array([LCS_ANSWER * len(p[1]) for p in some])}
+                group["margin"] = max(len(p[1]) // 2 // BLOCK + 1 for p in some)
+                self.of_scale.append(group)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -207,6 +212,19 @@ def _holds(words: np.ndarray, part: np.ndarray) -> bool:
     return any((words[i : i + n] == part).all() for i in at.tolist())
 
 
+def _words_around(words: np.ndarray, group: dict, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each candidate (window, passage): how many words in and around the
+    window are words of the passage."""
+    vocabulary, margin = group["vocabulary"], group["margin"] * BLOCK
+    place = np.searchsorted(vocabulary, words)
+    place[vocabulary[np.minimum(place, len(vocabulary) - 1)] != words] = len(vocabulary)
+    size = group["scale"] + 2 * margin
+    padded = np.full(len(words) + size + BLOCK, len(vocabulary))
+    padded[margin : margin + len(words)] = place
+    around = padded[(at * BLOCK)[:, None] + np.arange(size)]
+    return group["has"][around, k[:, None]].sum(1, dtype=np.int32)
+
+
 def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
     """``item: (share of the passage found in order, answer found, cosine)``
     of one document's leaks, the largest share for each item."""
@@ -215,6 +233,7 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
     for lo in range(0, len(words), 1 << 15):  # long texts in overlapping stretches
         stretch = words[max(0, lo - 2 * SCALES[-1]) : lo + (1 << 15) + 2 * SCALES[-1]]
         origin = max(0, lo - 2 * SCALES[-1])
+        plain = stretch.tolist()
         n = -(-len(stretch) // BLOCK)
         full = np.zeros((n * BLOCK, table.shape[1]), np.float32)
         full[: len(stretch)] = table[stretch % FEATURES]
@@ -225,18 +244,25 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
                 level = level + np.concatenate((level[width:], np.zeros((min(width, n), level.shape[1]), np.float32)))[:n]
                 width *= 2
             cosine = _normal(level) @ group["q"]
-            for at, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                item, part, answer = group["parts"][k]
+            near, passage = np.nonzero(cosine >= COSINE)
+            if not len(near):
+                continue
+            # with fewer words of the passage no subsequence can do
+            enough = _words_around(stretch, group, near, passage) >= group["need"][passage]
+            for at, k in zip(near[enough].tolist(), passage[enough].tolist(), strict=True):
+                item, part, answer, distinct = group["parts"][k]
                 margin = max(len(part) // 2, BLOCK)
                 a = max(0, at * BLOCK - margin)
                 b = at * BLOCK + group["scale"] + margin
-                key = (group["scale"], int(k), origin + a)
+                key = (group["scale"], k, origin + a)
                 if key in tried:
                     continue
                 tried.add(key)
-                region = stretch[a:b]
-                if np.isin(part, region).sum() < LCS_ANSWER * len(part):  # no subsequence can be longer
+                # no subsequence is longer than the shared words and the repeated ones
+                shared = len(distinct.intersection(plain[a:b])) + len(part) - len(distinct)
+                if shared < LCS_ANSWER * len(part):
                     continue
+                region = stretch[a:b]
                 share = common_subsequence(part, region) / len(part)
                 if share < LCS_ANSWER:
                     continue
