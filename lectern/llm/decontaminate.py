@@ -32,7 +32,7 @@ from .common import arrow_schema, batches_of, rows_to_arrow, written
 FEATURES, RANK, OVERSAMPLE, SEED = 2048, 48, 16, 31
 PASSAGE, BLOCK = 32, 8
 SCALES = (16, 32, 64)
-COSINE = 0.42
+COSINE = 0.45
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.8, 0.6, 8
 #: Shorter items are no evidence: their words meet by chance.
 MIN_WORDS = 6
@@ -174,20 +174,26 @@ class Benchmark:
                 part = words[at : at + SCALES[-1]]
                 if len(part) >= MIN_WORDS:
                     parts.append((item, part, answer, frozenset(part.tolist())))
+        self.vocabulary = np.unique(np.concatenate([p[1] for p in parts])) if parts else np.empty(0, np.uint32)
         for scale, below in zip(SCALES, (0, *SCALES[:-1]), strict=True):
             # a passage goes with the smallest window that holds most of it
             some = [p for p in parts if below * 1.25 < len(p[1]) <= (scale * 1.25 if scale < SCALES[-1] else 1 << 30)]
             vectors = [table[p[1] % FEATURES].sum(0) for p in some]
             if some:
-                vocabulary = np.unique(np.concatenate([p[1] for p in some]))
-                has = np.zeros((len(vocabulary) + 1, len(some)), np.uint8)  # last: any other word
+                has = np.zeros((len(self.vocabulary) + 1, len(some)), np.uint8)  # last: any other word
                 for k, p in enumerate(some):
-                    has[np.searchsorted(vocabulary, p[1]), k] = 1
+                    has[np.searchsorted(self.vocabulary, p[1]), k] = 1
                 group = {"scale": scale, "parts": some, "q": _normal(np.array(vectors)).T.astype(np.float32)}
-                group |= {"vocabulary": vocabulary, "has": has, "need": np.array([LCS_ANSWER * len(p[1]) for p in some])}
+                group |= {"has": has, "need": np.array([LCS_ANSWER * len(p[1]) for p in some])}
                 group["margin"] = max(len(p[1]) // 2 // BLOCK + 1 for p in some)
                 self.of_scale.append(group)
 
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Each word's place in the vocabulary, or behind its end."""
+        place = np.searchsorted(self.vocabulary, words)
+        place[self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] != words] = len(self.vocabulary)
+        return place
+
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, one bit per word of ``a``."""
@@ -212,15 +218,13 @@ def _holds(words: np.ndarray, part: np.ndarray) -> bool:
     return any((words[i : i + n] == part).all() for i in at.tolist())
 
 
-def _words_around(words: np.ndarray, group: dict, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+def _words_around(place: np.ndarray, group: dict, at: np.ndarray, k: np.ndarray) -> np.ndarray:
     """For each candidate (window, passage): how many words in and around the
     window are words of the passage."""
-    vocabulary, margin = group["vocabulary"], group["margin"] * BLOCK
-    place = np.searchsorted(vocabulary, words)
-    place[vocabulary[np.minimum(place, len(vocabulary) - 1)] != words] = len(vocabulary)
+    margin = group["margin"] * BLOCK
     size = group["scale"] + 2 * margin
-    padded = np.full(len(words) + size + BLOCK, len(vocabulary))
-    padded[margin : margin + len(words)] = place
+    padded = np.full(len(place) + size + BLOCK, len(group["has"]) - 1)
+    padded[margin : margin + len(place)] = place
     around = padded[(at * BLOCK)[:, None] + np.arange(size)]
     return group["has"][around, k[:, None]].sum(1, dtype=np.int32)
 
@@ -233,7 +237,7 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
     for lo in range(0, len(words), 1 << 15):  # long texts in overlapping stretches
         stretch = words[max(0, lo - 2 * SCALES[-1]) : lo + (1 << 15) + 2 * SCALES[-1]]
         origin = max(0, lo - 2 * SCALES[-1])
-        plain = stretch.tolist()
+        plain, place = stretch.tolist(), None
         n = -(-len(stretch) // BLOCK)
         full = np.zeros((n * BLOCK, table.shape[1]), np.float32)
         full[: len(stretch)] = table[stretch % FEATURES]
@@ -248,7 +252,8 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
             if not len(near):
                 continue
             # with fewer words of the passage no subsequence can do
-            enough = _words_around(stretch, group, near, passage) >= group["need"][passage]
+            place = bench.places(stretch) if place is None else place
+            enough = _words_around(place, group, near, passage) >= group["need"][passage]
             for at, k in zip(near[enough].tolist(), passage[enough].tolist(), strict=True):
                 item, part, answer, distinct = group["parts"][k]
                 margin = max(len(part) // 2, BLOCK)
