@@ -32,7 +32,9 @@ from .common import arrow_schema, batches_of, rows_to_arrow, written
 FEATURES, RANK, OVERSAMPLE, SEED = 2048, 48, 16, 31
 PASSAGE, BLOCK = 32, 8
 SCALES = (16, 32, 64)
-COSINE = 0.45
+#: Low on purpose: exact counts of shared words sort out most candidates, and
+#: a leak below this cosine is lost.
+COSINE = 0.2
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.8, 0.6, 8
 #: Shorter items are no evidence: their words meet by chance.
 MIN_WORDS = 6
@@ -174,19 +176,30 @@ class Benchmark:
                 part = words[at : at + SCALES[-1]]
                 if len(part) >= MIN_WORDS:
                     parts.append((item, part, answer, frozenset(part.tolist())))
-        self.vocabulary = np.unique(np.concatenate([p[1] for p in parts])) if parts else np.empty(0, np.uint32)
+        known = [w for p in parts for w in p[1:3]]
+        self.vocabulary = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint32)
+        columns = []
         for scale, below in zip(SCALES, (0, *SCALES[:-1]), strict=True):
             # a passage goes with the smallest window that holds most of it
             some = [p for p in parts if below * 1.25 < len(p[1]) <= (scale * 1.25 if scale < SCALES[-1] else 1 << 30)]
+            some.sort(key=lambda p: len(p[1]))
             vectors = [table[p[1] % FEATURES].sum(0) for p in some]
             if some:
-                has = np.zeros((len(self.vocabulary) + 1, len(some)), np.uint8)  # last: any other word
-                for k, p in enumerate(some):
-                    has[np.searchsorted(self.vocabulary, p[1]), k] = 1
+                size = np.array([len(p[1]) for p in some])
                 group = {"scale": scale, "parts": some, "q": _normal(np.array(vectors)).T.astype(np.float32)}
-                group |= {"has": has, "need": np.array([LCS_ANSWER * len(p[1]) for p in some])}
-                group["margin"] = max(len(p[1]) // 2 // BLOCK + 1 for p in some)
+                group |= {"alone": LCS_ALONE * size - 1e-6, "need": LCS_ANSWER * size - 1e-6}
+                blocks = -(-np.maximum(size // 2, BLOCK) // BLOCK)
+                bounds = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(some)]
+                group["margins"] = [(int(blocks[lo]), lo, hi) for lo, hi in zip(bounds, bounds[1:])]
+                group["answer"] = np.full((len(some), ANSWER), len(self.vocabulary) + 1)  # none there: always met
+                for k, p in enumerate(some):
+                    group["answer"][k, : len(p[2])] = np.searchsorted(self.vocabulary, p[2])
+                group["columns"] = slice(len(columns), len(columns) + len(some))
+                columns += some
                 self.of_scale.append(group)
+        self.has = np.zeros((len(self.vocabulary) + 1, len(columns)), np.uint8)  # last: any other word
+        for k, p in enumerate(columns):
+            self.has[np.searchsorted(self.vocabulary, p[1]), k] = 1
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or behind its end."""
@@ -218,15 +231,42 @@ def _holds(words: np.ndarray, part: np.ndarray) -> bool:
     return any((words[i : i + n] == part).all() for i in at.tolist())
 
 
-def _words_around(place: np.ndarray, group: dict, at: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """For each candidate (window, passage): how many words in and around the
-    window are words of the passage."""
-    margin = group["margin"] * BLOCK
-    size = group["scale"] + 2 * margin
-    padded = np.full(len(place) + size + BLOCK, len(group["has"]) - 1)
-    padded[margin : margin + len(place)] = place
-    around = padded[(at * BLOCK)[:, None] + np.arange(size)]
-    return group["has"][around, k[:, None]].sum(1, dtype=np.int32)
+def _words_upto(place: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """For each block and passage: how many words before the block are words
+    of the passage."""
+    n = -(-len(place) // BLOCK)
+    padded = np.full(n * BLOCK, len(has) - 1)
+    padded[: len(place)] = place
+    block = has[padded[::BLOCK]]
+    for j in range(1, BLOCK):
+        block += has[padded[j::BLOCK]]
+    upto = np.zeros((n + 1, has.shape[1]), np.uint16)  # a stretch has fewer than 65,536 words
+    np.cumsum(block, 0, out=upto[1:], dtype=np.uint16)
+    return upto
+
+
+def _enough(upto: np.ndarray, group: dict, need: np.ndarray) -> np.ndarray:
+    """For each window and passage: the words in and around the window suffice
+    for a subsequence of ``need`` words."""
+    n = len(upto) - 1
+    at, upto = np.arange(n), upto[:, group["columns"]]
+    out = np.empty((n, upto.shape[1]), bool)
+    for margin, lo, hi in group["margins"]:
+        some = upto[:, lo:hi]
+        around = some[np.minimum(at + group["scale"] // BLOCK + margin, n)] - some[np.maximum(at - margin, 0)]
+        np.greater_equal(around, np.ceil(need[lo:hi]).astype(np.uint16), out=out[:, lo:hi])
+    return out
+
+
+def _answered(stretch: np.ndarray, place: np.ndarray, group: dict, words: int) -> np.ndarray:
+    """For each passage: its answer lies somewhere in the stretch."""
+    met = np.zeros(words + 2, bool)
+    met[place] = True
+    met[-1] = True
+    out = met[group["answer"]].all(1)
+    for k in np.flatnonzero(out).tolist():
+        out[k] = _holds(stretch, group["parts"][k][2])
+    return out
 
 
 def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
@@ -237,24 +277,32 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
     for lo in range(0, len(words), 1 << 15):  # long texts in overlapping stretches
         stretch = words[max(0, lo - 2 * SCALES[-1]) : lo + (1 << 15) + 2 * SCALES[-1]]
         origin = max(0, lo - 2 * SCALES[-1])
-        plain, place = stretch.tolist(), None
+        if not bench.of_scale or not len(stretch):
+            continue
+        # with fewer words of the passage no subsequence can do
+        place = bench.places(stretch)
+        upto = _words_upto(place, bench.has)
+        tests = []
+        for group in bench.of_scale:
+            need = np.where(_answered(stretch, place, group, len(bench.vocabulary)), group["need"], group["alone"])
+            tests.append((group, need, _enough(upto, group, need)))
+        if not any(enough.any() for _, _, enough in tests):
+            continue
+        plain = stretch.tolist()
         n = -(-len(stretch) // BLOCK)
         full = np.zeros((n * BLOCK, table.shape[1]), np.float32)
         full[: len(stretch)] = table[stretch % FEATURES]
         level = full.reshape(n, BLOCK, -1).sum(1)
         width = 1
-        for group in bench.of_scale:
+        for group, need, enough in tests:
             while width * BLOCK < group["scale"]:  # windows of twice the blocks
                 level = level + np.concatenate((level[width:], np.zeros((min(width, n), level.shape[1]), np.float32)))[:n]
                 width *= 2
-            cosine = _normal(level) @ group["q"]
-            near, passage = np.nonzero(cosine >= COSINE)
-            if not len(near):
+            if not enough.any():
                 continue
-            # with fewer words of the passage no subsequence can do
-            place = bench.places(stretch) if place is None else place
-            enough = _words_around(place, group, near, passage) >= group["need"][passage]
-            for at, k in zip(near[enough].tolist(), passage[enough].tolist(), strict=True):
+            cosine = _normal(level) @ group["q"]
+            near, passage = np.nonzero(enough & (cosine >= COSINE))
+            for at, k in zip(near.tolist(), passage.tolist(), strict=True):
                 item, part, answer, distinct = group["parts"][k]
                 margin = max(len(part) // 2, BLOCK)
                 a = max(0, at * BLOCK - margin)
@@ -265,14 +313,14 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
                 tried.add(key)
                 # no subsequence is longer than the shared words and the repeated ones
                 shared = len(distinct.intersection(plain[a:b])) + len(part) - len(distinct)
-                if shared < LCS_ANSWER * len(part):
+                if shared < need[k]:
                     continue
                 region = stretch[a:b]
                 share = common_subsequence(part, region) / len(part)
-                if share < LCS_ANSWER:
+                if share * len(part) < need[k]:
                     continue
                 has = _holds(region, answer)
-                if share >= LCS_ALONE or has and len(part) >= SCALES[0]:
+                if share >= LCS_ALONE or has:
                     found[item] = max(found.get(item, (0.0, False, 0.0)), (share, has, float(cosine[at, k])))
     return found
 

@@ -109,3 +109,24 @@ def test_query_equals_brute_force(spark):
         text = f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
         want |= {(d, i) for i, p in plain.items() if len(p.split()) >= decontaminate.MIN_WORDS and f" {p} " in text}
     assert want and {(r["doc_id"], r["item_id"]) for r in queries.op2_decontamination(spark, SF).collect()} == want
+
+
+def test_paraphrases_that_keep_three_fifths_are_found(spark, world):
+    rng, prose, _ = world
+    items, rows = [], []
+    for i in range(120):
+        n = (8, 10, 13, 15, 18, 20, 24, 30)[i % 8]
+        w = prose(n)
+        end = n - max(1, n // 5)  # the answer stays as it is
+        items.append((i, " ".join(w[:end]) + ". " + " ".join(w[end:]) + "?"))
+        other = list(w)
+        for at in rng.sample(range(end), int(n * 0.38)):
+            other[at] = f"changed{rng.randrange(10**6)}"
+        rows.append((i, " ".join(prose(rng.randrange(20, 120)) + other + prose(rng.randrange(20, 120)))))
+        rows.append((1000 + i, " ".join(prose(rng.randrange(20, 120)) + w + prose(rng.randrange(20, 120)))))
+    rows += [(2000 + i, " ".join(prose(300))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1000 + i, i) for i in range(120)} <= got
+    assert sum((i, i) in got for i in range(120)) >= 119
+    assert not [d for d, i in got if d >= 2000 and i % 8 >= 4]  # items of 18 words or more
