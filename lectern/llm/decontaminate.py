@@ -14,6 +14,7 @@
    order (longest common subsequence) make up ``LCS_ALONE`` of the passage,
    or ``LCS_ANSWER`` where the passage's answer (its last sentence, at most
    ``ANSWER`` words) is found as it stands: exact leaks and paraphrases.
+   Items under ``MIN_WORDS`` words count where they are found as they stand.
 
 The driver sees the benchmark, one vector of document frequencies and one
 sketch.
@@ -36,19 +37,30 @@ SCALES = (16, 32, 64)
 #: a leak below this cosine is lost.
 COSINE = 0.2
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.8, 0.6, 8
-#: Shorter items are no evidence: their words meet by chance.
+#: The words of shorter items meet by chance: they count as a whole only.
 MIN_WORDS = 6
 #: Benchmarks up to this many words travel with the tasks' code.
 MAX_BENCHMARK_WORDS = 50_000_000
-# words: runs of letters, digits and underscores, and of anything beyond ASCII
-_WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
+# scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han
+_UNSPACED = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u1049\u1050-\u109d\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f"
+    "\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+# words: runs of letters, digits and underscores; single characters of those scripts
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_ASCII_WORD = re.compile(rb"[0-9A-Za-z_]+")
 
 
 def hashed(text: str | None) -> np.ndarray:
     """32-bit hashes of the lower-cased text's words, in order."""
     from xxhash import xxh32_intdigest
 
-    words = _WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if text else ()
+    text = (text or "").lower()
+    if text.isascii():
+        words = _ASCII_WORD.findall(text.encode())
+    else:
+        found = _WORD.findall(text)
+        words = "\n".join(found).encode("utf-8", "surrogatepass").split(b"\n") if found else ()
     return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
@@ -165,10 +177,13 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], table: np.ndarray):
         self.of_scale: list[dict] = []
+        self.phrases: dict[int, list] = {}  # items under MIN_WORDS words, by their first
         parts = []
         for item, text in items:
             words = hashed(text)
             if len(words) < MIN_WORDS:
+                if len(words):
+                    self.phrases.setdefault(int(words[0]), []).append((item, words))
                 continue
             sentences = [s for s in re.split(r"[.!?\n]+", text) if len(hashed(s))]
             answer = hashed(sentences[-1])[-ANSWER:]
@@ -177,6 +192,7 @@ class Benchmark:
                 if len(part) >= MIN_WORDS:
                     parts.append((item, part, answer, frozenset(part.tolist())))
         known = [w for p in parts for w in p[1:3]]
+        self.first = np.array(sorted(self.phrases), np.uint32)
         self.vocabulary = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint32)
         columns = []
         for scale, below in zip(SCALES, (0, *SCALES[:-1]), strict=True):
@@ -231,6 +247,18 @@ def _holds(words: np.ndarray, part: np.ndarray) -> bool:
     return any((words[i : i + n] == part).all() for i in at.tolist())
 
 
+def phrases(words: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
+    """The short items that lie in ``words`` as they stand, as ``matches``
+    gives them."""
+    found = {}
+    if len(bench.first):
+        for w in np.intersect1d(words, bench.first).tolist():
+            for item, phrase in bench.phrases[w]:
+                if _holds(words, phrase):
+                    found[item] = (1.0, True, 1.0)
+    return found
+
+
 def _words_upto(place: np.ndarray, has: np.ndarray) -> np.ndarray:
     """For each block and passage: how many words before the block are words
     of the passage."""
@@ -272,7 +300,7 @@ def _answered(stretch: np.ndarray, place: np.ndarray, group: dict, words: int) -
 def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
     """``item: (share of the passage found in order, answer found, cosine)``
     of one document's leaks, the largest share for each item."""
-    found: dict[int, tuple[float, bool, float]] = {}
+    found = phrases(words, bench)
     tried = set()
     for lo in range(0, len(words), 1 << 15):  # long texts in overlapping stretches
         stretch = words[max(0, lo - 2 * SCALES[-1]) : lo + (1 << 15) + 2 * SCALES[-1]]
@@ -334,7 +362,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs`` (doc_id, text) and ``benchmark`` (item_id, text); other columns
     are not read.  Null and empty texts match nothing; items under
-    ``MIN_WORDS`` words are no evidence; rows without item id are not looked
+    ``MIN_WORDS`` words are found as whole phrases; rows without item id are not looked
     for; repeated documents are found each, repeated items once.  Empty
     tables give no rows."""
     words = written(word_table(docs), "words")

@@ -130,3 +130,22 @@ def test_paraphrases_that_keep_three_fifths_are_found(spark, world):
     assert {(1000 + i, i) for i in range(120)} <= got
     assert sum((i, i) in got for i in range(120)) >= 119
     assert not [d for d, i in got if d >= 2000 and i % 8 >= 4]  # items of 18 words or more
+
+
+def test_words_beyond_ascii_and_short_items(spark):
+    def same(a, b):
+        return (decontaminate.hashed(a) == decontaminate.hashed(b)).all()
+
+    assert same("«¿Qué» – dijo él… “así”。", "qué dijo él así") and len(decontaminate.hashed("东京、ไทย カナ")) == 7
+    items = {1: "北京是中华人民共和国的首都。", 2: "¿Dónde nació el poeta Ángel González, y cuándo?", 3: "Short exact item", 4: "ประเทศไทย", 5: "東京"}
+    rows = [
+        (1, "前面有一些别的文字，北京是中华人民共和国的首都，后面也有。"),
+        (2, "Leí: «¿Dónde nació el poeta Ángel González — y cuándo?» … y nada más"),
+        (3, "before a “short exact item” after"),
+        (4, "ข้อความประเทศไทยยาว"),
+        (5, "私は東京に住む"),
+        (6, "short but not exact item 京東 北京"),
+        (7, None),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(1, 6)}
