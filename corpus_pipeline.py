@@ -26,13 +26,15 @@ def _prepare(spark: SparkSession) -> None:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; an unlabelled one gets the predicted label.
-    Null texts and texts without a letter go."""
+    Null texts and texts without a letter go.  Where nothing is labelled to
+    learn from, the others keep their label, null or not."""
     _prepare(spark)
-    found = langid.labelled(docs, langid.learned(docs), "langid label", "langid score")
+    network = langid.learned(docs)
+    if network is None:
+        return docs.where(langid.has_letter())
+    found = langid.labelled(docs, network, "langid label", "langid score")
     named = F.coalesce("lang", "langid label")
-    return found.where(F.col("langid label") != langid.UNKNOWN).select(
-        *[named.alias(c) if c == "lang" else F.col(c) for c in docs.columns]
-    )
+    return found.where(langid.has_letter()).select(*[named.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

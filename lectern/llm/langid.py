@@ -264,7 +264,8 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     return Network(labels).fit([passages[i] for i in order], [y[i] for i in order])
 
 
-def _has_letter() -> Column:
+def has_letter() -> Column:
+    """The text is there and holds a letter."""
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
@@ -305,7 +306,7 @@ def labelled(docs: DataFrame, network: Network | None, label: str, score: str) -
     """``docs`` with two more columns, named by the caller."""
     place = docs.columns.index("text")
     fields = [*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]
-    rows = docs.select("*", _has_letter().alias(f"{label} has letter"))
+    rows = docs.select("*", has_letter().alias(f"{label} has letter"))
 
     def run(batches):
         import pyarrow as pa

@@ -81,3 +81,10 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, got.select("doc_id", "start", "ids_crc32").collect())) == sorted(
         map(tuple, stages["packing"].select("doc_id", "start", "ids_crc32").collect())
     )
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["One text", "ein Text", None, "", "12 34", "текст"])], DOCS)
+    kept = rows(corpus_pipeline.language(spark, docs, SF))
+    assert {d: (r["text"], r["lang"]) for d, r in kept.items()} == {0: ("One text", None), 1: ("ein Text", None), 5: ("текст", None)}
+    assert corpus_pipeline.language(spark, docs, SF).columns == docs.columns
