@@ -3,8 +3,13 @@
 Each pass hashes every vector with its own random hyperplanes, orders the
 vectors lexicographically by the concatenated hash bits and compares each
 block with its neighbours inside a bounded window; pairs confirmed by their
-exact cosine are united inside the task, so a pass gives at most one edge per
-vector.  Edges of all passes are united into components.
+exact cosine are united inside the task, so a chunk of a pass gives at most
+one edge per vector.  Edges of all passes are united into components.
+
+The order is that of the whole table: hash bits without vectors are sorted
+over all partitions and numbered, and the numbers are cut into chunks of
+``CHUNK`` windows, each with the first window of the next.  Vectors less than
+a window apart always meet, however many partitions the session has.
 
 Links are then counted without emitting pairs: the members of a component
 are dealt in blocks of about ``BLOCK`` vectors, each pair of blocks is one
@@ -29,6 +34,8 @@ from .common import arrow_schema, components, rows_to_arrow, shuffle_parts, writ
 
 WINDOW = 256
 BLOCK = 512
+#: Windows of a chunk of the sorted order.
+CHUNK = 8
 BITS = 60
 SEED = 987
 
@@ -66,7 +73,7 @@ def is_valid() -> F.Column:
     return F.coalesce(sound, F.lit(False))
 
 
-PASS_SCHEMA = "pass int, dim int, bits long, id long, v array<double>"
+PASS_SCHEMA = "pass int, dim int, bits long, key long"
 EDGE_SCHEMA = "a long, b long"
 
 
@@ -84,14 +91,38 @@ def _project(passes: int):
                     for p in range(passes):
                         signs = (unit @ _planes(p, dim) > 0).astype(np.int64)
                         bits = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                        out = [(p, dim, b, r["id"], r["v"]) for b, r in zip(bits.tolist(), rows, strict=True)]
+                        out = [(p, dim, b, r["key"]) for b, r in zip(bits.tolist(), rows, strict=True)]
                         yield rows_to_arrow(out, schema)
 
     return run
 
 
+def _ranked(ordered: DataFrame) -> DataFrame:
+    """``ordered`` (sorted over its partitions, written with ``place``, the
+    partition in the upper bits and the row below) with ``rank``, the row's
+    number in the whole.  The driver sees a count per partition."""
+    part = F.shiftright("place", 33)
+    counts = sorted((r["part"], r["count"]) for r in ordered.groupBy(part.alias("part")).count().collect())
+    starts, before = [], 0
+    for number, count in counts:
+        starts.append((number, before))
+        before += count
+    offsets = ordered.sparkSession.createDataFrame(starts, "part long, start long")
+    rank = F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return ordered.join(F.broadcast(offsets), part == F.col("part")).select("pass", "dim", "key", rank.alias("rank"))
+
+
 def _unite(cosine: float, window: int):
-    def run(batches):
+    """For each chunk (pass, dim, id, v, rank): its edges."""
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.select(["pass", "dim", "rank", "id", "v"]).sort_by("rank").combine_chunks()
+        edges = list(unite(table.to_batches()))
+        return pa.Table.from_batches(edges, arrow_schema(EDGE_SCHEMA))
+
+    def unite(batches):
         schema = arrow_schema(EDGE_SCHEMA)
         root: dict[int, int] = {}
 
@@ -199,13 +230,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, window: int = WINDO
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     classes = rows.where(is_valid()).groupBy(F.col("embedding").alias("v")).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    classes = written(classes, "vector-classes")
+    # a number for each class: smallest ids may meet
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     passes = passes or passes_for(n, cosine, window)
-    projected = classes.select("id", "v").mapInArrow(_project(passes), PASS_SCHEMA)
-    ordered = projected.repartitionByRange(shuffle_parts(spark), "pass", "dim", "bits", "id")
-    ordered = ordered.sortWithinPartitions("pass", "dim", "bits", "id")
-    edges = ordered.mapInArrow(_unite(cosine, window), EDGE_SCHEMA).distinct()
+    projected = classes.select("key", "v").mapInArrow(_project(passes), PASS_SCHEMA)
+    ordered = projected.repartitionByRange(shuffle_parts(spark), "pass", "dim", "bits", "key")
+    ordered = ordered.sortWithinPartitions("pass", "dim", "bits", "key")
+    place = F.monotonically_increasing_id().alias("place")
+    ranked = _ranked(written(ordered.select("pass", "dim", "key", place), "vector-order"))
+    chunk = F.floor(F.col("rank") / (window * CHUNK))
+    # the first window of a chunk is the last of the chunk before, too
+    twice = (F.col("rank") % (window * CHUNK) < window) & (chunk > 0)
+    chunks = ranked.withColumn("chunk", F.explode(F.when(twice, F.array(chunk - 1, chunk)).otherwise(F.array(chunk))))
+    chunks = chunks.join(classes.select("key", "id", "v"), "key").select("chunk", "pass", "dim", "rank", "id", "v")
+    edges = chunks.groupBy("chunk").applyInArrow(_unite(cosine, window), EDGE_SCHEMA).distinct()
     labels = written(components(written(edges, "vector-edges")), "labels")
 
     sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

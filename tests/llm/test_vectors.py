@@ -66,3 +66,18 @@ def test_a_group_larger_than_window_and_block_is_counted_whole(spark):
 def test_query_equals_brute_force(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     assert sorted(map(tuple, queries.op6_embedding_neighbours(spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_links_do_not_depend_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (20, 100, 500):
+            rows = []
+            for i in range(n // 2):  # separate pairs of cosine 0.92
+                a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+                rows += [(2 * i, f32(a)), (2 * i + 1, f32(0.92 * a + np.sqrt(1 - 0.92**2) * b))]
+            spark.conf.set("spark.sql.shuffle.partitions", "200")
+            assert run(spark, rows) == brute(rows), n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
