@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, minmax, packing, pii, planes, sharding, vectors, warc
+from . import chat, contentsort, decontaminate, langid, minmax, packing, pii, planes, sharding, vectors, warc
 from .common import table
 from .tokenizing import tokenizer_path
 
@@ -80,6 +80,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(spark, turns.unionByName(extra))
 
 
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents; the largest id of each group stays."""
+    return contentsort.copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES = {
         op8_minmax,
         op9_pii,
         op10_chat,
+        op13_content_sort,
     )
 }
 ORACLES: dict[str, str] = {
@@ -122,4 +128,9 @@ ORACLES: dict[str, str] = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op13_content_sort": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
 }
