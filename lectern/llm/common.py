@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import scratch_path
 
@@ -150,3 +151,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def numbered(df: DataFrame, group: list[str], order: list, out: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Rows of ``df`` with ``out``, their place (from 0) among the rows of
+    their group in ascending order, nulls first; ``sums`` names running sums
+    (row included) of columns.  Group columns hold no nulls.
+
+    No group lies in one task: the rows are range-partitioned by group and
+    order, written, numbered inside their (partition, group), and moved by
+    the counts and sums of the partitions before, one small row each.
+    """
+    sums = sums or {}
+    parted = df.repartitionByRange(shuffle_parts(df.sparkSession), *group, *order)
+    parted = written(parted.withColumn("_part", F.spark_partition_id()), "numbered-parts")
+    return running(parted, group, order, out, sums).drop("_part")
+
+
+def running(parted: DataFrame, group: list[str], order: list, out: str, sums: dict[str, str]) -> DataFrame:
+    """The numbering of :func:`numbered` for rows that carry the range
+    partition ``_part`` they came from."""
+    here = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = parted.groupBy("_part", *group).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_part")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_part", *group, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in ("n", *sums)]
+    )
+    local = parted.select("*", F.count("*").over(here).alias(out), *[F.sum(c).over(here).alias(n) for n, c in sums.items()])
+    moved = local.join(offsets, ["_part", *group])
+    kept = [c for c in parted.columns if c not in ("_part", *group)]
+    return moved.select(
+        "_part", *group, *kept, (F.col(out) - 1 + F.col("_n")).alias(out), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums]
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contentsort, decontaminate, langid, minmax, packing, pii, planes, sharding, vectors, warc
+from . import chat, contentsort, decontaminate, langid, merkle, minmax, packing, pii, planes, sharding, vectors, warc
 from .common import table
 from .tokenizing import tokenizer_path
 
@@ -80,6 +80,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(spark, turns.unionByName(extra))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and witness of every document; every fifth one is
+    verified with a tampered text."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_fifth())
+
+
 def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents; the largest id of each group stays."""
     return contentsort.copies(table(spark, sf_dir, "documents"), keep="largest")
@@ -98,10 +104,70 @@ QUERIES = {
         op8_minmax,
         op9_pii,
         op10_chat,
+        op11_merkle_manifest,
         op13_content_sort,
     )
 }
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text in DuckDB: a byte, then eight shifts, as
+    steps of one fold."""
+    steps = f"flatten(list_transform(range(length({text})), lambda i: [ascii(substr({text}, i + 1, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN s >= 0 THEN xor(crc, s) ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), lambda crc, s: {step}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Unrolled levels, enough for 16 ** levels documents a source."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def leaf(text: str) -> str:
+        values = ["doc_id", "source", "lang", "n_chars", text]
+        parts = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(p: str) -> list[str]:
+        out = []
+        for k in range(levels):
+            run = "OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+            out.append(
+                f"{p}s{k} AS (SELECT g, i, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, "
+                f"coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {p}n{k})"
+            )
+            out.append(
+                f"{p}n{k + 1} AS (SELECT t.g, t.i // 16 AS i, CASE WHEN max(t.n) > 1 THEN sha256(string_agg(t.h, '' ORDER BY t.i)) "
+                f"ELSE max(t.h) END AS h, (max(t.n) + 15) // 16 AS n FROM {p}n{k} t GROUP BY t.g, t.i // 16)"
+            )
+        return out
+
+    def walk(w: str, p: str) -> list[str]:
+        return [
+            f"{w}{k + 1} AS (SELECT doc_id, source, w.g, w.i // 16 AS i, leaf, CASE WHEN n > 1 THEN sha256(pre || f || post) ELSE f END AS f, "
+            f"proof || CASE WHEN n > 1 THEN pre || post ELSE '' END AS proof FROM {w}{k} w JOIN {p}s{k} s ON w.g = s.g AND w.i = s.i)"
+            for k in range(levels)
+        ]
+
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS source, {leaf('text')} AS leaf, CASE WHEN "
+        f"{_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} END AS changed FROM documents)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "an0 AS (SELECT source AS g, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM r)",
+        *tree("a"),
+        f"bn0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS name FROM an{levels})",
+        *tree("b"),
+        "aw0 AS (SELECT doc_id, source, source AS g, i, leaf, coalesce(changed, leaf) AS f, '' AS proof FROM r)",
+        *walk("aw", "a"),
+        f"bw0 AS (SELECT doc_id, source, 0 AS g, b.i, leaf, f, proof FROM aw{levels} w JOIN bn0 b ON w.source = b.name)",
+        *walk("bw", "b"),
+    ]
+    return f"""WITH {', '.join(parts)}
+        SELECT doc_id, leaf, a.h AS subroot, b.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b.h AS verified
+        FROM bw{levels} w JOIN an{levels} a ON w.source = a.g CROSS JOIN bn{levels} b"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              q AS (SELECT page_id, h, strlen(h) AS n,
