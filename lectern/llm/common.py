@@ -184,3 +184,19 @@ def running(parted: DataFrame, group: list[str], order: list, out: str, sums: di
     return moved.select(
         "_part", *group, *kept, (F.col(out) - 1 + F.col("_n")).alias(out), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums]
     )
+
+
+#: Keys with more than this share of the rows of a join are broadcast.
+HOT_SHARE = 1024
+
+
+def join_hot(rows: DataFrame, small: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``small``, which has one row a key and the
+    key's number of ``rows`` in ``weight`` (``total`` in all).  Keys that hold
+    more than a share of the rows, at most HOT_SHARE of them, meet their row
+    where they lie; only the others are shuffled."""
+    often = F.col(weight) > max(1, total // HOT_SHARE)
+    hot = small.where(often).drop(weight)
+    there = rows.join(F.broadcast(hot), on)
+    moved = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(~often).drop(weight), on)
+    return there.unionByName(moved)

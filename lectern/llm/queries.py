@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contentsort, decontaminate, langid, merkle, minmax, packing, pii, planes, sharding, vectors, warc
+from . import chat, contentsort, decontaminate, langid, merkle, minmax, packing, pii, planes, sharding, trie, vectors, warc
 from .common import table
 from .tokenizing import tokenizer_path
 
@@ -86,6 +86,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_fifth())
 
 
+def op12_truncation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents; the largest id of each group stays."""
     return contentsort.copies(table(spark, sf_dir, "documents"), keep="largest")
@@ -105,6 +110,7 @@ QUERIES = {
         op9_pii,
         op10_chat,
         op11_merkle_manifest,
+        op12_truncation_trie,
         op13_content_sort,
     )
 }
@@ -194,6 +200,30 @@ ORACLES: dict[str, str] = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    "op12_truncation_trie": f"""
+        WITH r AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+                          sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS value
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, value) - 1 AS i FROM r),
+             c AS (SELECT DISTINCT conv_id, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM r),
+             s AS (SELECT c.conv_id, 0 AS part, i, value, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i < h
+                   UNION ALL SELECT conv_id, 1, i, value, chars FROM t JOIN c USING (conv_id) WHERE i >= h),
+             b AS (SELECT conv_id, list(value ORDER BY part, i) AS v, list(chars ORDER BY part, i) AS w FROM s GROUP BY conv_id),
+             f AS (SELECT conv_id, coalesce(v, []::VARCHAR[]) AS v, coalesce(w, []::BIGINT[]) AS w FROM c LEFT JOIN b USING (conv_id)),
+             p AS (SELECT conv_id, v, w, unnest(range(0, len(v) + 1)) AS depth FROM f),
+             n AS (SELECT depth, array_to_string(v[1:depth], ',') AS k, min(conv_id) AS conv_id, count(*) AS n_convs,
+                          any_value(v[1:depth]) AS vs, coalesce(any_value(w[depth]), 0) AS chars,
+                          coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(v) = depth), '') AS ended
+                   FROM p GROUP BY 1, 2),
+             e AS (SELECT *, array_to_string(vs[1:depth - 1], ',') AS pk FROM n),
+             k AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY 1, 2),
+             m AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN k USING (depth, k)),
+             a AS (SELECT vs, unnest(range(0, depth + 1)) AS depth, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * chars AS saved FROM m),
+             u AS (SELECT depth, array_to_string(vs[1:depth], ',') AS k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY 1, 2)
+        SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ended) AS ends_sha256
+        FROM m JOIN u USING (depth, k) LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.k = m.pk
+    """,
     "op13_content_sort": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
