@@ -20,7 +20,11 @@ SVD, no Python, no exchange.
 
 Sentences are maximal runs without ``. ! ?`` or newline, followed by their
 terminators, trimmed.  Terms are runs of letters and digits, lower-cased,
-minus a stop-word list; no stemming.
+minus a stop-word list; with ``stems`` they are the stems of those words
+(:mod:`.stemming`).
+
+Time is linear in the text: a document is cut and tokenised once, and every
+sentence is scored from its own terms.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.text import strip_ws
 from ..params import LSA_SMOOTH, STOP_WORDS_ES, SUMMARY_SENTENCES
 from .embedding import tokens
+from .stemming import stem_arrays
 
 SENTENCE_RE = r"[^.!?\n]+[.!?]*"
 
@@ -54,8 +59,7 @@ def _let(value: Column, body) -> Column:
 
 def _terms(sentence, stop_words) -> Column:
     """Non-stop-word terms of a sentence, sorted, so that equal ones meet."""
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_sort(F.filter(tokens(sentence), lambda t: ~F.array_contains(stops, t)))
+    return F.array_sort(F.filter(tokens(sentence), lambda t: ~t.isin(*stop_words)))
 
 
 def _runs(terms: Column) -> Column:
@@ -73,10 +77,15 @@ def _runs(terms: Column) -> Column:
     return _let(terms, counted)
 
 
-def term_counts(sentences: DataFrame, id_col: str = "doc_id", stop_words=STOP_WORDS_ES) -> DataFrame:
-    """``(id, sent_no, term, cnt)`` for non-stop-word terms, counted inside
-    the sentence's own row."""
-    runs = _runs(_terms(F.col("sentence"), stop_words))
+def term_counts(sentences: DataFrame, id_col: str = "doc_id", stop_words=STOP_WORDS_ES, stems: bool = False) -> DataFrame:
+    """``(id, sent_no, term, cnt)`` for non-stop-word terms (or their stems),
+    counted inside the sentence's own row."""
+    if stems:
+        words = F.filter(tokens("sentence"), lambda t: ~t.isin(*stop_words))
+        sentences = sentences.select(id_col, "sent_no", stem_arrays(F.array(words))[0].alias("_terms"))
+        runs = _runs(F.array_sort("_terms"))
+    else:
+        runs = _runs(_terms(F.col("sentence"), stop_words))
     return explode_rows(sentences, [id_col, "sent_no"], runs, "run").select(
         id_col, "sent_no", F.col("run.term").alias("term"), F.col("run.cnt").alias("cnt")
     )
@@ -107,24 +116,37 @@ def _score(vocabulary: Column, terms: Column, smooth: float) -> Column:
     return F.aggregate(terms, start, step, scored)
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, smooth: float, stop_words) -> DataFrame:
-    """``(id, scored)``: the document's sentences with number and score, all
-    in its own row; documents without vocabulary have none."""
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    # sentence boundaries never cut a token: the document's distinct
-    # non-stop tokens are the union over its sentences
-    rows = docs.select(
-        id_col, F.size(F.array_except(tokens(text_col), stops)).alias("v"), sentences_of(text_col).alias("sentences")
-    ).filter((F.col("v") > 0) & (F.size("sentences") > 0))
+def _scores(sentences: Column, terms: Column, smooth: float) -> Column:
+    """Score, number and text of every sentence of a document from the sorted
+    terms of each; NULL without a vocabulary.  The vocabulary size is bound
+    outside the sentences, so it is counted once."""
 
-    def one(sentence, i):
-        return F.struct(
-            _let(_terms(sentence, stop_words), lambda t: _score(F.col("v"), t, smooth)).alias("score"),
-            i.alias("sent_no"),
-            sentence.alias("sentence"),
-        )
+    def scored(s, t):
+        def each(v):
+            def one(sentence, i):
+                score = _let(t[i], lambda own: _score(v, own, smooth))
+                return F.struct(score.alias("score"), i.alias("sent_no"), sentence.alias("sentence"))
+
+            return F.when(v > 0, F.transform(s, one))
+
+        return _let(F.size(F.array_distinct(F.flatten(t))), each)
+
+    return _let(sentences, lambda s: _let(terms, lambda t: scored(s, t)))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, smooth: float, stop_words, stems: bool) -> tuple[DataFrame, Column]:
+    """A frame and, in it, the scored sentences of each document, all in its
+    own row."""
+    if stems:
+        cut = docs.select(id_col, sentences_of(text_col).alias("_sentences"))
+        words = F.transform("_sentences", lambda s: F.filter(tokens(s), lambda t: ~t.isin(*stop_words)))
+        cut = cut.select(id_col, "_sentences", stem_arrays(words).alias("_stems"))
+        return cut, _scores(F.col("_sentences"), F.transform("_stems", lambda x: F.array_sort(x)), smooth)
 
-    return rows.select(id_col, F.transform("sentences", one).alias("scored"))
+    def both(s):
+        return _scores(s, F.transform(s, lambda x: _terms(x, stop_words)), smooth)
+
+    return docs.select(id_col, F.col(text_col).alias("_text")), _let(sentences_of("_text"), both)
 
 
 def scored_sentences(
@@ -133,11 +155,12 @@ def scored_sentences(
     text_col: str = "text",
     smooth: float = LSA_SMOOTH,
     stop_words=STOP_WORDS_ES,
+    stems: bool = False,
 ) -> DataFrame:
     """``(id, sent_no, sentence, score)`` for every sentence of documents
     that have a vocabulary, without an exchange."""
-    rows = explode_rows(_scored(docs, id_col, text_col, smooth, stop_words), [id_col], F.col("scored"), "s")
-    return rows.select(id_col, "s.sent_no", "s.sentence", "s.score")
+    rows, scored = _scored(docs, id_col, text_col, smooth, stop_words, stems)
+    return explode_rows(rows, [id_col], scored, "s").select(id_col, "s.sent_no", "s.sentence", "s.score")
 
 
 def lsa_summary(
@@ -147,18 +170,22 @@ def lsa_summary(
     n: int = SUMMARY_SENTENCES,
     smooth: float = LSA_SMOOTH,
     stop_words=STOP_WORDS_ES,
+    stems: bool = False,
 ) -> DataFrame:
     """``(id, n_sentences, summary)``: best ``n`` sentences by score (ties:
     earlier first), joined by newlines in text order.  Map-side throughout."""
-    rows = _scored(docs, id_col, text_col, smooth, stop_words)
-    ranked = F.array_sort(
-        F.transform("scored", lambda s: F.struct((-s["score"]).alias("k"), s["sent_no"].alias("i"), s["sentence"].alias("t")))
-    )
-    best = F.slice(ranked, 1, n)
-    in_order = F.array_sort(F.transform(best, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"))))
-    out = rows.select(id_col, in_order.alias("best"))
-    return out.select(
-        id_col,
-        F.size("best").cast("bigint").alias("n_sentences"),
-        F.array_join(F.transform("best", lambda s: s["t"]), "\n").alias("summary"),
-    )
+    rows, scored = _scored(docs, id_col, text_col, smooth, stop_words, stems)
+
+    def best(s):
+        ranked = F.array_sort(
+            F.transform(s, lambda x: F.struct((-x["score"]).alias("k"), x["sent_no"].alias("i"), x["sentence"].alias("t")))
+        )
+        return F.array_sort(F.transform(F.slice(ranked, 1, n), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"))))
+
+    def summary(b):
+        text = F.array_join(F.transform(b, lambda x: x["t"]), "\n")
+        return F.when(b.isNotNull(), F.array(F.struct(F.size(b).cast("bigint").alias("n_sentences"), text.alias("summary"))))
+
+    # exploded, not filtered: a filter would be evaluated below, once more
+    found = explode_rows(rows, [id_col], _let(_let(scored, best), summary), "s")
+    return found.select(id_col, "s.n_sentences", "s.summary")

@@ -7,7 +7,6 @@ results to agree with the behaviour being reproduced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from html.entities import name2codepoint
 
 # --------------------------------------------------------------------------
@@ -57,6 +56,38 @@ TOKEN_LENGTH = 32
 OK_STATUS = 200
 LINK_TEMPLATE = '<a href="{0}" target="_blank" style="color: blue;">{0}</a>'
 
+# Suffixes of the published Spanish Snowball stemmer.
+STEM_PRONOUNS = frozenset("me se sela selo selas selos la le lo las les los nos".split())
+STEM_GERUNDS = frozenset("iéndo ándo ár ér ír ando iendo ar er ir yendo".split())
+# Standard suffixes: region they must lie in, what replaces them, and the
+# endings that go as well, each with those that may go before it.
+STEM_STANDARD = {
+    **dict.fromkeys(
+        "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas "
+        "amiento amientos imiento imientos".split(),
+        ("R2", "", {}),
+    ),
+    **dict.fromkeys("adora ador ación adoras adores aciones ante antes ancia ancias".split(), ("R2", "", {"ic": ()})),
+    **dict.fromkeys("logía logías".split(), ("R2", "log", {})),
+    **dict.fromkeys("ución uciones".split(), ("R2", "u", {})),
+    **dict.fromkeys("encia encias".split(), ("R2", "ente", {})),
+    "amente": ("R1", "", {"iv": ("at",), "os": (), "ic": (), "ad": ()}),
+    "mente": ("R2", "", {"ante": (), "able": (), "ible": ()}),
+    **dict.fromkeys("idad idades".split(), ("R2", "", {"abil": (), "ic": (), "iv": ()})),
+    **dict.fromkeys("iva ivo ivas ivos".split(), ("R2", "", {"at": ()})),
+}
+STEM_VERB_Y = frozenset("ya ye yan yen yeron yendo yo yó yas yes yais yamos".split())
+STEM_VERB_OTHER = frozenset(
+    "en es éis emos "
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré "
+    "erían erías erán erás eríais ería eréis eríamos eremos erá eré "
+    "irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron "
+    "ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais arais "
+    "ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos".split()
+)
+STEM_RESIDUAL = frozenset("os a o á í ó e é".split())
+
 # --------------------------------------------------------------------------
 # own values
 # --------------------------------------------------------------------------
@@ -85,19 +116,3 @@ WS_CLASS = (
 QUESTION_BYTES = 64 << 20
 # The same characters, to trim with.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-
-
-@dataclass(frozen=True)
-class Defaults:
-    chunk_length: int = CHUNK_LENGTH
-    split_size: int = SPLIT_SIZE
-    split_overlap: int = SPLIT_OVERLAP
-    separators: tuple = SPLIT_SEPARATORS
-    k: int = RETRIEVER_K
-    budget: int = BACKFILL_BUDGET
-    sentences: int = SUMMARY_SENTENCES
-    embed_dim: int = 256
-    extra: dict = field(default_factory=dict)
-
-
-DEFAULTS = Defaults()

@@ -1022,6 +1022,10 @@ s1 AS (SELECT doc_id, l, unnest(range(0, len(l))) AS sent_no FROM s0),
 s AS (SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, l[sent_no + 1] AS sentence FROM s1),
 t AS (SELECT doc_id, sent_no, unnest({Q.tokens('sentence')}) AS term FROM s),
 c AS (SELECT doc_id, sent_no, term, count(*)::BIGINT AS cnt FROM t WHERE term NOT IN ({_stops_sql}) GROUP BY ALL)"""
+SQL_STEMMED = SQL_SENTENCES[: SQL_SENTENCES.rindex("c AS (SELECT doc_id")] + f"""st_0 AS (SELECT DISTINCT term AS w FROM t
+  WHERE term NOT IN ({_stops_sql})),
+{Q.stems('st')},
+c AS (SELECT doc_id, sent_no, stem AS term, count(*)::BIGINT AS cnt FROM t JOIN st ON t.term = st.w GROUP BY ALL)"""
 
 
 @register(
@@ -1034,26 +1038,47 @@ def lsa_term_weights(spark, d):
     return counts.select("doc_id", _bigint("sent_no").alias("sent_no"), "term", "cnt")
 
 
+@register(
+    "lsa_stem_weights",
+    f"WITH {SQL_STEMMED} SELECT doc_id, sent_no, term, cnt FROM c",
+)
+def lsa_stem_weights(spark, d):
+    """Counts of stems in each sentence."""
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
+    counts = M.term_counts(M.split_sentences(docs), stems=True)
+    return counts.select("doc_id", _bigint("sent_no").alias("sent_no"), "term", "cnt")
+
+
 _a = float(LSA_SMOOTH)
-SQL_LSA = f"""WITH {SQL_SENTENCES},
-st AS (SELECT doc_id, sent_no, max(cnt) AS m, sum(cnt) AS s1, sum(cnt * cnt) AS s2 FROM c GROUP BY ALL),
+
+
+def _lsa_sql(counts: str) -> str:
+    return f"""WITH {counts},
+sm AS (SELECT doc_id, sent_no, max(cnt) AS m, sum(cnt) AS s1, sum(cnt * cnt) AS s2 FROM c GROUP BY ALL),
 v AS (SELECT doc_id, count(DISTINCT term) AS v FROM c GROUP BY ALL),
 sc AS (SELECT s.doc_id, s.sent_no, s.sentence,
-  CASE WHEN st.m > 0 THEN sqrt({Q.dbl(_a * _a)} * v.v::DOUBLE + {Q.dbl(2 * _a * (1 - _a))} * st.s1::DOUBLE / st.m::DOUBLE
-    + {Q.dbl((1 - _a) * (1 - _a))} * st.s2::DOUBLE / (st.m::DOUBLE * st.m::DOUBLE)) ELSE 0.0 END AS score
-  FROM s JOIN v USING (doc_id) LEFT JOIN st USING (doc_id, sent_no)),
+  CASE WHEN sm.m > 0 THEN sqrt({Q.dbl(_a * _a)} * v.v::DOUBLE + {Q.dbl(2 * _a * (1 - _a))} * sm.s1::DOUBLE / sm.m::DOUBLE
+    + {Q.dbl((1 - _a) * (1 - _a))} * sm.s2::DOUBLE / (sm.m::DOUBLE * sm.m::DOUBLE)) ELSE 0.0 END AS score
+  FROM s JOIN v USING (doc_id) LEFT JOIN sm USING (doc_id, sent_no)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS rn FROM sc)
 SELECT doc_id, count(*)::BIGINT AS n_sentences, string_agg(sentence, chr(10) ORDER BY sent_no) AS summary
 FROM r WHERE rn <= {SUMMARY_SENTENCES} GROUP BY doc_id"""
 
 
-@register("lsa_summary", SQL_LSA)
+@register("lsa_summary", _lsa_sql(SQL_SENTENCES))
 def lsa_summary(spark, d):
     docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
     out = M.lsa_summary(docs)
     return out.select("doc_id", _bigint("n_sentences").alias("n_sentences"), "summary")
 
 
+@register("lsa_stem_summary", _lsa_sql(SQL_STEMMED))
+def lsa_stem_summary(spark, d):
+    """The summary over stems."""
+    docs = read_table(spark, d, "documents", heavy=True).select("doc_id", "text")
+    return M.lsa_summary(docs, stems=True).select("doc_id", "n_sentences", "summary")
+
+
 # Streaming ----------------------------------------------------------------------
 
 

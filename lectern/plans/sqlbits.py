@@ -7,7 +7,16 @@ from ..functions import links as L
 from ..functions import text as X
 from ..operators.embedding import TOKEN_RE
 from ..operators.summary import SENTENCE_RE
-from ..params import LINK_TEMPLATE, URL_SEPARATOR
+from ..params import (
+    LINK_TEMPLATE,
+    STEM_GERUNDS,
+    STEM_PRONOUNS,
+    STEM_RESIDUAL,
+    STEM_STANDARD,
+    STEM_VERB_OTHER,
+    STEM_VERB_Y,
+    URL_SEPARATOR,
+)
 
 
 def lit(s: str) -> str:
@@ -105,3 +114,47 @@ def sentences(x: str) -> str:
         f"list_filter(list_transform(regexp_extract_all({x}, {lit(SENTENCE_RE)}, 0), "
         f"lambda s: {strip_ws('s')}), lambda s: s <> '')"
     )
+
+
+# Spanish stems, step by step over a table ``name_0`` of words ``w``; regions
+# are cut by patterns, suffixes by the longest alternative at the end.
+_V = "aeiouáéíóúü"
+_NEXT_REGION = f"^[^{_V}]*[{_V}]+[^{_V}](.*)$"
+
+
+def _ending(x: str, start: str, suffixes) -> str:
+    """The longest suffix that ends ``x`` from its character ``start`` on."""
+    return f"regexp_extract(substr({x}, {start} + 1), {lit('(' + '|'.join(suffixes) + ')$')}, 1)"
+
+
+def _less(x: str, suffix: str) -> str:
+    return f"left({x}, length({x}) - length({suffix}))"
+
+
+def stems(name: str) -> str:
+    """CTEs from ``name_0(w)`` to ``name(w, stem)``."""
+    rules = list(STEM_STANDARD.items())
+    region = " ".join(f"WHEN {lit(x)} THEN {'r1' if r == 'R1' else 'r2'}" for x, (r, _, _) in rules)
+    put = " ".join(f"WHEN {lit(x)} THEN {lit(new)}" for x, (_, new, _) in rules if new)
+    more = " ".join(f"WHEN {lit(x)} THEN {_ending('b', 'r2', more)}" for x, (_, _, more) in rules if more)
+    return f"""{name}_1 AS (SELECT w, length(w) - length(regexp_extract(w, '{_NEXT_REGION}', 1)) AS r1,
+  regexp_extract(regexp_extract(w, '{_NEXT_REGION}', 1), '{_NEXT_REGION}', 1) AS s2,
+  CASE WHEN length(w) < 3 THEN '' WHEN regexp_matches(w, '^.[^{_V}]') THEN regexp_extract(w, '^.[^{_V}]+[{_V}](.*)$', 1)
+    WHEN regexp_matches(w, '^[{_V}]') THEN regexp_extract(w, '^[{_V}]+[^{_V}](.*)$', 1) ELSE substr(w, 4) END AS sv FROM {name}_0),
+{name}_2 AS (SELECT w, r1, length(w) - length(s2) AS r2, length(w) - length(sv) AS rv, {_ending('w', '(length(w) - length(sv))', sorted(STEM_PRONOUNS))} AS p FROM {name}_1),
+{name}_3 AS (SELECT *, {_less('w', 'p')} AS h, {_ending(_less('w', 'p'), 'rv', sorted(STEM_GERUNDS))} AS g FROM {name}_2),
+{name}_4 AS (SELECT w, r1, r2, rv, CASE WHEN p = '' OR g = '' OR (g = 'yendo' AND NOT ends_with(h, 'uyendo')) THEN w
+  ELSE {_less('h', 'g')} || translate(g, 'áéíóú', 'aeiou') END AS a FROM {name}_3),
+{name}_5 AS (SELECT *, {_ending('a', '0', sorted(STEM_STANDARD))} AS s FROM {name}_4),
+{name}_6 AS (SELECT *, s <> '' AND length(a) - length(s) >= CASE s {region} END AS std FROM {name}_5),
+{name}_7 AS (SELECT *, CASE WHEN std THEN {_less('a', 's')} || CASE s {put} ELSE '' END ELSE a END AS b FROM {name}_6),
+{name}_8 AS (SELECT *, CASE WHEN std THEN CASE s {more} ELSE '' END ELSE '' END AS e FROM {name}_7),
+{name}_9 AS (SELECT *, {_less('b', 'e')} AS c, s = 'amente' AND e = 'iv' AS iv FROM {name}_8),
+{name}_10 AS (SELECT w, rv, a, std, CASE WHEN iv THEN {_less('c', _ending('c', 'r2', ['at']))} ELSE c END AS c,
+  {_ending('a', 'rv', sorted(STEM_VERB_Y))} AS y, {_ending('a', 'rv', sorted(STEM_VERB_OTHER))} AS v FROM {name}_9),
+{name}_11 AS (SELECT w, rv, CASE WHEN std THEN c WHEN y <> '' AND ends_with({_less('a', 'y')}, 'u') THEN {_less('a', 'y')}
+  WHEN v IN ('en', 'es', 'éis', 'emos') AND ends_with({_less('a', 'v')}, 'gu') THEN left({_less('a', 'v')}, length(a) - length(v) - 1)
+  ELSE {_less('a', 'v')} END AS d FROM {name}_10),
+{name}_12 AS (SELECT w, rv, d, {_ending('d', 'rv', sorted(STEM_RESIDUAL))} AS o FROM {name}_11),
+{name} AS (SELECT w, translate(CASE WHEN o IN ('e', 'é') AND ends_with({_less('d', 'o')}, 'gu') AND length(d) - 2 >= rv
+  THEN left(d, length(d) - 2) ELSE {_less('d', 'o')} END, 'áéíóú', 'aeiou') AS stem FROM {name}_12)"""

@@ -4,12 +4,14 @@ import math
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from lectern.operators import chunking as C
 from lectern.operators import embedding as E
+from lectern.operators import stemming
 from lectern.operators import summary as M
 from lectern.params import STOP_WORDS_ES
 
@@ -119,3 +121,79 @@ def test_long_sentence_of_equal_terms_is_fast(spark):
     assert M.scored_sentences(docs).count() == 1
     got = {r["term"]: r["cnt"] for r in M.term_counts(M.split_sentences(docs)).collect()}
     assert got == {"palabra": 20_000}  # "otra" is a stop word
+
+
+def test_summary_tokenises_a_text_once_and_in_linear_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "uno dos tres. cuatro cinco.")], "doc_id int, text string")
+    plan = M.lsa_summary(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(E.NON_TOKEN_RE) <= 2
+    assert plan.count(M.SENTENCE_RE) == 1
+
+    def seconds(n):
+        text = " ".join(f"frase {i} sobre el tema {i % 97} de plazas." for i in range(n))
+        best = []
+        for _ in range(3):
+            t0 = time.perf_counter()
+            assert M.lsa_summary(spark.createDataFrame([(1, text)], "doc_id int, text string")).count() == 1
+            best.append(time.perf_counter() - t0)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(40_000) < 6 * max(seconds(20_000), 0.3)  # quadratic work on 40,000 sentences takes minutes
+
+
+# Pairs published with the Spanish Snowball stemmer.
+STEMS = """checa chec checar chec checoslovaquia checoslovaqui chelo chel chemise chemis cheque chequ chequeo cheque
+cheques chequ chesca chesc chester chest chetumaleños chetumaleñ cheyene cheyen chía chi chiapaneca chiapanec
+chiapas chiap chicharrones chicharron chichen chich torá tor tórax torax torcer torc toreado tor toreándolo tor
+torearlo tor toreó tore torero torer tormentas torment tornen torn torneo torne torniquete torniquet torpedearon torped
+torpeza torpez torrencial torrencial torrenciales torrencial torreón torreon torrescano torrescan""".split()
+
+
+@pytest.mark.parametrize("word,expected", list(zip(STEMS[::2], STEMS[1::2])))
+def test_published_stems(word, expected):
+    assert stemming.stem(word) == expected
+
+
+@pytest.mark.parametrize(
+    "word,expected",
+    [
+        ("efectivamente", "efect"), ("administrativamente", "administr"), ("posiblemente", "posibl"), ("biología", "biolog"),
+        ("construyendo", "constru"), ("haciéndola", "hac"), ("paguen", "pag"), ("averigüe", "averigü"), ("", ""), ("a", "a"), ("yo", "yo"),
+    ],
+)
+def test_every_step_of_the_stemmer(word, expected):
+    assert stemming.stem(word) == expected
+
+
+def test_stems_are_made_once_a_distinct_word(monkeypatch):
+    import pandas as pd
+
+    seen = []
+    monkeypatch.setattr(stemming, "stem", lambda w: seen.append(w) or w[:3])
+    monkeypatch.setattr(stemming, "_STEMS", {})
+    out = stemming._stem_lists(pd.Series([[["plazas", "plazas"], None], None, [["plazas", "cargo"]]]))
+    assert out.tolist() == [[["pla", "pla"], None], None, [["pla", "car"]]]
+    assert sorted(seen) == ["cargo", "plazas"]
+
+
+def test_summary_over_stems_equals_svd(spark):
+    text = (
+        "El tribunal convoca una plaza de auxiliar. Las plazas de auxiliares se cubren por concursos! "
+        "El plazo termina en mayo.\nSe publican las listas de admitidos. Nada mas. "
+        "Auxiliar auxiliares auxiliar? Concurso de traslados para plazas vacantes."
+    )
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "de la y.")], "doc_id int, text string")
+    sentences = [s.strip() for s in re.findall(r"[^.!?\n]+[.!?]*", text) if s.strip()]
+    words = [[stemming.stem(w) for w in re.findall(r"[^\W_]+", s.lower()) if w not in STOP_WORDS_ES] for s in sentences]
+    counts = np.array([[ws.count(t) for ws in words] for t in sorted(set(sum(words, [])))], float)
+    top = counts.max(0)
+    a = np.where(top > 0, 0.4 + 0.6 * counts / np.maximum(top, 1), 0)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    ranks = np.linalg.norm(s[:, None] * vt, axis=0)
+    scored = M.scored_sentences(docs, stems=True).orderBy("sent_no").collect()
+    assert np.allclose([r["score"] for r in scored], ranks, rtol=1e-9, atol=1e-12)
+    got = M.lsa_summary(docs, n=3, stems=True).collect()
+    assert [r["summary"].split("\n") for r in got] == [[sentences[i] for i in sorted(np.argsort(-ranks, kind="stable")[:3])]]
