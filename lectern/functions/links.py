@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..params import BULLETIN_SEGMENT, LINK_PATTERN, LINK_TEXT, NOTICE_XML_PATH
 from .arrays import posexplode_rows
-from .text import drop_markup, enclosed
+from .text import decode_entities, drop_markup, enclosed
 
 RE_ANCHOR_OPEN = r"(?is)^<a\b[^>]*>"
 RE_ANCHOR_INNER = r"(?is)^<a\b[^>]*>(.*)</a\s*>$"
@@ -26,9 +26,23 @@ def anchors(html) -> Column:
     return enclosed(html, r"<a\b[^<>]*>", r"</a\s*>", "is")
 
 
+_TAG = r"<(?!(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b)[A-Za-z][^<>]*>"
+#: An element's content that is one string, alone or inside elements that
+#: hold nothing else.
+RE_ONLY_STRING = rf"(?is)^(?:{_TAG})*([^<]+)(?:</[A-Za-z][^<>]*>)*$"
+
+
+def only_string(inner) -> Column:
+    """The only string of an element, from its content; NULL where it has
+    child elements beside text, several children, or none."""
+    found = F.regexp_extract(_col(inner), RE_ONLY_STRING, 1)
+    return F.when(found != "", decode_entities(found))
+
+
 def extract_links(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """One row per anchor: ``link_no`` (0-based), ``anchor`` (markup),
-    ``href`` and ``anchor_text`` (visible text, entities decoded)."""
+    ``href``, ``anchor_text`` (visible text, entities decoded) and
+    ``anchor_string`` (its only string, NULL where it has none)."""
     keep = keep if keep is not None else [c for c in df.columns if c != html_col]
     exploded = posexplode_rows(df, keep, anchors(html_col), "link_no", "anchor")
     open_tag = F.regexp_extract("anchor", RE_ANCHOR_OPEN, 0)
@@ -39,12 +53,14 @@ def extract_links(df: DataFrame, html_col: str = "html", keep: list[str] | None
         "anchor",
         F.regexp_extract(open_tag, RE_HREF, 1).alias("href"),
         drop_markup(inner).alias("anchor_text"),
+        only_string(inner).alias("anchor_string"),
     )
 
 
 def filter_link_text(links: DataFrame, text: str = LINK_TEXT) -> DataFrame:
-    """Anchors whose visible text equals ``text`` exactly (case-sensitive)."""
-    return links.filter(F.col("anchor_text") == F.lit(text))
+    """Anchors whose only string equals ``text`` exactly (case-sensitive):
+    one with child elements beside its text has none and is refused."""
+    return links.filter(F.col("anchor_string") == F.lit(text))
 
 
 def filter_link_markup(links: DataFrame, pattern: str = LINK_PATTERN) -> DataFrame:

@@ -6,22 +6,25 @@ whole-stage code generation and need no Python worker.
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import ENTITY_POINTS, LINK_TEMPLATE, URL_SEPARATOR, WHITE_SPACE, WS_CLASS
+from ..params import LINK_TEMPLATE, URL_SEPARATOR, WHITE_SPACE, WS_CLASS
 
 # One-pass patterns.  None of them rescans: tags, declarations and processing
 # instructions end at the next angle bracket of either kind, and elements and
-# comments are cut at their openers (see _without).
-RE_SCRIPT = (r"(?i)<script\b[^<>]*>", r"(?is)^.*?</script\s*>")
-RE_STYLE = (r"(?i)<style\b[^<>]*>", r"(?is)^.*?</style\s*>")
+# comments are looked for before their last closer only (see _head).
+SCRIPT = (r"<script\b[^<>]*>", r"</script\s*>")
+STYLE = (r"<style\b[^<>]*>", r"</style\s*>")
+COMMENT = ("<!--", "-->")
 RE_DECL_PI_TAG = r"<![^<>]*>|<\?[^<>]*>|</?[A-Za-z][^<>]*>"
 # A "<" without ">" up to the line's end is taken whole and put back ($1).
 RE_LEFTOVER_TAG = r"(<[^>\n]*+(?![^\n]))|<[^>\n]*+>"
-RE_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+RE_ENTITY = r"&(?:#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[^\t\n\f <&#;]{1,32}+;?)"
 RE_LINK = rf'https?://[^{WS_CLASS}<>"]+|www\.[^{WS_CLASS}<>"]+'
 
 
@@ -39,23 +42,69 @@ def _code_point(hexadecimal: Column) -> Column:
     return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
 
 
+def _names() -> str:
+    """The HTML 5 table as JSON, by the first two characters of a name."""
+    table: dict[str, dict[str, str]] = {}
+    for full, value in html5.items():
+        table.setdefault(full[:2], {})[full] = value
+    return json.dumps(table)
+
+
+_NAMES = _names()
+
+
+def _named(name: Column) -> Column:
+    """What a name of the HTML 5 table (its semicolon included) stands for.
+    A look-up reads the names of one pair of first characters."""
+    pairs = F.from_json(F.lit(_NAMES), "map<string,map<string,string>>")  # folded to one literal
+    return F.try_element_at(F.try_element_at(pairs, F.substring(name, 1, 2)), name)
+
+
+#: Names that need no semicolon, longest first: the longest one that begins a
+#: reference is the reference.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+RE_BARE_NAME = f"^(?:{_BARE_NAMES})"
+#: Numbers that stand for another character: those of the Windows code page,
+#: nul and carriage return.
+_MOVED = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+_MOVED = {n: chr(n) if c == "\ufffd" else c for n, c in _MOVED.items()} | {0: "\ufffd", 0x0D: "\r"}
+
+
+def _numbered(body: Column) -> Column:
+    """What ``#number`` or ``#xnumber`` stands for; the empty string for
+    control and non-characters."""
+    is_hex = body.rlike("^#[xX]")
+    digits = F.regexp_replace(F.when(is_hex, F.substring(body, 3, 1 << 30)).otherwise(F.substring(body, 2, 1 << 30)), "^0+|;$", "")
+    # more than eight digits are beyond every code point
+    small = F.when(F.length(digits) > 8, F.lit("99999999")).otherwise(F.concat(F.lit("0"), digits))
+    point = F.when(is_hex, F.conv(small, 16, 10)).otherwise(small).cast("bigint")
+    hexadecimal = F.hex(point)
+    moved = F.create_map(*[x for n, c in sorted(_MOVED.items()) for x in (F.lit(n).cast("bigint"), F.lit(c))])
+    nothing = (
+        point.between(0x1, 0x8) | (point == 0xB) | point.between(0xE, 0x1F) | (point == 0x7F) | point.between(0xFDD0, 0xFDEF)
+        | (point.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    character = F.coalesce(F.try_element_at(moved, point), _code_point(hexadecimal))
+    return F.when(point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd")).when(nothing, F.lit("")).otherwise(character)
+
+
 def _entity(e: Column) -> Column:
-    """What one character reference stands for; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for name, point in sorted(ENTITY_POINTS.items()) for x in (name, chr(point))])
-    body = F.substring(e, 2, 40)
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
-    digits = F.when(body.rlike("^#[xX]"), F.upper(F.substring(body, 3, 40))).when(
-        body.startswith("#"), F.hex(F.substring(body, 2, 40).cast("bigint"))
-    )
-    number = F.conv(digits, 16, 10).cast("bigint")
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    by_number = F.when(valid, _code_point(digits)).otherwise(F.lit("\ufffd"))
-    return F.when(body.startswith("#"), by_number).otherwise(F.coalesce(F.try_element_at(names, body), e))
+    """What one character reference stands for.  A name that is not in the
+    table ends at its longest beginning that needs no semicolon; what has
+    none stays."""
+    body = F.substring(e, 2, 1 << 30)
+
+    def bare(name):
+        return F.when(name != "", F.concat(_named(name), F.substring(body, F.length(name) + 1, F.lit(1 << 30)))).otherwise(e)
+
+    by_name = F.coalesce(_named(body), _let(F.regexp_extract(body, RE_BARE_NAME, 0), bare))
+    return F.when(body.startswith("#"), _numbered(body)).otherwise(by_name)
 
 
 def decode_entities(c) -> Column:
-    """Named (HTML 4 and ``apos``) and numeric character references, decoded
-    in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+    """Character references as HTML 5 has them (names with and without
+    semicolon, longest first, and numbers), decoded in one pass, so
+    ``&amp;lt;`` gives ``&lt;``."""
 
     def joined(found, gaps):
         parts = F.transform(found, lambda e, i: F.concat(gaps[i], _entity(e)))
@@ -68,60 +117,29 @@ def decode_entities(c) -> Column:
     return _let(_col(c), lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
 
 
-def _without(c, opener: str, closer: str, reopen: str = "") -> Column:
-    """Text without everything from an ``opener`` to the next ``closer``.
+def _head(text: Column, closer: str, flags: str) -> Column:
+    """The text up to its last ``closer``.  Every opener in it has a closer
+    behind it, so a search from opener to next closer never fails, and all
+    searches together take time linear in the text."""
+    return F.regexp_extract(text, f"(?{flags})^.*{closer}", 0)
 
-    The text is cut at its openers; a piece that holds a closer goes on behind
-    it, a piece before the last such piece lies inside and goes.  Pieces after
-    it were opened and never closed: they stay, behind ``reopen``."""
 
-    def kept(pieces, closed):
-        inside = F.reverse(F.slice(closed, 2, 1 << 30))
-        last = F.when(F.array_contains(inside, True), F.size(closed) - F.array_position(inside, True)).otherwise(0)
-        return _let(
-            last,
-            lambda end: F.array_join(
-                F.transform(
-                    pieces,
-                    lambda piece, i: F.when(i == 0, piece)
-                    .when(i > end, F.concat(F.lit(reopen), piece))
-                    .when(closed[i], F.regexp_replace(piece, closer, ""))
-                    .otherwise(""),
-                ),
-                "",
-            ),
-        )
+def _without(c, opener: str, closer: str) -> Column:
+    """Text without everything from an ``opener`` to the next ``closer``;
+    what was opened and never closed stays."""
 
-    def cut(pieces):
-        return _let(F.transform(pieces, lambda piece: piece.rlike(closer)), lambda closed: kept(pieces, closed))
+    def cut(text, head):
+        kept = F.regexp_replace(head, f"(?is){opener}.*?{closer}", "")
+        return F.when(head == "", text).otherwise(F.concat(kept, F.substring(text, F.length(head) + 1, F.lit(1 << 30))))
 
-    return _let(
-        _col(c), lambda text: F.when(text.rlike(opener), _let(F.split(text, opener, -1), cut)).otherwise(text)
-    )
+    return _let(_col(c), lambda text: _let(_head(text, closer, "is"), lambda head: cut(text, head)))
 
 
 def enclosed(c, opener: str, closer: str, flags: str = "s") -> Column:
     """Array of whole elements, from an ``opener`` to the next ``closer``, in
-    order.  The text is cut at its closers; in each piece the element starts
-    at the first opener.  Time is linear in the text."""
-    end = f"(?{flags}){closer}"
-    start = f"(?{flags}){opener}.*\\z"
-
-    def found(ends, pieces):
-        whole = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(ends)),
-            ends,
-            lambda piece, e: _let(F.regexp_extract(piece, start, 0), lambda m: F.when(m != "", F.concat(m, e))),
-        )
-        return F.filter(whole, lambda m: m.isNotNull())
-
-    return _let(
-        _col(c),
-        lambda text: _let(
-            F.regexp_extract_all(text, F.lit(end), F.lit(0)),
-            lambda ends: _let(F.split(text, end, -1), lambda pieces: found(ends, pieces)),
-        ),
-    )
+    order.  Time is linear in the text."""
+    whole = F.lit(f"(?{flags}){opener}.*?{closer}")
+    return F.regexp_extract_all(_head(_col(c), closer, flags), whole, F.lit(0))
 
 
 def drop_markup(c) -> Column:
@@ -129,9 +147,9 @@ def drop_markup(c) -> Column:
     separator: scripts, styles, comments and declarations dropped, tags
     removed, then character references decoded.  Time is linear in the text;
     what follows an opener that is never closed stays."""
-    out = _without(_col(c), *RE_SCRIPT)
-    out = _without(out, *RE_STYLE)
-    out = _without(out, "<!--", r"(?s)^.*?-->", "<!--")
+    out = _without(_col(c), *SCRIPT)
+    out = _without(out, *STYLE)
+    out = _without(out, *COMMENT)
     return decode_entities(F.regexp_replace(out, RE_DECL_PI_TAG, ""))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import scratch_path
+
 
 def _join_sorted(pairs: Column, sep: str) -> Column:
     """``pairs`` is an array of struct(o, v); join v in o order, NULL v
@@ -79,3 +81,27 @@ def ordered_concat(
         *([count_col] if count_col else []),
         F.when(F.col("_n") > 0, _join_sorted(F.col("_pairs"), sep)).alias(out_col),
     )
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each ``name: column`` of ``sums``, the sum of the column
+    (null counts as 0) over the rows of the group up to this one in ascending
+    ``order``, which tells the rows of a group apart.
+
+    No group lies in one task: the rows are range-partitioned by group and
+    order and written once, summed inside each (partition, group), and moved
+    by the totals of the partitions before, one small row each.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "running_sums")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parted = spark.read.parquet(path)
+    here = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    value = {name: F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for name, c in sums.items()}
+    totals = parted.groupBy("_part", *group).agg(*[F.sum(v).alias(f"_before_{name}") for name, v in value.items()])
+    offsets = totals.select("_part", *group, *[F.coalesce(F.sum(f"_before_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    local = parted.select("*", *[F.sum(v).over(here).alias(name) for name, v in value.items()])
+    joined = local.join(offsets, ["_part", *group])
+    return joined.select(*df.columns, *[(F.col(name) + F.col(f"_before_{name}")).cast("bigint").alias(name) for name in sums])

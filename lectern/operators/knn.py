@@ -2,16 +2,21 @@
 
 Plan
 ----
-* The questions are a bounded batch: their vectors must fit ``max_bytes``,
-  which is checked before they are collected; a larger table raises, and the
-  caller asks in batches.  The batch travels with the tasks.
-* The corpus is never shuffled and only ids and vectors reach Python.
-  ``mapInPandas`` scans each partition once and carries the k best rows per
-  question along; one matrix product per Arrow batch finds the rows that may
-  belong to them, their distances are then taken from differences, which
-  keeps the order exact at any scale.  A task yields k rows per question.
-* A ``row_number() <= k`` window over the question id merges the tasks' lists
-  (Spark plans a partial group limit before the exchange).
+* Questions whose vectors fit ``max_bytes`` (checked before anything is
+  collected) travel with the tasks: the corpus is never shuffled and only ids
+  and vectors reach Python.  ``mapInPandas`` scans each partition once and
+  carries the k best rows per question along.
+* More questions are joined in blocks: questions are dealt over blocks of at
+  most about ``max_bytes``, the corpus over groups of at most about
+  ``GROUP_BYTES``, and every pair of a block and a group is one key of one
+  shuffle, the block's questions sorted before the group's rows.  A task
+  holds one block of questions and their k best rows, and streams the group.
+  No question reaches the driver.
+* Either way one matrix product per Arrow batch finds the rows that may
+  belong to the k best; their distances are then taken from differences, which
+  keeps the order exact at any scale.  A task yields k rows per question, and
+  a ``row_number() <= k`` window over the question id merges them (Spark plans
+  a partial group limit before the exchange).
 
 Rows rank by distance; distances equal to nine significant digits (a relative
 tolerance, whatever the vectors' scale) count as ties and rank by id.
@@ -47,11 +52,16 @@ def vector_dims(df: DataFrame, vec_col: str) -> DataFrame:
     )
 
 
-def _batch(questions: DataFrame, q_id: str, q_vec: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix of the questions, once their size is known."""
-    size = questions.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(q_vec)).alias("values")).first()
-    if (size["values"] or 0) * 8 > max_bytes:
-        raise ValueError(f"{size['n']} questions hold more than {max_bytes} bytes of vectors; ask in smaller batches")
+#: Corpus vectors met by one block of questions in one task.
+GROUP_BYTES = 256 << 20
+
+
+def _vector_bytes(df: DataFrame, vec_col: str) -> int:
+    return 8 * (df.agg(F.sum(F.size(vec_col))).first()[0] or 0)
+
+
+def _batch(questions: DataFrame, q_id: str, q_vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of questions known to be few."""
     pdf = questions.select(q_id, q_vec).toPandas()
     dim = len(pdf[q_vec].iloc[0]) if len(pdf) else 0
     return pdf[q_id].to_numpy(), _to_matrix(pdf[q_vec], dim)
@@ -108,36 +118,109 @@ def knn(
     """Top-``k`` corpus rows per question by squared L2 distance.
 
     Returns ``(q_id, rank, id_col, dist)``; ``rank`` starts at 1.  An empty
-    corpus gives no rows, one smaller than k fewer rows.  More columns of the
-    hits: :func:`attach_metadata`.
+    corpus gives no rows, one smaller than k fewer rows; questions and rows
+    without a vector are left out.  More columns of the hits:
+    :func:`attach_metadata`.
     """
-    spark = corpus.sparkSession
     fields = [questions.schema[q_id], corpus.schema[id_col]]
     schema = T.StructType(
         [T.StructField(q_id, fields[0].dataType), T.StructField(id_col, fields[1].dataType), T.StructField("dist", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     )
-    ids, matrix = _batch(questions, q_id, q_vec, max_bytes)
+    corpus = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+    questions = questions.select(q_id, q_vec).where(F.col(q_vec).isNotNull())
+    asked = _vector_bytes(questions, q_vec)
+    if asked <= max_bytes:
+        hits = _carried(corpus, questions, k, id_col, vec_col, q_id, q_vec, schema)
+    else:
+        hits = _blocked(corpus, questions, k, id_col, vec_col, q_id, q_vec, schema, -(-asked // max_bytes))
+    w = Window.partitionBy(q_id).orderBy(F.col("_key"), F.col(id_col))
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(q_id, "rank", id_col, "dist")
+
+
+def _found(qids, best: _Best, q_id: str, id_col: str):
+    """The k best rows of every question, as frames."""
+    for lo in range(0, len(qids), 1024):
+        some = [i for i in range(lo, min(lo + 1024, len(qids))) if len(best.dist[i])]
+        if some:
+            dist = np.concatenate([best.dist[i] for i in some])
+            yield pd.DataFrame(
+                {
+                    q_id: np.repeat(np.asarray(qids, object)[some], [len(best.dist[i]) for i in some]),
+                    id_col: np.concatenate([best.ids[i] for i in some]),
+                    "dist": dist,
+                    "_key": _key(dist),
+                }
+            )
+
+
+def _add(best: _Best, ids: pd.Series, vectors: pd.Series) -> None:
+    step = max(1, 4_000_000 // max(1, len(best.q)))
+    for lo in range(0, len(ids), step):
+        x = _to_matrix(vectors.iloc[lo : lo + step], best.q.shape[1])
+        best.add(ids.iloc[lo : lo + step].to_numpy().astype(object), x)
+
+
+def _carried(corpus, questions, k, id_col, vec_col, q_id, q_vec, schema) -> DataFrame:
+    """Hits of few questions, which travel with the tasks."""
+    spark = corpus.sparkSession
+    ids, matrix = _batch(questions, q_id, q_vec)
+    if not len(ids):
+        return spark.createDataFrame([], schema)
     batch = spark.sparkContext.broadcast((ids, matrix))  # at most max_bytes
 
     def top_k(batches):
         qids, qm = batch.value
         best = _Best(qm, k)
-        step = max(1, 4_000_000 // max(1, len(qids)))
         for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                some = pdf.iloc[lo : lo + step]
-                best.add(some[id_col].to_numpy().astype(object), _to_matrix(some[vec_col], qm.shape[1]))
-        for qid, dist, found in zip(qids, best.dist, best.ids, strict=True):
-            if len(dist):
-                yield pd.DataFrame({q_id: qid, id_col: found, "dist": dist, "_key": _key(dist)})
-
-    if len(ids):
-        hits = corpus.select(id_col, vec_col).mapInPandas(top_k, schema)
-    else:
-        hits = spark.createDataFrame([], schema)
-    w = Window.partitionBy(q_id).orderBy(F.col("_key"), F.col(id_col))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(q_id, "rank", id_col, "dist")
+            _add(best, pdf[id_col], pdf[vec_col])
+        yield from _found(qids, best, q_id, id_col)
+
+    return corpus.mapInPandas(top_k, schema)
+
+
+def _blocked(corpus, questions, k, id_col, vec_col, q_id, q_vec, schema, n_blocks: int) -> DataFrame:
+    """Hits of any number of questions: each block of questions meets each
+    group of corpus rows in one task."""
+    n_groups = max(1, -(-_vector_bytes(corpus, vec_col) // GROUP_BYTES))
+    double = "array<double>"
+    none_id, none_row = F.lit(None).cast(schema[q_id].dataType), F.lit(None).cast(schema[id_col].dataType)
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    asked = questions.select(
+        F.pmod(F.xxhash64(q_id), F.lit(n_blocks)).cast("int").alias("_block"), every_group.alias("_group"), F.lit(0).alias("_kind"),
+        F.col(q_id).alias("_q"), none_row.alias("_row"), F.col(q_vec).cast(double).alias("_vec"),
+    )
+    met = corpus.select(
+        every_block.alias("_block"), F.pmod(F.xxhash64(id_col), F.lit(n_groups)).cast("int").alias("_group"), F.lit(1).alias("_kind"),
+        none_id.alias("_q"), F.col(id_col).alias("_row"), F.col(vec_col).cast(double).alias("_vec"),
+    )
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks * n_groups)
+    dealt = asked.unionByName(met).repartition(parts, "_block", "_group").sortWithinPartitions("_block", "_group", "_kind")
+
+    def top_k(batches):
+        pair, qids, vectors, best = None, [], [], None
+        for pdf in batches:
+            starts = np.flatnonzero((pdf[["_block", "_group", "_kind"]].diff().fillna(1) != 0).any(axis=1))
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                some = pdf.iloc[lo:hi]
+                now, kind = (some["_block"].iloc[0], some["_group"].iloc[0]), some["_kind"].iloc[0]
+                if now != pair:
+                    if best is not None:
+                        yield from _found(qids, best, q_id, id_col)
+                    pair, qids, vectors, best = now, [], [], None
+                if kind == 0:
+                    qids += some["_q"].tolist()
+                    vectors += some["_vec"].tolist()
+                elif qids:
+                    if best is None:
+                        best = _Best(_to_matrix(pd.Series(vectors), len(vectors[0])), k)
+                        vectors = []
+                    _add(best, some["_row"], some["_vec"])
+        if best is not None:
+            yield from _found(qids, best, q_id, id_col)
+
+    return dealt.mapInPandas(top_k, schema)
 
 
 def nearest(corpus: DataFrame, questions: DataFrame, **columns) -> DataFrame:

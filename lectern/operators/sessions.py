@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..params import CMD_AGENT, CMD_HISTORY, CMD_RESET, FEEDBACK_FLAGS, TOKEN_LENGTH
-from .aggregates import ordered_concat
+from .aggregates import ordered_concat, running_sums
 
 ROUTE_RESET = "reset"
 ROUTE_HISTORY = "history"
@@ -38,6 +38,40 @@ def loggable(messages: DataFrame, route_col: str = "route") -> DataFrame:
     return messages.filter(~F.col(route_col).isin(ROUTE_RESET, ROUTE_HISTORY))
 
 
+def _epoch_columns(session_col: str, seq_col: str) -> list:
+    """Output columns from ``resets`` and ``stored``, the numbers of resets
+    and of stored messages up to a row, and ``base``, that of stored messages
+    up to the last reset before it."""
+    is_reset = F.col("route") == ROUTE_RESET
+    epoch = F.col("resets") - is_reset.cast("bigint")
+    stored = ~F.col("route").isin(ROUTE_RESET, ROUTE_HISTORY)
+    return [session_col, seq_col, "route", epoch.alias("epoch"), F.when(stored, F.col("stored") - F.col("base")).alias("turn_no")]
+
+
+def session_epochs(messages: DataFrame, session_col: str = "conv_id", seq_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """``session_col, seq_col, route, epoch, turn_no`` of every message.
+
+    A reset ends the session of its conversation: ``epoch`` counts the resets
+    before a message (the reset itself still belongs to what it ends), and
+    ``turn_no`` numbers the stored messages of an epoch from 1 (NULL for
+    resets and history commands, which are answered but not stored).  Running
+    sums over range partitions: a conversation of any length is spread.
+    Messages without a session are left out; ``seq_col`` tells the messages
+    of a conversation apart.
+    """
+    rows = route_messages(messages.where(F.col(session_col).isNotNull()), text_col).select(
+        session_col, seq_col, "route",
+        (F.col("route") == ROUTE_RESET).alias("_reset"),
+        (~F.col("route").isin(ROUTE_RESET, ROUTE_HISTORY)).alias("_stored"),
+    )
+    counted = running_sums(rows, [session_col], [seq_col], {"resets": "_reset", "stored": "_stored"})
+    # where each epoch begins: one row a reset
+    starts = counted.where("_reset").select(session_col, F.col("resets").alias("epoch"), F.col("stored").alias("base"))
+    epoch = F.col("resets") - F.col("_reset").cast("bigint")
+    joined = counted.withColumn("epoch", epoch).join(starts, [session_col, "epoch"], "left").drop("epoch")
+    return joined.withColumn("base", F.coalesce("base", F.lit(0))).select(*_epoch_columns(session_col, seq_col))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows ``(session_id, seq, ts, prompt)`` to the session log."""
     df.write.mode("append").parquet(path)
@@ -47,6 +81,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def probe(log: DataFrame) -> bool:
+    """Whether the log can be read and holds any row: a scan that stops at
+    one row; an unreadable log raises."""
+    return bool(log.limit(1).take(1))
+
+
 def session_messages(log: DataFrame, session_id=None, session_col: str = "session_id") -> DataFrame:
     """Rows of one session (a column predicate, pushed to the scan) or of
     all sessions."""

@@ -7,7 +7,6 @@ results to agree with the behaviour being reproduced.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
 
 # --------------------------------------------------------------------------
 # fixed values
@@ -92,9 +91,6 @@ STEM_RESIDUAL = frozenset("os a o á í ó e é".split())
 # own values
 # --------------------------------------------------------------------------
 
-# Named character references: the HTML 4 table of the standard library, and
-# "apos".
-ENTITY_POINTS = {**name2codepoint, "apos": 0x27}
 # Short Spanish stop-word list for the LSA summary (no stemming).
 STOP_WORDS_ES = (
     "a al algo algunas algunos ante antes como con contra cual cuando de del "

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import jsonfn as J
 from ..functions import links as L
+from ..functions import markup as H
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import backfill as B
@@ -24,6 +25,7 @@ from ..operators import chunking as C
 from ..operators import embedding as E
 from ..operators import knn as K
 from ..operators import retrieval as R
+from ..operators import sessionlog as SL
 from ..operators import sessions as S
 from ..operators import summary as M
 from ..params import (
@@ -40,7 +42,9 @@ from ..params import (
 )
 from ..runtime import read_table, scratch_path
 from ..sources import files as FS
+from ..sources import landing as LD
 from ..sources import pages as P
+from ..sources import versions as V
 from ..streaming import ingest as ST
 from . import sqlbits as Q
 
@@ -351,6 +355,152 @@ def json_extract(spark, d):
     return ev.select("event_id", parsed["k"].alias("k"))
 
 
+@register(
+    "json_array",
+    f"""WITH t AS ({SQL_PAGE_TEXT})
+SELECT page_id, url, titulo AS title, texto AS text_resume FROM t""",
+)
+def json_array(spark, d):
+    """Metadata written as files of one JSON array each, and read back."""
+    recs = _page_text(spark, d).select(
+        "page_id", "url", F.col("titulo").alias("title"), F.col("texto").alias("text_resume")
+    )
+    path = scratch_path(spark, "json_array")
+    FS.write_json_array(recs, path, "page_id")
+    schema = T.StructType([T.StructField("page_id", T.LongType())] + FS.METADATA_SCHEMA.fields)
+    return FS.read_json_records(spark, path, schema, array_file=True)
+
+
+@register(
+    "html_tokens",
+    f"""WITH r AS (SELECT page_id, {Q.markup_tokens('html')} AS l FROM pages),
+e AS (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM r),
+t AS (SELECT page_id, CAST(i AS BIGINT) AS token_no, l[i + 1] AS t, starts_with(l[i + 1], chr(1)) AS raw,
+  lower(regexp_extract(CASE WHEN starts_with(l[i + 1], chr(1)) THEN l[i] ELSE l[i + 1] END, '^</?([A-Za-z][^ />]*)', 1)) AS name FROM e)
+SELECT page_id, token_no, name, CASE WHEN starts_with(t, '<!--') THEN 'comment' WHEN t[1:2] IN ('<!', '<?') THEN 'declaration'
+  WHEN raw THEN 'raw' WHEN starts_with(t, '</') AND name <> '' THEN 'end' WHEN name <> '' THEN 'start' ELSE 'text' END AS kind,
+  CASE WHEN starts_with(t, '<!--') THEN t[5:-4] WHEN t[1:2] IN ('<!', '<?') THEN t[3:-2] WHEN raw THEN t[2:]
+    WHEN name <> '' THEN '' ELSE {Q.decode_entities('t')} END AS text
+FROM t""",
+)
+def html_tokens(spark, d):
+    """The pages as token rows."""
+    return H.html_tokens(_pages(spark, d).select("page_id", "html")).select("page_id", "token_no", "kind", "name", "text")
+
+
+@register(
+    "element_strings",
+    f"""WITH l AS ({SQL_LINKS})
+SELECT page_id, link_no AS element_no, CASE WHEN {Q.one_string("regexp_extract(anchor, " + Q.lit(L.RE_ANCHOR_INNER) + ", 1)")}
+  THEN nullif(anchor_text, '') END AS string FROM l""",
+)
+def element_strings(spark, d):
+    """The only string of every anchor, read from the tokens."""
+    pages = _pages(spark, d).select("page_id", "html")
+    return H.element_strings(pages, "a").select("page_id", "element_no", "string")
+
+
+def _xml(text):
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+@register(
+    "xml_records",
+    f"""WITH t AS ({SQL_PAGE_TEXT})
+SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN titulo END AS titulo,
+  CASE WHEN page_id % 7 <> 3 THEN substring(texto, 1, 40) || '|' || substring(texto, 41, 40) || '|' || url END AS paragraphs,
+  CASE WHEN page_id % 7 <> 3 THEN '/pdf/' || page_id END AS url_pdf, page_id % 7 = 3 AS corrupt FROM t""",
+)
+def xml_records(spark, d):
+    """Notice bodies with nested paragraphs and CDATA, some broken off."""
+    t = _page_text(spark, d)
+    paragraph = lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))
+    body = F.concat(
+        F.lit('<notice lang="es"><titulo>'), _xml(F.col("titulo")), F.lit("</titulo><!-- c --><texto>"),
+        paragraph(_xml(F.substring("texto", 1, 40))),
+        paragraph(F.concat(F.lit("<![CDATA["), F.replace(F.substring("texto", 41, 40), F.lit("]]>"), F.lit("")), F.lit("]]>"))),
+        F.lit("</texto><texto>"), paragraph(_xml(F.col("url"))), F.lit("</texto><url_pdf>/pdf/"), F.col("page_id").cast("string"),
+        F.when(F.col("page_id") % 7 == 3, F.lit("</pdf>")).otherwise(F.lit("</url_pdf></notice>")),
+    )
+    rows = P.xml_records(t.select("page_id", body.alias("xml")))
+    paragraphs = F.flatten(F.transform("texto", lambda x: x["p"]))
+    return rows.select(
+        "page_id", "titulo", F.array_join(paragraphs, "|").alias("paragraphs"), F.element_at("url_pdf", 1).alias("url_pdf"),
+        F.col("corrupt").isNotNull().alias("corrupt"),
+    )
+
+
+@register("landing_files", "SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM pages")
+def landing_files(spark, d):
+    """Pages landed as JSON lines and read through the data source: in one
+    batch by byte ranges, and as a stream that is stopped and goes on after
+    more files have landed."""
+    pages = read_table(spark, d, "pages").select("page_id", "url", "html")
+    folder, sink, ckpt = (scratch_path(spark, n) for n in ("landing", "landing_stream", "landing_ckpt"))
+    LD.register(spark)
+    for rest in (0, 1):  # the stream ends, more lands, and it starts anew
+        pages.where(F.col("page_id") % 2 == rest).write.mode("append").json(folder)
+        stream = spark.readStream.format("landing").option("path", folder).option("rangeBytes", 1 << 20).load()
+        query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+        query.trigger(availableNow=True).start().awaitTermination()
+    batch = spark.read.format("landing").option("path", folder).option("rangeBytes", 1 << 20).load()
+    return batch.unionByName(spark.read.parquet(sink))
+
+
+@register(
+    "vector_versions",
+    """SELECT 1::BIGINT AS version, vec_id, label::BIGINT AS label FROM embeddings WHERE vec_id % 2 = 0
+UNION ALL SELECT 2, vec_id, label + 1 FROM embeddings""",
+)
+def vector_versions(spark, d):
+    """Two published versions and a third that was never finished: readers
+    find the second, and still the first by its number."""
+    emb = read_table(spark, d, "embeddings").select("vec_id", "embedding", _bigint("label").alias("label"))
+    root = scratch_path(spark, "versions")
+    first = V.save(emb.where(F.col("vec_id") % 2 == 0), root)
+    V.save(emb.withColumn("label", F.col("label") + 1), root, expected=first)
+    emb.limit(1).write.parquet(V.new_data_path(root))  # no manifest follows
+    newest = V.load(spark, root).select(F.lit(V.current(spark, root)).cast("bigint").alias("version"), "vec_id", "label")
+    old = V.load(spark, root, first).select(F.lit(first).cast("bigint").alias("version"), "vec_id", "label")
+    return old.unionByName(newest)
+
+
+@register(
+    "bucketed_session",
+    "SELECT conv_id AS session_id, turn AS seq, text AS prompt FROM conversations WHERE conv_id = 3",
+)
+def bucketed_session(spark, d):
+    """One session read from its bucket of a log written by two appends and
+    a compaction between them."""
+    conv = read_table(spark, d, "conversations")
+    rows = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("prompt"))
+    root = scratch_path(spark, "bucketed_log")
+    SL.append(rows.where("seq < 2"), root)
+    SL.append(rows.where("seq BETWEEN 2 AND 3"), root)
+    SL.compact(spark, root)
+    SL.append(rows.where("seq > 3"), root)
+    return SL.one_session(spark, root, 3)
+
+
+@register(
+    "stream_index",
+    f"""WITH c AS (SELECT DISTINCT {Q.decorate('chunk', 'url')} AS page_content FROM ({SQL_CHUNKS})),
+t AS (SELECT page_content, unnest(list_distinct(list_transform({Q.tokens('page_content')}, lambda x: {Q.bucket('x', EMBED_DIM)}))) AS b FROM c)
+SELECT sha256(page_content) AS digest, page_content, count(*)::BIGINT AS buckets FROM t GROUP BY page_content""",
+)
+def stream_index(spark, d):
+    """The index of pages that land twice, the second half of them again on
+    a second day, equals that of their distinct chunks."""
+    pages = _pages(spark, d, heavy=False).select("page_id", "url", "html")
+    landing = scratch_path(spark, "index_landing")
+    pages.where(F.col("page_id") % 4 < 3).coalesce(1).write.mode("append").parquet(landing)
+    pages.where(F.col("page_id") % 4 > 1).coalesce(1).write.mode("append").parquet(landing)
+    index, ckpt = scratch_path(spark, "stream_index"), scratch_path(spark, "stream_index_ckpt")
+    ST.stream_index(spark, landing, pages.schema, index, ckpt, _embed, max_files=1)
+    out = spark.read.parquet(f"{index}/batch_id=*")
+    return out.select("digest", "page_content", _bigint(F.size(F.filter("embedding", lambda x: x != 0))).alias("buckets"))
+
+
 # 2.2 Projections, filters, predicates ------------------------------------
 
 
@@ -367,7 +517,7 @@ def strip_html(spark, d):
     f"""WITH l AS ({SQL_LINKS})
 SELECT page_id, link_no, href, 'https://' || {Q.host('url')} || href AS abs_url,
   {Q.replace_path("'https://' || " + Q.host('url') + " || href", NOTICE_XML_PATH)} AS xml_url
-FROM l WHERE anchor_text = {Q.lit(LINK_TEXT_Q)}""",
+FROM l WHERE anchor_text = {Q.lit(LINK_TEXT_Q)} AND {Q.one_string("regexp_extract(anchor, " + Q.lit(L.RE_ANCHOR_INNER) + ", 1)")}""",
 )
 def link_filter_exact(spark, d):
     links = L.filter_link_text(_links(spark, d), LINK_TEXT_Q)
@@ -506,6 +656,26 @@ def knn_with_metadata(spark, d):
     return joined.select("qid", "rank", "vec_id", "dist", _bigint("label").alias("label"))
 
 
+#: Vectors of one block of questions of ``knn_rows``.
+KNN_BLOCK_BYTES = 4 << 20
+
+
+@register(
+    "knn_rows",
+    f"""WITH p AS (SELECT q.vec_id AS qid, c.vec_id,
+    list_sum(list_transform(range(len(q.embedding)), lambda i:
+      (q.embedding[i + 1]::DOUBLE - c.embedding[i + 1]::DOUBLE) * (q.embedding[i + 1]::DOUBLE - c.embedding[i + 1]::DOUBLE))) AS d
+  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_significant('d')}, vec_id) AS rank FROM p)
+SELECT qid, CAST(rank AS BIGINT) AS rank, vec_id, round(d, 6) AS dist FROM r WHERE rank <= 4""",
+)
+def knn_rows(spark, d):
+    """Every fiftieth row against all rows, questions in blocks."""
+    emb = read_table(spark, d, "embeddings", heavy=True)
+    asked = emb.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return _knn_out(K.knn(emb, asked, k=4, max_bytes=KNN_BLOCK_BYTES, **_KNN_COLUMNS))
+
+
 @register(
     "vector_dims",
     "SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim FROM embeddings",
@@ -1114,6 +1284,32 @@ def stream_session_log(spark, d):
     return spark.read.parquet(log).select("session_id", "seq", "prompt", "route")
 
 
+SQL_EPOCHS = f"""WITH r AS ({SQL_ROUTED}),
+e AS (SELECT conv_id, turn, route, route NOT IN ('reset', 'history') AS stored, CAST(count(*) FILTER (route = 'reset')
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS epoch FROM r)
+SELECT conv_id, turn, route, epoch, CASE WHEN stored THEN row_number() OVER (PARTITION BY conv_id, epoch, stored ORDER BY turn) END AS turn_no
+FROM e"""
+
+
+@register("session_epochs", SQL_EPOCHS)
+def session_epochs(spark, d):
+    """Sessions that begin anew at a reset."""
+    return S.session_epochs(_messages(spark, d))
+
+
+@register("stream_session_epochs", SQL_EPOCHS)
+def stream_session_epochs(spark, d):
+    """The same from a stream: turns land in three files, one a micro-batch,
+    and every conversation's epoch and turn number are state."""
+    conv = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    landing = scratch_path(spark, "stream_epochs_landing")
+    for part in (F.col("turn") < 2, F.col("turn").between(2, 4), F.col("turn") > 4):
+        conv.where(part).coalesce(1).write.mode("append").parquet(landing)
+    sink, ckpt = scratch_path(spark, "stream_epochs"), scratch_path(spark, "stream_epochs_ckpt")
+    ST.stream_session_epochs(spark, landing, conv.schema, sink, ckpt, max_files=1, derive=_derive_messages)
+    return spark.read.parquet(f"{sink}/batch_id=*").select("conv_id", "turn", "route", "epoch", "turn_no")
+
+
 def _derive_messages(df: DataFrame) -> DataFrame:
     t = F.col("text")
     m = F.pmod(F.col("turn"), F.lit(4))

@@ -70,6 +70,29 @@ def strip_html(x: str) -> str:
     return regexp_replace_all(f"translate({drop_markup(x)}, '[]', '')", "<[^>\n]*>")
 
 
+def one_string(inner: str) -> str:
+    """An element's content is one string, maybe inside elements that hold nothing else."""
+    void = "area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr"
+    return (
+        f"(regexp_matches({inner}, {lit(r'(?is)^(?:<[A-Za-z][^<>]*>)*[^<]+(?:</[A-Za-z][^<>]*>)*$')}) "
+        f"AND NOT regexp_matches({inner}, {lit(rf'(?i)<(?:{void})[ />]')}))"
+    )
+
+
+def markup_tokens(html: str) -> str:
+    """List of comments, declarations, tags and texts; raw text behind a mark."""
+    whole = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<[!?][^>]*>|</?[a-z][^>]*>|[^<]+"
+    raw = r"(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>$"
+    parts = (
+        f"list_filter([regexp_extract(t, '^<[^>]*>'), nullif(chr(1) || regexp_extract(t, {lit(raw)}, 1), chr(1)), "
+        "regexp_extract(t, '</[^<>]*>$')], lambda x: x IS NOT NULL)"
+    )
+    return (
+        f"flatten(list_transform(regexp_extract_all({html}, {lit(whole)}), "
+        f"lambda t: CASE WHEN regexp_matches(t, {lit(raw)}) THEN {parts} ELSE [t] END))"
+    )
+
+
 def strip_ws(x: str) -> str:
     return f"trim({x}, {lit(_BLANKS)})"
 

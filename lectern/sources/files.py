@@ -92,6 +92,31 @@ def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str, mode: str = "errorifexists") -> None:
+    """Files holding one JSON array of records each, ascending by ``order``
+    within and across files; each is written row by row, never held whole."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    dealt = df.select(text.alias("json"), F.col(order).alias("_order")).repartitionByRange(n, "_order").sortWithinPartitions("_order")
+
+    def lines(batches):
+        import pandas as pd
+
+        held = None
+        for pdf in batches:
+            out = []
+            for record in pdf["json"]:
+                out.append("[" if held is None else held + ",")
+                held = record
+            if out:
+                yield pd.DataFrame({"value": out})
+        if held is not None:
+            yield pd.DataFrame({"value": [held, "]"]})
+
+    dealt.select("json").mapInPandas(lines, "value string").write.mode(mode).text(path)
+
+
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType = METADATA_SCHEMA, array_file: bool = False) -> DataFrame:
     """JSON lines, or (``array_file``) files holding one JSON array of
     records each."""

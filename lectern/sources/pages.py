@@ -83,3 +83,21 @@ def notice_fields(
         strip_html(F.array_join(elements(body_col, text_tag), ", ")).alias("texto"),
         notice_pdf_url(dom, elements(body_col, pdf_tag)).alias("url"),
     )
+
+
+#: Fields of a notice body: nested paragraphs, several texts and PDF links.
+NOTICE_XML_SCHEMA = "titulo string, texto array<struct<p array<string>>>, url_pdf array<string>"
+
+
+def xml_records(df: DataFrame, body_col: str = "xml", schema: str = NOTICE_XML_SCHEMA, keep: list[str] | None = None) -> DataFrame:
+    """Notice bodies read as XML: nested elements, CDATA sections and
+    references as the format has them.  ``schema`` names the children of the
+    root element.  A body that is not well-formed does not fail the job: its
+    fields are NULL and ``corrupt`` holds it; a NULL body gives NULL fields."""
+    keep = keep if keep is not None else [c for c in df.columns if c != body_col]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreSurroundingSpaces": "false"}
+    parsed = df.select(*keep, F.from_xml(F.col(body_col), f"{schema}, _corrupt string", options).alias("_record"))
+    names = [f.name for f in parsed.schema["_record"].dataType.fields if f.name != "_corrupt"]
+    bad = F.col("_record._corrupt")
+    fields = [F.when(bad.isNull(), F.col(f"_record.{n}")).alias(n) for n in names]
+    return parsed.select(*keep, *fields, bad.alias("corrupt"))

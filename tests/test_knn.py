@@ -41,10 +41,32 @@ def test_ties_broken_by_id_and_short_corpus(spark):
     assert sorted(round(h["dist"], 6) for h in hits) == [0.0, 0.0, 2.0]
 
 
-def test_too_large_a_batch_of_questions_raises(spark):
-    corpus = [(1, [0.0, 1.0])]
-    with pytest.raises(ValueError, match="smaller batches"):
-        _run(spark, corpus, [(i, [0.0, 0.0]) for i in range(9)], 1, max_bytes=100)
+@pytest.mark.parametrize("group_bytes", [1 << 30, 200])
+def test_more_questions_than_fit_are_asked_in_blocks(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(K, "GROUP_BYTES", group_bytes)
+    rng = np.random.default_rng(3)
+    corpus = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(80)] + [(900, corpus_tie := [0.5] * 4), (901, corpus_tie)]
+    questions = [(200 + i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)] + [(300, corpus_tie)]
+    got, hits = _run(spark, corpus, questions, 3, max_bytes=100)
+    assert got == _brute(corpus, questions, 3)
+    assert {(r["qid"], r["rank"], r["id"], r["dist"]) for r in hits} == {
+        (r["qid"], r["rank"], r["id"], r["dist"]) for r in _run(spark, corpus, questions, 3)[1]
+    }
+
+
+def test_blocks_leave_out_missing_vectors_and_take_text_ids(spark):
+    c = spark.createDataFrame([("a", [0.0]), ("b", None), ("c", [2.0])], "id string, embedding array<float>")
+    q = spark.createDataFrame([("x", [0.1]), ("y", None), ("z", [3.0])], "qid string, embedding array<float>")
+    for max_bytes in (1 << 20, 8):
+        got = {(r["qid"], r["rank"], r["id"]) for r in K.knn(c, q, k=2, max_bytes=max_bytes).collect()}
+        assert got == {("x", 1, "a"), ("x", 2, "c"), ("z", 1, "c"), ("z", 2, "a")}
+
+
+def test_no_question_of_a_blocked_join_reaches_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(K, "_batch", None)
+    c = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "id long, embedding array<float>")
+    hits = K.knn(c, c.withColumnRenamed("id", "qid"), k=1, max_bytes=16)
+    assert {(r["qid"], r["id"]) for r in hits.collect()} == {(i, i) for i in range(9)}
 
 
 def test_order_holds_at_small_scales(spark):
