@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, rows_to_arrow, written
+from .common import arrow_schema, written
 from .tokenizing import encoder, text_batches
 
 CAPACITY = 1024
@@ -50,6 +50,31 @@ def cuts(n: int, capacity: int = CAPACITY, uncut: int = UNCUT) -> list[tuple[int
     return out
 
 
+class Cutter:
+    """The pieces of many documents at once, from a table of the cuts of
+    every rest."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        rests = [cuts(rest, capacity) for rest in range(capacity)]
+        self.capacity = capacity
+        self.count = np.array([len(r) for r in rests])
+        self.first = np.cumsum(self.count) - self.count
+        flat = [piece for r in rests for piece in r]
+        self.length = np.array([length for length, _ in flat])
+        self.kind = np.array([k for _, k in flat])
+
+    def __call__(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(document, length, class)`` of the pieces of documents of ``n``
+        tokens, in order."""
+        whole, rest = np.divmod(n, self.capacity)
+        pieces = whole + self.count[rest]
+        doc = np.repeat(np.arange(len(n)), pieces)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cut = at >= whole[doc]
+        spot = np.where(cut, self.first[rest[doc]] + at - whole[doc], 0)
+        return doc, np.where(cut, self.length[spot], self.capacity), np.where(cut, self.kind[spot], 1)
+
+
 PIECES_SCHEMA = (
     "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, class int, worker int, nth long"
 )
@@ -64,21 +89,28 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
     def cut(batches):
         from pyspark import TaskContext
 
-        enc, worker, nth = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        import pyarrow as pa
+
+        enc, worker, cutter = encoder(tokenizer), TaskContext.get().partitionId(), Cutter(capacity)
+        numbers = np.zeros(capacity + 1, np.int64)
         schema = arrow_schema(PIECES_SCHEMA)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for lo, hi in text_batches(texts):
-                rows = []
-                for doc, got in zip(ids[lo:hi], enc.arrays(texts[lo:hi]), strict=True):
-                    full = np.empty(len(got) + 1, "<u4")
-                    full[:-1], full[-1] = got, end_id
-                    raw, at = memoryview(full.view(np.uint8)), 0
-                    for size, k in cuts(len(full), capacity):
-                        nth[k] = nth.get(k, -1) + 1
-                        rows.append((doc, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), len(full), k, worker, nth[k]))
-                        at += size
-                yield rows_to_arrow(rows, schema)
+                tokens, n = enc.ended(texts[lo : hi].to_pylist(), end_id)
+                doc, length, kind = cutter(n)
+                stop = np.cumsum(length)
+                raw = memoryview(tokens.view(np.uint8))
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (stop - length)).tolist(), (4 * stop).tolist(), strict=True)]
+                order = np.argsort(kind, kind="stable")
+                counts = np.bincount(kind, minlength=capacity + 1)
+                nth = np.empty(len(kind), np.int64)
+                nth[order] = np.arange(len(kind)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(numbers, counts)
+                numbers += counts
+                start = stop - length - (np.cumsum(n) - n)[doc]
+                columns = [ids[lo:hi].take(pa.array(doc)), start, length, crcs, n[doc], kind, np.full(len(doc), worker), nth]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES_SCHEMA)
 

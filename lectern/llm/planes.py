@@ -72,8 +72,9 @@ class PlaneWriter:
         self.docs: list[tuple[int, int, int]] = []
         self.at = len(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+    def add(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents and their ids, in a row."""
+        self.docs += [(doc or 0, doc is None, n) for doc, n in zip(doc_ids, counts.tolist(), strict=True)]
         self.held.append(ids)
         self.n_held += len(ids)
 
@@ -159,13 +160,11 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             nonlocal n_ids
             yield MAGIC
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                docs, texts = batch.column(0), batch.column(1)
                 for lo, hi in text_batches(texts):
-                    for doc, got in zip(ids[lo:hi], enc.arrays(texts[lo:hi]), strict=True):
-                        full = np.empty(len(got) + 1, "<u4")
-                        full[:-1], full[-1] = got, end_id
-                        out.add(doc, full)
-                        n_ids += len(full)
+                    ids, counts = enc.ended(texts[lo:hi].to_pylist(), end_id)
+                    out.add(docs[lo:hi].to_pylist(), counts, ids)
+                    n_ids += len(ids)
                     yield from out.flush()
             yield from out.flush(last=True)
 

@@ -3,33 +3,54 @@
 Both vocabularies used here split a text before every run of white space
 that follows a non-space, and never merge across that split, so a text's ids
 are the ids of its space-separated pieces, joined.  Each worker encodes a
-piece once with the tokenizers library and keeps its ids in two bounded
+piece once with the tokenizers library (a plain word, which is one token run,
+with the library's BPE model alone) and keeps its ids in two bounded
 generations; texts with a piece whose split depends on its neighbours
-(white space next to a space) are encoded whole.
+(white space next to a space), or that spell one of the file's added tokens,
+are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 _ENCODERS: dict[str, Encoder] = {}
 _WHITE_END = re.compile(r"\s\Z")
+#: Latin letters, and the full stop or comma that is a token run of its own.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)\Z")
+#: A line end between two printable characters is a token run of its own.
+_TWO_LINES = re.compile(r"([^\n]*[!-~])\n([!-~][^\n]*)\Z")
+
+
+
+def _byte_letters() -> dict[int, str]:
+    """The published byte-level alphabet: printable bytes stand for
+    themselves, the others for letters from U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
-    #: Pieces kept per generation; two generations at most are held.
-    KEEP = 800_000
+    #: Pieces kept per generation, some 200 bytes each; at most two
+    #: generations are held.
+    KEEP = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.rule = self._rule(spec)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 0xFFFF else np.dtype("<u4")
         self.new: dict[str, bytes | None] = {}
@@ -56,55 +77,88 @@ class Encoder:
         return "whole"
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            for e in self.tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
-                out.append(np.array(e.ids, self.dtype).tobytes())
+        """The ids of each text, by the library; few encodings are alive at a time."""
+        out, lo, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= 1 << 17 or i - lo >= 511 or i + 1 == len(texts):
+                some = self.tok.encode_batch_fast(texts[lo : i + 1], add_special_tokens=False)
+                out += [np.array(e.ids, self.dtype).tobytes() for e in some]
+                lo, size = i + 1, 0
         return out
 
+    def _spelt(self, word: str, spaced: bool) -> bytes:
+        """The ids of a word of Latin letters, by the library's model: the
+        word is one token run, whose bytes stand for the model's letters."""
+        if self.rule == "drop":
+            word = word.lower()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if spaced and self.rule == "prefix":
+            letters = "\u0120" + letters
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
-        """Add pieces.  A full stop or comma after a Latin letter is a token
-        run of its own, so such a piece is its word's ids and the mark's."""
         if len(self.new) + len(pieces) > self.KEEP:
             self.old, self.new = self.new, {}
-        ended = {p for p in pieces if len(p) > 1 and p[-1] in self.stops and p[-2] < "\u0250" and p[-2].isalpha()}
-        if ended:
-            words = {p[:-1] for p in ended}
-            self._add({w for w in words if w not in self.new} | (pieces - ended))
-            for p in ended:
-                ids = self.new[p[:-1]]
-                self.new[p] = None if ids is None else ids + self.stops[p[-1]]
-        else:
-            self._add(pieces)
-
-    def _add(self, pieces: set[str]) -> None:
-        fresh = []
+        new, old, rest = self.new, self.old, []
         for p in pieces:
-            if p in self.old:
-                self.new[p] = self.old[p]
+            if p in old:
+                new[p] = old[p]
+            elif m := _WORD.match(p):
+                ids = self._spelt(m[1], True)
+                new[p] = ids + self.stops[m[2]] if m[2] else ids
             elif self.rule == "prefix" and (not p or _WHITE_END.search(p) or p[0].isspace()):
-                self.new[p] = None  # its ids depend on its neighbours
+                new[p] = None  # its ids depend on its neighbours
             else:
-                fresh.append(p)
-        plain = [p for p in fresh if self.mark not in p] if self.mark_id is not None else []
-        alone = [p for p in fresh if self.mark in p] if plain else fresh
-        self.new.update(zip(alone, self._raw([self.lead + p for p in alone]), strict=True))
-        self.new.update(zip(plain, self._joined(plain), strict=True))
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces without the mark, encoded many to a text."""
-        out = []
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            raw = self._raw([self.lead + self.between.join(some)])[0]
-            ids = np.frombuffer(raw, self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            size = self.dtype.itemsize
-            lo = np.concatenate(([0], cuts + 1)) * size
-            hi = np.concatenate((cuts, [len(ids)])) * size
-            if len(lo) != len(some):
+                rest.append(p)
+        if rest:
+            self._add(rest)
+
+    def _add(self, fresh: list[str]) -> None:
+        if self.mark_id is None:
+            self.new.update(zip(fresh, self._raw([self.lead + p for p in fresh]), strict=True))
+            return
+        plain = [p for p in fresh if self.mark not in p]
+        marked = [p for p in fresh if self.mark in p]
+        lines = [(p, m) for p in marked if (m := _TWO_LINES.match(p))] if self.rule == "prefix" else []
+        if lines:
+            self._add_lines(lines)
+            split = {p for p, _ in lines}
+            marked = [p for p in marked if p not in split]
+        self.new.update(zip(marked, self._raw([self.lead + p for p in marked]), strict=True))
+        self.new.update(zip(plain, self._joined(plain, True), strict=True))
+
+    def _add_lines(self, lines: list) -> None:
+        """Pieces of two lines: the first line behind a space, the line end,
+        and the second line as it begins a text."""
+        heads = list({m[1] for _, m in lines})
+        tails = list({m[2] for _, m in lines})
+        head = dict(zip(heads, self._joined(heads, True), strict=True))
+        tail = dict(zip(tails, self._joined(tails, False), strict=True))
+        line_end = self.mark_id.to_bytes(self.dtype.itemsize, "little")
+        self.new.update((p, head[m[1]] + line_end + tail[m[2]]) for p, m in lines)
+
+    def _joined(self, pieces: list[str], spaced: bool) -> list[bytes]:
+        """The ids of pieces without the mark: words by the model, others by
+        the library, many to a text."""
+        out: list[bytes | None] = [None] * len(pieces)
+        others = []
+        for i, p in enumerate(pieces):
+            if m := _WORD.match(p):
+                ids = self._spelt(m[1], spaced)
+                out[i] = ids + self.stops[m[2]] if m[2] else ids
+            else:
+                others.append(i)
+        lead, between = (self.lead, self.between) if spaced else ("", self.mark)
+        size = self.dtype.itemsize
+        for at in range(0, len(others), 2048):
+            some = others[at : at + 2048]
+            raw = self._raw([lead + between.join([pieces[i] for i in some])])[0]
+            cuts = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark_id) * size
+            if len(cuts) + 1 != len(some):
                 raise AssertionError("the mark is not a token of its own")
-            out += [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            for i, lo, hi in zip(some, [0, *(cuts + size).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                out[i] = raw[lo:hi]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -116,6 +170,9 @@ class Encoder:
         get = self.new.get
         firsts, wait, need = [], [], set()
         for i, text in enumerate(texts):
+            if any(mark in text for mark in self.added):
+                firsts.append("")
+                continue
             pieces = text.split(" ")
             firsts.append(pieces[0])
             if skip:
@@ -146,8 +203,13 @@ class Encoder:
             out[i] = ids
         return out
 
-    def arrays(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(b, self.dtype) for b in self.encode([t or "" for t in texts])]
+    def ended(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, ``end_id`` after each, as unsigned
+        32-bit integers, and how many ids each text has with it."""
+        raw = self.encode([t or "" for t in texts])
+        n = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(raw), self.dtype).astype("<u4")
+        return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -164,13 +226,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_batches(columns, max_chars: int = 4 << 20):
-    """Slices ``(lo, hi)`` of a list of texts with a bounded sum of lengths."""
+def text_batches(texts, max_chars: int = 1 << 20):
+    """Slices ``(lo, hi)`` of an Arrow array of texts with a bounded sum of lengths."""
+    import pyarrow.compute as pc
+
     lo, size = 0, 0
-    for i, t in enumerate(columns):
-        size += len(t or "")
+    for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += n or 0
         if size >= max_chars:
             yield lo, i + 1
             lo, size = i + 1, 0
-    if lo < len(columns):
-        yield lo, len(columns)
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -22,9 +22,16 @@ def test_cuts_lie_in_their_classes(n):
         assert k >= packing.UNCUT or size == 1024 // k
 
 
+@pytest.mark.parametrize("capacity", [64, 1024])
+def test_the_table_of_cuts_equals_the_cuts(capacity):
+    n = np.array([1, 2, 63, 64, 65, 513, 700, 1023, 1024, 1025, 5000, 2048, 7])
+    doc, length, kind = packing.Cutter(capacity)(n)
+    got = [list(zip(length[doc == i].tolist(), kind[doc == i].tolist())) for i in range(len(n))]
+    assert got == [packing.cuts(int(k), capacity) for k in n]
+
+
 def check(rows, out, capacity=1024):
     tok = Tokenizer.from_file(BYTE)
-    tok.encode_special_tokens = True
     want = defaultdict(list)
     for doc, text in rows:
         want[doc].append(np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4"))
@@ -60,7 +67,7 @@ def test_query_equals_brute_force_and_pads_little(spark):
 
 
 def test_nulls_empty_long_repeats_and_clashing_columns(spark):
-    rows = [(3, None), (1, ""), (2, "long word " * 30_000), (None, "no id"), (9, "a"), (9, "a"), (9, "a")]
+    rows = [(3, None), (1, ""), (2, "long word " * 30_000), (None, "no id"), (9, "a"), (9, "a"), (9, "a"), (4, "x<|endoftext|> y")]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, class int, worker string")
     check(rows, packing.pack(df, BYTE).collect())
     assert packing.pack(df.limit(0), BYTE).collect() == []

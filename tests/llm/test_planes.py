@@ -10,20 +10,50 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import planes, queries
-from lectern.llm.tokenizing import encoder
+from lectern.llm.tokenizing import Encoder, encoder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def split(enc, texts):
+    ids, n = enc.ended(texts, 7)
+    parts = np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+    assert all(p[-1] == 7 for p in parts)
+    return [p[:-1].tolist() for p in parts]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet="ab é.,'\n\t ñΣ12-\x01\u2028\u0301s<|", max_size=30), max_size=8))
 def test_encoder_equals_the_library(path, texts):
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    assert [a.tolist() for a in encoder(path).arrays(texts)] == want
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert split(encoder(path), texts) == want
+
+
+MARKS = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", " ", "a", "b.\nc", "\n", "word,\nNext line.\n"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(MARKS), max_size=6).map("".join), max_size=8))
+def test_added_tokens_and_lines_equal_an_untouched_tokenizer(path, texts):
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert split(encoder(path), texts) == want
+
+
+def test_a_text_that_spells_an_added_token():
+    assert split(encoder(WORD), ["a <|endoftext|> b"]) == [[320, 49407, 321]]
+    assert split(encoder(BYTE), ["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    rows = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()
+    texts = [t or "" for (t,) in rows]
+    enc = Encoder(BYTE)
+    enc.KEEP = 50
+    got = [ids for lo in range(0, len(texts), 20) for ids in split(enc, texts[lo : lo + 20])]
+    assert got == [e.ids for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("layout", ["bits", "bytes"])
@@ -39,7 +69,7 @@ def test_file_chunks_are_read_alone(tmp_path, layout):
     ids = np.arange(950, dtype="<u4") % 300
     raw = planes.MAGIC
     for lo in range(0, 950, 95):
-        w.add(lo, ids[lo : lo + 95])
+        w.add([lo], np.array([95]), ids[lo : lo + 95])
         raw += b"".join(w.flush())
     raw += b"".join(w.flush(last=True))
     (tmp_path / "f").write_bytes(raw)
@@ -52,7 +82,6 @@ def test_file_chunks_are_read_alone(tmp_path, layout):
 
 def brute(rows, path=WORD):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out, at = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -68,7 +97,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_nulls_empty_long_and_clashing_columns(spark):
-    rows = [(3, None), (1, ""), (2, "long word " * 60_000), (None, "no id"), (9, " ")]
+    rows = [(3, None), (1, ""), (2, "long word " * 60_000), (None, "no id"), (9, " "), (11, "x<|endoftext|>\n<|startoftext|> y")]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, part int, path string")
     got = sorted(map(tuple, planes.round_trip(df, WORD).collect()), key=lambda r: r[1])
     assert got == brute(rows)
