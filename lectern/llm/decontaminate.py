@@ -39,8 +39,9 @@ COSINE = 0.2
 LCS_ALONE, LCS_ANSWER, ANSWER = 0.8, 0.6, 8
 #: The words of shorter items meet by chance: they count as a whole only.
 MIN_WORDS = 6
-#: Benchmarks up to this many words travel with the tasks' code.
-MAX_BENCHMARK_WORDS = 50_000_000
+#: Words of the benchmark that travel with a task (some 200 bytes each with
+#: their passages); a larger benchmark is searched for in blocks.
+MAX_BENCHMARK_WORDS = 200_000
 # scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han
 _UNSPACED = (
     "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u1049\u1050-\u109d\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f"
@@ -133,11 +134,12 @@ def frequencies(words: DataFrame) -> np.ndarray | None:
     return added_up(words.select("words").mapInArrow(run, "v binary"))
 
 
-def projection(words: DataFrame) -> np.ndarray | None:
+def projection(words: DataFrame, df: np.ndarray | None = None) -> np.ndarray | None:
     """A row per feature: what one occurrence of it adds to a passage's
     whitened latent vector (IDF x right singular vectors / singular values).
-    None where the corpus has no words."""
-    df = frequencies(words)
+    ``df`` is what :func:`frequencies` gives; None where the corpus has no
+    words."""
+    df = frequencies(words) if df is None else df
     if df is None or df[FEATURES] == 0:
         return None
     # a feature of every passage keeps a little weight: a corpus may be one passage
@@ -173,10 +175,16 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Query passages: items of up to 64 words whole, longer ones in parts."""
+    """Query passages: items of up to 64 words whole, longer ones in parts.
 
-    def __init__(self, items: list[tuple[int, str]], table: np.ndarray):
-        self.of_scale: list[dict] = []
+    A passage of n words can only match where ``need`` of them stand, so at
+    least one of its rarest words does: the fewest, by corpus frequency, that
+    leave less than ``need`` others.  ``postings`` lead from those words to
+    their passages, so a text is compared with the passages that can match it
+    and no table of all words and passages exists."""
+
+    def __init__(self, items: list[tuple[int, str]], table: np.ndarray, df: np.ndarray):
+        self.groups: list[dict] = []
         self.phrases: dict[int, list] = {}  # items under MIN_WORDS words, by their first
         parts = []
         for item, text in items:
@@ -191,31 +199,42 @@ class Benchmark:
                 part = words[at : at + SCALES[-1]]
                 if len(part) >= MIN_WORDS:
                     parts.append((item, part, answer, frozenset(part.tolist())))
-        known = [w for p in parts for w in p[1:3]]
         self.first = np.array(sorted(self.phrases), np.uint32)
+        # by the smallest window that holds most of a passage, then by length
+        edges = np.array([*(1.25 * s for s in SCALES[:-1]), np.inf])
+        parts.sort(key=lambda p: (int(np.searchsorted(edges, len(p[1]))), len(p[1])))
+        self.parts = parts
+        known = [w for p in parts for w in p[1:3]]
         self.vocabulary = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint32)
-        columns = []
-        for scale, below in zip(SCALES, (0, *SCALES[:-1]), strict=True):
-            # a passage goes with the smallest window that holds most of it
-            some = [p for p in parts if below * 1.25 < len(p[1]) <= (scale * 1.25 if scale < SCALES[-1] else 1 << 30)]
-            some.sort(key=lambda p: len(p[1]))
-            vectors = [table[p[1] % FEATURES].sum(0) for p in some]
-            if some:
-                size = np.array([len(p[1]) for p in some])
-                group = {"scale": scale, "parts": some, "q": _normal(np.array(vectors)).T.astype(np.float32)}
-                group |= {"alone": LCS_ALONE * size - 1e-6, "need": LCS_ANSWER * size - 1e-6}
-                blocks = -(-np.maximum(size // 2, BLOCK) // BLOCK)
-                bounds = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(some)]
-                group["margins"] = [(int(blocks[lo]), lo, hi) for lo, hi in zip(bounds, bounds[1:])]
-                group["answer"] = np.full((len(some), ANSWER), len(self.vocabulary) + 1)  # none there: always met
-                for k, p in enumerate(some):
-                    group["answer"][k, : len(p[2])] = np.searchsorted(self.vocabulary, p[2])
-                group["columns"] = slice(len(columns), len(columns) + len(some))
-                columns += some
-                self.of_scale.append(group)
-        self.has = np.zeros((len(self.vocabulary) + 1, len(columns)), np.uint8)  # last: any other word
-        for k, p in enumerate(columns):
-            self.has[np.searchsorted(self.vocabulary, p[1]), k] = 1
+        self.size = np.array([len(p[1]) for p in parts], np.int64)
+        scale = np.searchsorted(edges, self.size)
+        self.spans = [(SCALES[i], *np.searchsorted(scale, [i, i + 1]).tolist()) for i in range(len(SCALES))]
+        self.q = _normal(np.array([table[p[1] % FEATURES].sum(0) for p in parts])).astype(np.float32) if parts else None
+        self.alone, self.need = LCS_ALONE * self.size - 1e-6, LCS_ANSWER * self.size - 1e-6
+        self.blocks = -(-np.maximum(self.size // 2, BLOCK) // BLOCK)
+        self.answer = np.full((len(parts), ANSWER), len(self.vocabulary) + 1)  # none there: always met
+        self.places_of = []
+        heads, owners = [], []
+        for k, (_, part, answer, _) in enumerate(parts):
+            self.answer[k, : len(answer)] = np.searchsorted(self.vocabulary, answer)
+            own, times = np.unique(part, return_counts=True)
+            self.places_of.append(np.searchsorted(self.vocabulary, own))
+            rarest = np.argsort(df[own % FEATURES], kind="stable")
+            left = len(part) - np.cumsum(times[rarest])
+            enough = int(np.argmax(left < np.ceil(self.need[k]))) + 1
+            heads.append(self.places_of[-1][rarest[:enough]])
+            owners.append(np.full(enough, k))
+        heads = np.concatenate(heads) if heads else np.empty(0, np.int64)
+        order = np.argsort(heads, kind="stable")
+        self.postings = np.concatenate(owners)[order] if owners else np.empty(0, np.int64)
+        self.bounds = np.searchsorted(heads[order], np.arange(len(self.vocabulary) + 1))
+
+    def candidates(self, present: np.ndarray) -> np.ndarray:
+        """The passages with a rare word among the ``present`` places."""
+        lo, hi = self.bounds[present], self.bounds[present + 1]
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.unique(self.postings[at])
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or behind its end."""
@@ -273,30 +292,44 @@ def _words_upto(place: np.ndarray, has: np.ndarray) -> np.ndarray:
     return upto
 
 
-def _enough(upto: np.ndarray, group: dict, need: np.ndarray) -> np.ndarray:
+def _enough(upto: np.ndarray, scale: int, blocks: np.ndarray, need: np.ndarray) -> np.ndarray:
     """For each window and passage: the words in and around the window suffice
-    for a subsequence of ``need`` words."""
+    for a subsequence of ``need`` words.  ``blocks`` are the passages' margins,
+    ascending."""
     n = len(upto) - 1
-    at, upto = np.arange(n), upto[:, group["columns"]]
+    at = np.arange(n)
     out = np.empty((n, upto.shape[1]), bool)
-    for margin, lo, hi in group["margins"]:
+    bounds = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        margin = int(blocks[lo])
         some = upto[:, lo:hi]
-        around = some[np.minimum(at + group["scale"] // BLOCK + margin, n)] - some[np.maximum(at - margin, 0)]
+        around = some[np.minimum(at + scale // BLOCK + margin, n)] - some[np.maximum(at - margin, 0)]
         np.greater_equal(around, np.ceil(need[lo:hi]).astype(np.uint16), out=out[:, lo:hi])
     return out
 
 
-def _answered(stretch: np.ndarray, place: np.ndarray, group: dict, words: int) -> np.ndarray:
-    """For each passage: its answer lies somewhere in the stretch."""
-    met = np.zeros(words + 2, bool)
+def _answered(stretch: np.ndarray, place: np.ndarray, bench: Benchmark, some: np.ndarray) -> np.ndarray:
+    """For each of ``some`` passages: its answer lies somewhere in the stretch."""
+    met = np.zeros(len(bench.vocabulary) + 2, bool)
     met[place] = True
     met[-1] = True
-    out = met[group["answer"]].all(1)
-    for k in np.flatnonzero(out).tolist():
-        out[k] = _holds(stretch, group["parts"][k][2])
+    out = met[bench.answer[some]].all(1)
+    for j in np.flatnonzero(out).tolist():
+        out[j] = _holds(stretch, bench.parts[some[j]][2])
     return out
 
 
+def _words_of(present: np.ndarray, bench: Benchmark, some: np.ndarray) -> np.ndarray:
+    """Which of the ``present`` places are words of which of ``some``
+    passages; the last row stands for any other word."""
+    has = np.zeros((len(present) + 1, len(some)), np.uint8)
+    for j, k in enumerate(some.tolist()):
+        own = bench.places_of[k]
+        at = np.minimum(np.searchsorted(present, own), len(present) - 1)
+        has[at[present[at] == own], j] = 1
+    return has
+
+
 def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
     """``item: (share of the passage found in order, answer found, cosine)``
     of one document's leaks, the largest share for each item."""
@@ -305,16 +338,25 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
     for lo in range(0, len(words), 1 << 15):  # long texts in overlapping stretches
         stretch = words[max(0, lo - 2 * SCALES[-1]) : lo + (1 << 15) + 2 * SCALES[-1]]
         origin = max(0, lo - 2 * SCALES[-1])
-        if not bench.of_scale or not len(stretch):
+        if not bench.parts or not len(stretch):
             continue
-        # with fewer words of the passage no subsequence can do
         place = bench.places(stretch)
-        upto = _words_upto(place, bench.has)
+        present = np.unique(place)
+        present = present[present < len(bench.vocabulary)]
+        some = bench.candidates(present) if len(present) else present
+        if not len(some):
+            continue
+        # with fewer words of the passage no subsequence can do
+        spot = np.searchsorted(present, place)
+        spot[place == len(bench.vocabulary)] = len(present)
+        upto = _words_upto(spot, _words_of(present, bench, some))
+        need = np.where(_answered(stretch, place, bench, some), bench.need[some], bench.alone[some])
         tests = []
-        for group in bench.of_scale:
-            need = np.where(_answered(stretch, place, group, len(bench.vocabulary)), group["need"], group["alone"])
-            tests.append((group, need, _enough(upto, group, need)))
-        if not any(enough.any() for _, _, enough in tests):
+        for scale, lo_k, hi_k in bench.spans:
+            part = slice(*np.searchsorted(some, [lo_k, hi_k]).tolist())
+            if part.start < part.stop:
+                tests.append((scale, some[part], need[part], _enough(upto[:, part], scale, bench.blocks[some[part]], need[part])))
+        if not any(enough.any() for *_, enough in tests):
             continue
         plain = stretch.tolist()
         n = -(-len(stretch) // BLOCK)
@@ -322,20 +364,20 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
         full[: len(stretch)] = table[stretch % FEATURES]
         level = full.reshape(n, BLOCK, -1).sum(1)
         width = 1
-        for group, need, enough in tests:
-            while width * BLOCK < group["scale"]:  # windows of twice the blocks
+        for scale, own, need, enough in tests:
+            while width * BLOCK < scale:  # windows of twice the blocks
                 level = level + np.concatenate((level[width:], np.zeros((min(width, n), level.shape[1]), np.float32)))[:n]
                 width *= 2
             if not enough.any():
                 continue
-            cosine = _normal(level) @ group["q"]
+            cosine = _normal(level) @ bench.q[own].T
             near, passage = np.nonzero(enough & (cosine >= COSINE))
             for at, k in zip(near.tolist(), passage.tolist(), strict=True):
-                item, part, answer, distinct = group["parts"][k]
+                item, part, answer, distinct = bench.parts[own[k]]
                 margin = max(len(part) // 2, BLOCK)
                 a = max(0, at * BLOCK - margin)
-                b = at * BLOCK + group["scale"] + margin
-                key = (group["scale"], k, origin + a)
+                b = at * BLOCK + scale + margin
+                key = (int(own[k]), origin + a)
                 if key in tried:
                     continue
                 tried.add(key)
@@ -368,26 +410,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = written(word_table(docs), "words")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * MAX_BENCHMARK_WORDS:
-        raise ValueError("the benchmark is too large to travel with the tasks; call leaks() with parts of it")
-    queries = sorted({(r["item_id"], r["text"]) for r in items.collect()})
-    table = projection(words) if queries else None
+    blocks = -(-size // (8 * MAX_BENCHMARK_WORDS))
+    df = frequencies(words) if blocks else None
+    table = projection(words, df) if blocks else None
     if table is None:
         return words.select("doc_id", "text_hash").limit(0).selectExpr(
             "doc_id", "text_hash", "0L AS item_id", "0D AS share", "false AS answer", "0D AS cosine"
         )
-    bench = Benchmark(queries, table)
 
-    def run(batches):
-        def each(rows):
-            for r in rows:
-                got = matches(np.frombuffer(r["words"], np.uint32), table, bench)
-                for item, (share, answer, cosine) in sorted(got.items()):
-                    yield r["doc_id"], r["text_hash"], item, share, answer, cosine
+    def search(bench):
+        def run(batches):
+            def each(rows):
+                for r in rows:
+                    got = matches(np.frombuffer(r["words"], np.uint32), table, bench)
+                    for item, (share, answer, cosine) in sorted(got.items()):
+                        yield r["doc_id"], r["text_hash"], item, share, answer, cosine
+
+            yield from batches_of(each, arrow_schema(MATCH_SCHEMA), 1024)(batches)
 
-        yield from batches_of(each, arrow_schema(MATCH_SCHEMA), 1024)(batches)
+        return words.mapInArrow(run, MATCH_SCHEMA)
 
-    return words.mapInArrow(run, MATCH_SCHEMA)
+    found = None
+    for block in range(blocks):  # each a bounded part of the benchmark
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        some = search(Benchmark(sorted({(r["item_id"], r["text"]) for r in part.collect()}), table, df))
+        found = some if found is None else found.unionAll(some)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,18 +2,24 @@
 the terms that give them away.  DataFrame functions only.
 
 Patterns find emails, addresses, card and phone numbers; their values are the
-protected entities.  A term (word) written within a few words of an entity
-*e* is a suspect.  Over the whole corpus, with document counts,
+protected entities.  Every word of a document that holds an entity *e* is a
+suspect.  Over the whole corpus, with document counts,
 
     IC(e)     = -log2 df(e)/N                     information in the entity
     PMI(e, t) = log2 N * df(e, t) / (df(e) * df(t))
     share     = PMI / IC                          1: the term gives e away
 
-where df(e, t) counts documents that have t beside e and df(t) documents that
-have t anywhere.  A term whose share reaches ``generalise`` is replaced by its
-kind, one that reaches ``remove`` by a blank mark, beside that entity.  At
-least ``contexts`` different surroundings must show the pair: copies of one
-text are one observation, and a word met once says nothing.
+where df(e, t) counts documents that have both.  A term whose share reaches
+``generalise`` is replaced by its kind, one that reaches ``remove`` by a blank
+mark, wherever it stands in a document that holds the entity.
+
+Copies of one text are one document, and documents in which an entity stands
+in the same surroundings (``AROUND`` characters on either side: copies with a
+changed end) are one observation of it.  At least ``contexts`` observations
+must show a pair: a word met once beside an entity says nothing.
+
+share >= g needs df(t) <= df(e) * (N / df(e)) ** (1 - g), since df(e, t) is at
+most df(e): frequent words leave before any pair is made.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
 # Fixed patterns.  They match what the plain forms
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -43,8 +49,7 @@ MAY = {
     "phone": r"\+[0-9]",
 }
 TERM = r"\p{L}[\p{L}\p{N}'’-]{2,}+"
-CONTEXT_CHARS = 120
-CONTEXT_WORDS = 6
+AROUND = 120
 CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 #: Array steps are taken in groups of this size, so that long arrays cost
@@ -137,45 +142,13 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def _words(snippet: Column, base: Column, entity: Column, context: Column, near_end: bool) -> Column:
-    """The nearest whole words of a snippet, with their places in the text."""
-    cut = F.length(snippet) == CONTEXT_CHARS
-    found = matches(
-        snippet,
-        TERM,
-        lambda start, value, _a, _b: F.struct(
-            F.lower(value).alias("term"),
-            (base + start).alias("start"),
-            (base + start + F.length(value)).alias("end"),
-            start.alias("lo"),
-            entity.alias("entity"),
-            context.alias("context"),
-        ),
-    )
-    if near_end:
-        whole = F.filter(found, lambda w: ~cut | (w["lo"] > 0))
-        return let(whole, lambda a: F.slice(a, F.greatest(F.lit(1), F.size(a) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)))
-    whole = F.filter(found, lambda w: ~cut | (w["end"] - base < CONTEXT_CHARS))
-    return F.slice(whole, 1, CONTEXT_WORDS)
-
-
-WORD = "struct<term:string,start:bigint,end:bigint,lo:bigint,entity:string,context:bigint>"
-SPAN = f"struct<start:bigint,kind:int,end:bigint,entity:string,words:array<{WORD}>>"
+SPAN = "struct<start:bigint,kind:int,end:bigint,entity:string,context:bigint>"
 
 
 def _spans(text: Column, kind: str) -> Column:
     regex = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind]
 
     def make(start, value, before, after):
-        def full(pre, post):
-            context = F.xxhash64(pre, post)
-            entity = _entity(kind, value)
-            left = _words(pre, start - F.length(pre), entity, context, True)
-            right = _words(post, start + F.length(value), entity, context, False)
-            empty = F.array().cast(f"array<{WORD}>")
-            return F.concat(F.coalesce(left, empty), F.coalesce(right, empty))
-
-        pre, post = F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))
         # for values that are no personal data nothing more is computed
         return F.when(
             _sound(kind, value),
@@ -184,7 +157,7 @@ def _spans(text: Column, kind: str) -> Column:
                 F.lit(KINDS.index(kind)).alias("kind"),
                 (start + F.length(value)).cast("bigint").alias("end"),
                 _entity(kind, value).alias("entity"),
-                let(pre, lambda a: let(post, lambda b: full(a, b))).alias("words"),
+                F.xxhash64(F.right(before, F.lit(AROUND)), F.left(after, F.lit(AROUND))).alias("context"),
             ).cast(SPAN),
         )
 
@@ -194,40 +167,69 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Per row: ``row`` (its number in the written result), ``doc_id``,
-    ``text_hash``, and ``spans`` sorted by start, then kind."""
-    text = F.coalesce("text", F.lit(""))
+    """Per row: ``doc_id``, ``text_hash``, and ``spans`` sorted by start, then
+    kind."""
     spans = F.concat(*[_spans(F.col("body"), k) for k in KINDS[:4]])
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("body"))
-    return rows.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.xxhash64("body").alias("text_hash"),
-        F.array_sort(spans).alias("spans"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body"))
+    return rows.select("doc_id", F.xxhash64("body").alias("text_hash"), F.array_sort(spans).alias("spans"))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """``term, df``: in how many documents each word of the corpus occurs."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_words(docs: DataFrame) -> DataFrame:
+    """``text_hash, term``: the distinct words of every distinct text."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return docs.select(F.xxhash64(text).alias("text_hash"), F.explode(words).alias("term")).distinct()
+
+
+def observations(base: DataFrame) -> DataFrame:
+    """``text_hash, entity, context``: each entity of each distinct text, with
+    its first surroundings there."""
+    spans = base.select("text_hash", F.explode("spans").alias("s"))
+    return spans.groupBy("text_hash", "s.entity").agg(F.min_by("s.context", "s.start").alias("context"))
+
+
+def disclosing_terms(words: DataFrame, seen: DataFrame, total: int, contexts: int, generalise: float) -> DataFrame:
+    """``entity, term, share`` of the words that give an entity away, from the
+    words of the distinct texts, the entities observed in them, and the number
+    of those texts."""
+    per_entity = seen.groupBy("entity").agg(F.count_distinct("context").alias("df_entity"), F.count("*").alias("texts"))
+    per_entity = written(per_entity.where(F.col("df_entity") >= contexts), "pii-entities")
+    bound = F.col("df_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("df_entity"), F.lit(1 - generalise))
+    # a hair above, for the rounding of the power
+    per_entity = per_entity.withColumn("df_most", F.floor(bound * (1 + 1e-9)))
+    most, n_seen = per_entity.agg(F.max("df_most"), F.sum("texts")).first()
+    observed = join_hot(seen, per_entity, ["entity"], "texts", n_seen or 0)
+    rare = words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(contexts, F.lit(most or 0)))
+    suspects = words.join(observed.select("text_hash").distinct(), "text_hash", "left_semi").join(rare, "term")
+    pairs = suspects.join(observed, "text_hash").where(F.col("df") <= F.col("df_most"))
+    counted = pairs.groupBy("entity", "term", "df_entity", "df").agg(F.count_distinct("context").alias("df_pair"))
+    n = F.lit(float(max(total, 1)))
+    information = F.log2(n / F.col("df_entity"))
+    pmi = F.log2(n * F.col("df_pair") / (F.col("df_entity") * F.col("df")))
+    scored = counted.where(F.col("df_pair") >= contexts).withColumn("share", F.when(information > 0, pmi / information))
+    return scored.select("entity", "term", "share").where(F.col("share") >= generalise)
+
+
+TERMS = "array<struct<start:bigint,kind:int,end:bigint,mark:string>>"
+
+
+def _term_spans(body: Column, shares: Column, remove: float) -> Column:
+    """Where the words of a map (term -> share) stand in a text."""
+    mark = lambda term, share: F.when(share >= remove, "[REDACTED]").otherwise(
+        F.when(term.rlike("[0-9]"), "[CODE]").otherwise("[TERM]")
+    )
 
+    def make(start, value, _before, _after):
+        def marked(share):
+            return F.struct(
+                start.cast("bigint").alias("start"), F.lit(KINDS.index("term")).alias("kind"),
+                (start + F.length(value)).cast("bigint").alias("end"), mark(F.lower(value), share).alias("mark"),
+            )
 
-def disclosing_terms(
-    docs: DataFrame, suspects: DataFrame, entities: DataFrame, contexts: int, generalise: float
-) -> DataFrame:
-    """``entity, term, share`` of the suspects (one row per document, entity
-    and term) that give their entity away."""
-    pairs = suspects.groupBy("entity", "term").agg(F.count("*").alias("df_pair"), F.count_distinct("context").alias("seen"))
-    pairs = pairs.where(F.col("seen") >= contexts)
-    total = docs.agg(F.count("*").cast("double")).scalar()
-    per_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    known = pairs.join(per_entity, "entity").join(document_frequencies(docs), "term")
-    scored = known.withColumn("n", total)
-    information = F.log2(F.col("n") / F.col("df_entity"))
-    pmi = F.log2(F.col("n") * F.col("df_pair") / (F.col("df_entity") * F.col("df")))
-    share = F.when(information > 0, pmi / information)
-    return scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+        return let(F.try_element_at(shares, F.lower(value)), lambda share: F.when(share.isNotNull(), marked(share)))
+
+    found = F.filter(matches(body, TERM, make), lambda x: x.isNotNull())
+    return F.coalesce(found, F.array()).cast(TERMS)
 
 
 def find(
@@ -241,27 +243,33 @@ def find(
     text is empty; null and repeated ids are rows like others; other columns
     are not read."""
     base = written(base_spans(docs), "pii-spans")
-    with_any = base.where(F.size("spans") > 0)
-    words = with_any.select("row", "spans", F.explode(F.flatten(F.transform("spans", lambda s: s["words"]))).alias("w"))
-    entities = with_any.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    # one row per document, entity and term: counted over documents
-    suspects = words.groupBy("row", "w.entity", "w.term").agg(F.min("w.context").alias("context"))
-    flagged = written(disclosing_terms(docs, suspects, entities, contexts, generalise), "pii-terms")
-
-    hits = words.select("row", "spans", "w.entity", "w.term", "w.start", "w.end").join(flagged, ["entity", "term"])
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    mark = F.when(F.col("share") >= remove, "[REDACTED]").otherwise(
-        F.when(F.col("term").rlike("[0-9]"), "[CODE]").otherwise("[TERM]")
+    words = written(document_words(docs), "pii-words")
+    seen = written(observations(base.where(F.size("spans") > 0)), "pii-seen")
+    copies = base.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    counts = copies.agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).first()
+    flagged = written(disclosing_terms(words, seen, counts["texts"], contexts, generalise), "pii-terms")
+
+    # the words that give away an entity of the same text; the strictest share counts
+    held = words.join(flagged, "term").join(seen.select("text_hash", "entity"), ["text_hash", "entity"])
+    held = held.groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+    held = held.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    held = written(held.join(copies, "text_hash"), "pii-held")
+    total = counts["rows"] or 0
+    text = F.coalesce("text", F.lit(""))
+    bodies = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("body"))
+    placed = join_hot(bodies, held, ["text_hash"], "copies", total)
+    placed = placed.select("text_hash", _term_spans(F.col("body"), F.col("shares"), remove).alias("terms"))
+    placed = placed.groupBy("text_hash").agg(F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    placed = written(placed, "pii-places")
+
+    with_terms = join_hot(base, placed, ["text_hash"], "copies", total)
+    clear = F.filter(
+        "terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
     )
-    # a word beside several entities takes the strictest mark
-    hits = hits.where(clear).groupBy("row", "start", "end").agg(F.max_by(mark, F.col("share")).alias("mark"))
-    one = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "mark")
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,mark:string>>")
     slim = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return base.join(hits, "row", "left").select(
-        "doc_id", "text_hash", slim.alias("base"), F.coalesce("terms", empty).alias("terms")
-    )
+    plain = base.join(placed.select("text_hash"), "text_hash", "left_anti").withColumn("terms", F.array().cast(TERMS))
+    every = with_terms.withColumn("terms", clear).unionByName(plain)
+    return every.select("doc_id", "text_hash", slim.alias("base"), "terms")
 
 
 def listed(spans: Column) -> Column:

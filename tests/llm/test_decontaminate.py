@@ -149,3 +149,72 @@ def test_words_beyond_ascii_and_short_items(spark):
     ]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(1, 6)}
+
+
+def _random_items(rng, n, vocabulary):
+    return [(i, " ".join(f"w{min(int(rng.pareto(0.8) * 20), vocabulary)}" for _ in range(rng.integers(6, 90)))) for i in range(n)]
+
+
+def test_the_rare_word_filter_loses_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    items = _random_items(rng, 60, 900)
+    table = rng.standard_normal((decontaminate.FEATURES, 8)).astype(np.float32)
+    df = rng.integers(1, 500, decontaminate.FEATURES + 1).astype(float)
+    bench = decontaminate.Benchmark(items, table, df)
+    docs = []
+    for i in range(40):
+        words = [f"w{min(int(rng.pareto(0.8) * 20), 900)}" for _ in range(rng.integers(1, 400))]
+        for _, text in [items[k] for k in rng.integers(0, len(items), 2)]:  # a paraphrase keeps 65 or 85 % of the words in order
+            keep = [w for w in text.split() if rng.random() < rng.choice([0.65, 0.85])]
+            at = rng.integers(0, len(words) + 1)
+            words[at:at] = keep
+        docs.append(decontaminate.hashed(" ".join(words)))
+    docs.append(decontaminate.hashed(" ".join(t for _, t in items) * 9))  # more than one stretch
+    got = [decontaminate.matches(d, table, bench) for d in docs]
+    monkeypatch.setattr(decontaminate.Benchmark, "candidates", lambda self, present: np.arange(len(self.parts)))
+    assert got == [decontaminate.matches(d, table, bench) for d in docs]
+    assert sum(map(len, got)) > 60
+
+
+def test_what_a_task_carries_of_20000_items_is_small():
+    import pickle
+
+    rng = np.random.default_rng(9)
+    items = _random_items(rng, 20_000, 300_000)
+    table = rng.standard_normal((decontaminate.FEATURES, 48)).astype(np.float32)
+    bench = decontaminate.Benchmark(items, table, np.ones(decontaminate.FEATURES + 1))
+    # 200 MB for a million words: a fixed number of bytes a word and passage
+    assert len(pickle.dumps(bench)) < 200 * sum(len(t.split()) for _, t in items)
+    for i in (3, 1234, 19_999):
+        words = decontaminate.hashed("x y z " * 40 + items[i][1] + " u v" * 60)
+        assert i in decontaminate.matches(words, table, bench)
+
+
+def test_paraphrases_equal_brute_force_subsequences():
+    """Every item whose words mostly stand in order within a window is found
+    (the cosine, fitted here on the items, is what decides besides)."""
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(10, 60)))) for i in range(30)]
+    table = rng.standard_normal((decontaminate.FEATURES, 48)).astype(np.float32)
+    bench = decontaminate.Benchmark(items, table, np.ones(decontaminate.FEATURES + 1))
+    for i, text in items:
+        kept = [w for w in text.split() if rng.random() < 0.93]
+        doc = [*rng.choice(words, 150), *kept, *rng.choice(words, 150)]
+        found = decontaminate.matches(decontaminate.hashed(" ".join(doc)), table, bench)
+        want = {}
+        for k, other in items:
+            part = decontaminate.hashed(other)
+            share = decontaminate.common_subsequence(part, decontaminate.hashed(" ".join(doc))) / len(part)
+            if share >= decontaminate.LCS_ALONE:
+                want[k] = share
+        assert set(want) == {k for k, (share, _, _) in found.items() if share >= decontaminate.LCS_ALONE}
+        assert i in found
+
+
+def test_a_large_benchmark_is_searched_in_blocks(spark, monkeypatch):
+    docs = queries.table(spark, SF, "documents").limit(60)
+    bench = queries.table(spark, SF, "benchmark")
+    whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_WORDS", 100)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == whole

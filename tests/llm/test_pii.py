@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
+import regex
 from llm_fixtures import DOCS, SF
 
 from lectern.llm import pii, queries
@@ -136,3 +139,84 @@ def test_query_equals_brute_force(spark):
         assert set(f"{names[k]}:{a}:{b}" for a, k, b in spans(text)) <= set(filter(None, got[doc]["spans"].split(",")))
 
 
+
+
+def brute_terms(texts, contexts=3, generalise=0.8):
+    """Term spans of each distinct text, by counting over whole documents."""
+    term = regex.compile(pii.TERM)
+    texts = sorted({t or "" for t in texts})
+    words = {t: set(term.findall(t.lower())) for t in texts}
+    seen = {}
+    for t in texts:
+        for kind, pattern in PLAIN.items():
+            found = list(re.finditer(pattern, t))
+            good = {(a, b) for a, n, b in spans(t) if list(PLAIN)[n] == kind}
+            for i, m in enumerate(found):
+                if m.span() in good:
+                    left = t[found[i - 1].end() if i else 0 : m.start()][-120:]
+                    right = t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)][:120]
+                    plain = m.group().lower() if kind == "email" else m.group() if kind == "ip" else re.sub("[^0-9]", "", m.group())
+                    seen.setdefault((t, f"{kind}:{plain}"), (left, right))
+    n, df = len(texts), Counter(w for t in texts for w in words[t])
+    entities = {}
+    for (t, e), c in seen.items():
+        entities.setdefault(e, []).append((t, c))
+    flagged = {}
+    for e, where in entities.items():
+        df_e = len({c for _, c in where})
+        if df_e < contexts or df_e >= n:
+            continue
+        pairs = {}
+        for t, c in where:
+            for w in words[t]:
+                pairs.setdefault(w, set()).add(c)
+        for w, cs in pairs.items():
+            share = math.log2(n * len(cs) / (df_e * df[w])) / math.log2(n / df_e)
+            if len(cs) >= contexts and share >= generalise:
+                flagged.setdefault(e, {})[w] = share
+    out = {}
+    for t in texts:
+        held = {w for (u, e) in seen if u == t for w in flagged.get(e, ())}
+        base = spans(t)
+        out[t] = [
+            (m.start(), m.end()) for m in term.finditer(t)
+            if m.group().lower() in held and not any(a < m.end() and b > m.start() for a, _, b in base)
+        ]
+    return out
+
+
+def test_term_spans_equal_brute_force_over_whole_documents(spark):
+    rng = random.Random(5)
+    filler = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(120)]
+    people = [("Zaphod", "p@q.org"), ("Arthur-Dent", "+44 20 7946 0958"), ("Ford", "10.0.0.7"), ("Marvin42", "m@q.org")]
+    texts = []
+    for i in range(150):
+        body = rng.choices(filler, k=rng.randrange(5, 400))
+        for name, entity in people:
+            if rng.random() < 0.08:
+                body.insert(rng.randrange(len(body)), entity)
+                if rng.random() < 0.9:
+                    body[rng.randrange(len(body)) : 0] = [name, name.lower()]
+        texts.append(" ".join(body))
+    texts += [texts[0]] * 40 + [None, "", texts[1] + " Zaphod p@q.org"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = brute_terms(texts)
+    assert sum(map(len, want.values())) > 20
+    for r in run(spark, rows).collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("term:")]
+        assert got == want[dict(rows)[r["doc_id"]] or ""], r["doc_id"]
+
+
+def test_a_word_far_from_its_entity_is_found_and_replaced_everywhere(spark):
+    rng = random.Random(6)
+    filler = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(60)]
+    rows = []
+    for i in range(4):
+        gap = rng.choices(filler, k=300)
+        rows.append((i, " ".join(["Heimlich", *gap, "x@y.org", *rng.choices(filler, k=200), "heimlich", f"end{i}"])))
+    rows += [(10 + i, " ".join(rng.choices(filler, k=300))) for i in range(100)]
+    df = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], DOCS)
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert all("eimlich" not in out[i] and out[i].count("[REDACTED]") == 2 for i in range(4))
+    assert all(out[10 + i] == rows[4 + i][1] for i in range(100))
