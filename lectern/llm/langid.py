@@ -3,7 +3,7 @@ bytes, trained in numpy by backpropagation through time.
 
 Two gated recurrent layers read a window of bytes, one forwards and one
 backwards; at every byte both states together give the probabilities of the
-languages.  A document's probabilities are the mean over all its bytes.
+languages.  A document's probabilities are the geometric mean over all its bytes.
 
 Long texts are read in windows of ``WINDOW`` bytes with ``CONTEXT`` bytes on
 either side, many windows at a time; every byte of every text is read.  The
@@ -22,8 +22,8 @@ HIDDEN = 16
 WINDOW, CONTEXT = 128, 16
 #: Labelled documents per language that the network is fitted on, at most.
 SAMPLE = 256
-PASSAGES, PASSAGE_CHARS = 4, 64
-STEPS, BATCH, RATE, SEED = 160, 128, 0.02, 5
+PASSAGES, PASSAGE_CHARS = 4, 96
+STEPS, BATCH, RATE, SEED = 240, 128, 0.02, 5
 UNKNOWN = "und"
 #: Windows read at once.
 AT_ONCE = 1024

@@ -135,13 +135,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, vnodes: int = VNODES) -
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     """The documents as one folder of Parquet files per shard, joined to
-    their placement by id, size and crc.  For tables whose rows differ in
-    these; equal rows would meet each other's places."""
+    their placement by id, size and crc.  Rows equal in these are numbered on
+    both sides, so each gets one place of its own."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
-    on = placed["key"].eqNullSafe(docs["doc_id"]) & (placed["size"] == size) & (placed["text_crc32"] == crc)
-    kept = [docs[c] for c in docs.columns if c not in ("shard", "slot")]
-    full = docs.join(placed, on).select(*kept, placed["shard"], placed["slot"])
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("key"), size.alias("size"), crc.alias("text_crc32"))
+    same = Window.partitionBy("key", "size", "text_crc32")
+    rows = rows.withColumn("copy", F.row_number().over(same.orderBy(F.xxhash64("row"))))
+    places = placed.select("key", "size", "text_crc32", "shard", "slot")
+    places = places.withColumn("copy", F.row_number().over(same.orderBy("shard", "slot")))
+    on = [rows[c].eqNullSafe(places[c]) for c in ("key", "size", "text_crc32", "copy")]
+    full = rows.join(places, on).select("row.*", "shard", "slot")
     full.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard"
     ).parquet(path)

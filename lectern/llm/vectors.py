@@ -16,9 +16,16 @@ are dealt in blocks of about ``BLOCK`` vectors, each pair of blocks is one
 matrix product, and only counts per vector leave it.  Equal vectors are one
 class with a weight throughout.
 
-Two vectors of cosine 0.9 agree on a hyperplane with probability 0.856; with
-``n`` classes a pass needs about log2(n / WINDOW) equal leading bits to bring
-them into one window, so ``passes`` grows with the bits: enough for a miss
+Hyperplanes cut the unit vectors less their mean (one vector a dimension,
+summed over all rows): in a cone, where all vectors share a direction, planes
+through the origin would hardly tell them apart.  Cosines stay those of the
+vectors as they are.
+
+With the mean's squared length ``m``, a pair of cosine ``c`` has the centred
+cosine (c - m) / (1 - m), and agrees on a hyperplane with the probability that
+belongs to it; unrelated pairs agree on one in two.  With ``n`` classes a pass
+needs about log2(n / WINDOW) equal leading bits to bring a pair into one
+window, so ``passes`` grows with the bits and with ``m``: enough for a miss
 under 1e-6 for one pair on its own (a group has many pairs).
 """
 
@@ -40,15 +47,44 @@ BITS = 60
 SEED = 987
 
 
-def passes_for(n: int, cosine: float, window: int = WINDOW, miss: float = 1e-6) -> int:
+def passes_for(n: int, cosine: float, window: int = WINDOW, mean: float = 0.0, miss: float = 1e-6) -> int:
     """Passes so that a pair of this cosine stays apart with probability at
-    most ``miss``, by the bits that bring a window's worth of ``n`` together."""
-    same = 1 - math.acos(cosine) / math.pi
+    most ``miss``, by the bits that bring a window's worth of ``n`` together;
+    ``mean`` is the squared length of the mean unit vector."""
+    centred = (cosine - mean) / (1 - mean) if mean < cosine else 0.0
+    same = 1 - math.acos(centred) / math.pi
     bits = max(0.0, math.log2(max(n, 1) / window) + 1)
     together = same**bits
     return 1 if together >= 1 else max(4, math.ceil(math.log(miss) / math.log1p(-together)))
 
 
+SUM_SCHEMA = "dim int, n long, total binary"
+
+
+def _centres(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean unit vector of each vector length, over all classes; a task
+    sends one sum a length."""
+
+    def add(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            by_dim: dict[int, list] = {}
+            for v in batch.column(0).to_pylist():
+                by_dim.setdefault(len(v), []).append(v)
+            for dim, rows in by_dim.items():
+                held = sums.setdefault(dim, [0, np.zeros(dim)])
+                held[0] += len(rows)
+                held[1] += _unit(rows).sum(0)
+        yield rows_to_arrow([(dim, n, total.tobytes()) for dim, (n, total) in sums.items()], arrow_schema(SUM_SCHEMA))
+
+    found: dict[int, list] = {}
+    for r in classes.select("v").mapInArrow(add, SUM_SCHEMA).collect():
+        held = found.setdefault(r["dim"], [0, np.zeros(r["dim"])])
+        held[0] += r["n"]
+        held[1] += np.frombuffer(r["total"], np.float64)
+    return {dim: total / n for dim, (n, total) in found.items()}
+
+
 def _planes(passno: int, dim: int) -> np.ndarray:
     return np.random.default_rng((SEED, passno, dim)).standard_normal((dim, BITS))
 
@@ -77,7 +113,7 @@ PASS_SCHEMA = "pass int, dim int, bits long, key long"
 EDGE_SCHEMA = "a long, b long"
 
 
-def _project(passes: int):
+def _project(passes: int, centres: dict[int, np.ndarray]):
     def run(batches):
         schema = arrow_schema(PASS_SCHEMA)
         for batch in batches:
@@ -87,7 +123,7 @@ def _project(passes: int):
                 for r in some:
                     by_dim.setdefault(len(r["v"]), []).append(r)
                 for dim, rows in by_dim.items():
-                    unit = _unit([r["v"] for r in rows])
+                    unit = _unit([r["v"] for r in rows]) - centres[dim]
                     for p in range(passes):
                         signs = (unit @ _planes(p, dim) > 0).astype(np.int64)
                         bits = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
@@ -233,8 +269,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, window: int = WINDO
     # a number for each class: smallest ids may meet
     classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    passes = passes or passes_for(n, cosine, window)
-    projected = classes.select("key", "v").mapInArrow(_project(passes), PASS_SCHEMA)
+    centres = _centres(classes)
+    passes = passes or passes_for(n, cosine, window, max((float(c @ c) for c in centres.values()), default=0.0))
+    projected = classes.select("key", "v").mapInArrow(_project(passes, centres), PASS_SCHEMA)
     ordered = projected.repartitionByRange(shuffle_parts(spark), "pass", "dim", "bits", "key")
     ordered = ordered.sortWithinPartitions("pass", "dim", "bits", "key")
     place = F.monotonically_increasing_id().alias("place")

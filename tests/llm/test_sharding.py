@@ -72,6 +72,16 @@ def test_write_shards(spark, tmp_path):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in back.collect()} == want
 
 
+def test_write_shards_gives_repeated_rows_a_place_each(spark, tmp_path):
+    rows = [(1, "same", 0)] * 20 + [(1, "same", 7)] * 3 + [(2, None, 0), (None, "x", 0), (None, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    placed = sharding.shard_documents(df, 3)
+    sharding.write_shards(df, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r["doc_id"], r["text"], r["other"]) for r in back), key=repr) == sorted(rows, key=repr)
+    assert sorted((r["shard"], r["slot"]) for r in back) == sorted((r["shard"], r["slot"]) for r in placed.collect())
+
+
 def test_query_on_all_documents(spark):
     out = queries.op3_ring_sharding(spark, SF).collect()
     check_gapless(out, 16)

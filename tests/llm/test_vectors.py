@@ -81,3 +81,34 @@ def test_links_do_not_depend_on_the_number_of_partitions(spark):
             assert run(spark, rows) == brute(rows), n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def cone(rng, n, dim, cosine, pairs):
+    """``n`` vectors whose cosines lie about ``cosine``, and pairs of 0.91."""
+    axis = np.zeros(dim)
+    axis[0] = 1.0
+    side = rng.standard_normal((n, dim))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    for k in range(pairs):
+        a, b = side[2 * k], rng.standard_normal(dim)
+        b[0] = 0
+        b -= (b @ a) * a
+        near = (0.91 - cosine) / (1 - cosine)
+        side[2 * k + 1] = near * a + np.sqrt(1 - near * near) * b / np.linalg.norm(b)
+    return np.sqrt(cosine) * axis + np.sqrt(1 - cosine) * side
+
+
+def test_no_link_is_lost_in_a_cone(spark):
+    rng = np.random.default_rng(12)
+    x = cone(rng, 4000, 64, 0.75, 300)
+    rows = [(int(i), f32(x[i])) for i in rng.permutation(len(x))]
+    got = run(spark, rows, window=64)
+    assert got == brute(rows)
+    assert sum(link > 0 for _, link, _, _ in got) >= 600
+
+
+def test_passes_grow_with_the_cone():
+    assert vectors.passes_for(51_282, 0.9) == vectors.passes_for(51_282, 0.9, mean=0.0)
+    assert vectors.passes_for(51_282, 0.9) < vectors.passes_for(51_282, 0.9, mean=0.5) < vectors.passes_for(51_282, 0.9, mean=0.8)
+    assert vectors.passes_for(100, 0.9, mean=0.95) == 1
