@@ -167,18 +167,23 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``text_hash``, and ``spans`` sorted by start, then
-    kind."""
+    """Per row: ``doc_id``, ``text_hash``, ``spans`` sorted by start, then
+    kind, and the text as ``body`` where there are any."""
     spans = F.concat(*[_spans(F.col("body"), k) for k in KINDS[:4]])
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body"))
-    return rows.select("doc_id", F.xxhash64("body").alias("text_hash"), F.array_sort(spans).alias("spans"))
+    found = rows.select("doc_id", F.xxhash64("body").alias("text_hash"), F.array_sort(spans).alias("spans"), "body")
+    return found.withColumn("body", F.when(F.size("spans") > 0, F.col("body")))
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """``text_hash, term``: the distinct words of every distinct text."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    return docs.select(F.xxhash64(text).alias("text_hash"), F.explode(words).alias("term")).distinct()
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """``text_hash, body`` once a text: copies are one document."""
+    return texts.select("text_hash", "body").dropDuplicates(["text_hash"])
+
+
+def words_of(texts: DataFrame) -> DataFrame:
+    """``text_hash, term``: the distinct words of each text."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))
+    return texts.select("text_hash", F.explode(words).alias("term"))
 
 
 def observations(base: DataFrame) -> DataFrame:
@@ -188,26 +193,33 @@ def observations(base: DataFrame) -> DataFrame:
     return spans.groupBy("text_hash", "s.entity").agg(F.min_by("s.context", "s.start").alias("context"))
 
 
-def disclosing_terms(words: DataFrame, seen: DataFrame, total: int, contexts: int, generalise: float) -> DataFrame:
-    """``entity, term, share`` of the words that give an entity away, from the
-    words of the distinct texts, the entities observed in them, and the number
-    of those texts."""
+def disclosing_terms(
+    docs: DataFrame, held: DataFrame, seen: DataFrame, total: int, contexts: int, generalise: float
+) -> tuple[DataFrame, DataFrame]:
+    """``entity, term, share`` of the words that give an entity away, and the
+    suspects ``text_hash, term``.  ``held`` are the distinct texts that hold
+    entities, ``seen`` the entities observed in them, ``total`` the number of
+    all distinct texts of ``docs``."""
     per_entity = seen.groupBy("entity").agg(F.count_distinct("context").alias("df_entity"), F.count("*").alias("texts"))
-    per_entity = written(per_entity.where(F.col("df_entity") >= contexts), "pii-entities")
+    per_entity = per_entity.where(F.col("df_entity") >= contexts)
     bound = F.col("df_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("df_entity"), F.lit(1 - generalise))
     # a hair above, for the rounding of the power
-    per_entity = per_entity.withColumn("df_most", F.floor(bound * (1 + 1e-9)))
+    per_entity = written(per_entity.withColumn("df_most", F.floor(bound * (1 + 1e-9))), "pii-entities")
     most, n_seen = per_entity.agg(F.max("df_most"), F.sum("texts")).first()
     observed = join_hot(seen, per_entity, ["entity"], "texts", n_seen or 0)
-    rare = words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(contexts, F.lit(most or 0)))
-    suspects = words.join(observed.select("text_hash").distinct(), "text_hash", "left_semi").join(rare, "term")
+
+    text = F.coalesce("text", F.lit(""))
+    every = words_of(distinct_texts(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("body"))))
+    rare = every.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(contexts, F.lit(most or 0)))
+    suspects = words_of(held.join(observed.select("text_hash").distinct(), "text_hash", "left_semi"))
+    suspects = written(suspects.join(rare, "term"), "pii-suspects")
     pairs = suspects.join(observed, "text_hash").where(F.col("df") <= F.col("df_most"))
     counted = pairs.groupBy("entity", "term", "df_entity", "df").agg(F.count_distinct("context").alias("df_pair"))
     n = F.lit(float(max(total, 1)))
     information = F.log2(n / F.col("df_entity"))
     pmi = F.log2(n * F.col("df_pair") / (F.col("df_entity") * F.col("df")))
     scored = counted.where(F.col("df_pair") >= contexts).withColumn("share", F.when(information > 0, pmi / information))
-    return scored.select("entity", "term", "share").where(F.col("share") >= generalise)
+    return scored.select("entity", "term", "share").where(F.col("share") >= generalise), suspects.select("text_hash", "term")
 
 
 TERMS = "array<struct<start:bigint,kind:int,end:bigint,mark:string>>"
@@ -243,25 +255,21 @@ def find(
     text is empty; null and repeated ids are rows like others; other columns
     are not read."""
     base = written(base_spans(docs), "pii-spans")
-    words = written(document_words(docs), "pii-words")
-    seen = written(observations(base.where(F.size("spans") > 0)), "pii-seen")
+    with_any = base.where(F.size("spans") > 0)
+    seen = written(observations(with_any), "pii-seen")
     copies = base.groupBy("text_hash").agg(F.count("*").alias("copies"))
     counts = copies.agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).first()
-    flagged = written(disclosing_terms(words, seen, counts["texts"], contexts, generalise), "pii-terms")
+    texts = distinct_texts(with_any)
+    flagged, suspects = disclosing_terms(docs, texts, seen, counts["texts"], contexts, generalise)
 
     # the words that give away an entity of the same text; the strictest share counts
-    held = words.join(flagged, "term").join(seen.select("text_hash", "entity"), ["text_hash", "entity"])
+    held = suspects.join(written(flagged, "pii-terms"), "term").join(seen.select("text_hash", "entity"), ["text_hash", "entity"])
     held = held.groupBy("text_hash", "term").agg(F.max("share").alias("share"))
     held = held.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    held = written(held.join(copies, "text_hash"), "pii-held")
-    total = counts["rows"] or 0
-    text = F.coalesce("text", F.lit(""))
-    bodies = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("body"))
-    placed = join_hot(bodies, held, ["text_hash"], "copies", total)
-    placed = placed.select("text_hash", _term_spans(F.col("body"), F.col("shares"), remove).alias("terms"))
-    placed = placed.groupBy("text_hash").agg(F.first("terms").alias("terms"), F.count("*").alias("copies"))
-    placed = written(placed, "pii-places")
+    placed = texts.join(held, "text_hash").select("text_hash", _term_spans(F.col("body"), F.col("shares"), remove).alias("terms"))
+    placed = written(placed.join(copies, "text_hash"), "pii-places")
 
+    base, total = base.drop("body"), counts["rows"] or 0
     with_terms = join_hot(base, placed, ["text_hash"], "copies", total)
     clear = F.filter(
         "terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
