@@ -174,6 +174,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
+def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``lo`` to ``hi``, one range after the other."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Benchmark:
     """Query passages: items of up to 64 words whole, longer ones in parts.
 
@@ -213,17 +219,22 @@ class Benchmark:
         self.alone, self.need = LCS_ALONE * self.size - 1e-6, LCS_ANSWER * self.size - 1e-6
         self.blocks = -(-np.maximum(self.size // 2, BLOCK) // BLOCK)
         self.answer = np.full((len(parts), ANSWER), len(self.vocabulary) + 1)  # none there: always met
-        self.places_of = []
+        own_places, own_times = [], []
         heads, owners = [], []
         for k, (_, part, answer, _) in enumerate(parts):
             self.answer[k, : len(answer)] = np.searchsorted(self.vocabulary, answer)
             own, times = np.unique(part, return_counts=True)
-            self.places_of.append(np.searchsorted(self.vocabulary, own))
+            own_places.append(np.searchsorted(self.vocabulary, own))
+            own_times.append(times)
             rarest = np.argsort(df[own % FEATURES], kind="stable")
             left = len(part) - np.cumsum(times[rarest])
             enough = int(np.argmax(left < np.ceil(self.need[k]))) + 1
-            heads.append(self.places_of[-1][rarest[:enough]])
+            heads.append(own_places[-1][rarest[:enough]])
             owners.append(np.full(enough, k))
+        # each passage's distinct words and how often it has them
+        self.words = np.concatenate(own_places) if parts else np.empty(0, np.int64)
+        self.times = np.concatenate(own_times) if parts else np.empty(0, np.int64)
+        self.ends = np.cumsum([0, *map(len, own_places)])
         heads = np.concatenate(heads) if heads else np.empty(0, np.int64)
         order = np.argsort(heads, kind="stable")
         self.postings = np.concatenate(owners)[order] if owners else np.empty(0, np.int64)
@@ -231,10 +242,24 @@ class Benchmark:
 
     def candidates(self, present: np.ndarray) -> np.ndarray:
         """The passages with a rare word among the ``present`` places."""
-        lo, hi = self.bounds[present], self.bounds[present + 1]
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.unique(self.postings[at])
+        return np.unique(self.postings[_runs(self.bounds[present], self.bounds[present + 1])])
+
+    def found(self, present: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``some`` passages that have enough of their words among the
+        ``present`` places, and a table of which places are words of which
+        passages; its last row stands for any other word."""
+        lo, hi = self.ends[some], self.ends[some + 1]
+        at = _runs(lo, hi)
+        column = np.repeat(np.arange(len(some)), hi - lo)
+        row = np.minimum(np.searchsorted(present, self.words[at]), len(present) - 1)
+        met = present[row] == self.words[at]
+        most = np.bincount(column[met], self.times[at][met], len(some))
+        kept = most >= self.need[some]
+        spot = np.cumsum(kept) - 1
+        use = met & kept[column]
+        has = np.zeros((len(present) + 1, int(kept.sum())), np.uint8)
+        has[row[use], spot[column[use]]] = 1
+        return some[kept], has
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or behind its end."""
@@ -319,17 +344,6 @@ def _answered(stretch: np.ndarray, place: np.ndarray, bench: Benchmark, some: np
     return out
 
 
-def _words_of(present: np.ndarray, bench: Benchmark, some: np.ndarray) -> np.ndarray:
-    """Which of the ``present`` places are words of which of ``some``
-    passages; the last row stands for any other word."""
-    has = np.zeros((len(present) + 1, len(some)), np.uint8)
-    for j, k in enumerate(some.tolist()):
-        own = bench.places_of[k]
-        at = np.minimum(np.searchsorted(present, own), len(present) - 1)
-        has[at[present[at] == own], j] = 1
-    return has
-
-
 def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int, tuple[float, bool, float]]:
     """``item: (share of the passage found in order, answer found, cosine)``
     of one document's leaks, the largest share for each item."""
@@ -344,12 +358,15 @@ def matches(words: np.ndarray, table: np.ndarray, bench: Benchmark) -> dict[int,
         present = np.unique(place)
         present = present[present < len(bench.vocabulary)]
         some = bench.candidates(present) if len(present) else present
+        if not len(some):
+            continue
+        some, has = bench.found(present, some)
         if not len(some):
             continue
         # with fewer words of the passage no subsequence can do
         spot = np.searchsorted(present, place)
         spot[place == len(bench.vocabulary)] = len(present)
-        upto = _words_upto(spot, _words_of(present, bench, some))
+        upto = _words_upto(spot, has)
         need = np.where(_answered(stretch, place, bench, some), bench.need[some], bench.alone[some])
         tests = []
         for scale, lo_k, hi_k in bench.spans:
