@@ -27,14 +27,13 @@ from ..sources.pages import first_element_text
 
 
 def _file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int) -> DataFrame:
-    """Parquet files landing under a directory.  A path naming one file is
-    read as its directory with a name filter."""
+    """Parquet files landing under a directory.  A file stream wants a
+    directory or a pattern; a table's path, which may be one file or a folder
+    of files, is given as the pattern that matches nothing but itself."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet") and not path.endswith("/"):
-        import os
-
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    if path.rstrip("/").endswith(".parquet"):
+        folder, slash, name = path.rstrip("/").rpartition("/")
+        path = f"{folder}{slash}[{name[0]}]{name[1:]}"
     return reader.parquet(path)
 
 

@@ -67,3 +67,18 @@ def test_recursive_split_matches_brute_force(spark):
         expected = split_text(text)
         assert [s for _, s in sorted(got.get(doc_id, []))] == expected, doc_id
         assert all(len(s) <= 4000 for s in expected)
+
+
+@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages")])
+def test_streams_read_a_table_of_many_files(spark, tmp_path, name, table):
+    """A table may be a folder of files, more of them than one micro-batch takes."""
+    spark.read.parquet(f"{SF}/{table}.parquet").repartition(20).write.parquet(str(tmp_path / f"{table}.parquet"))
+    one, many = QUERIES[name](spark, SF), QUERIES[name](spark, str(tmp_path))
+    assert one.count() > 0
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
+@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages")])
+def test_streams_of_a_table_without_rows(spark, tmp_path, name, table):
+    spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).collect() == []
