@@ -69,7 +69,7 @@ def test_recursive_split_matches_brute_force(spark):
         assert all(len(s) <= 4000 for s in expected)
 
 
-@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages")])
+@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages"), ("stream_session_log", "conversations")])
 def test_streams_read_a_table_of_many_files(spark, tmp_path, name, table):
     """A table may be a folder of files, more of them than one micro-batch takes."""
     spark.read.parquet(f"{SF}/{table}.parquet").repartition(20).write.parquet(str(tmp_path / f"{table}.parquet"))
@@ -78,7 +78,7 @@ def test_streams_read_a_table_of_many_files(spark, tmp_path, name, table):
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
 
 
-@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages")])
+@pytest.mark.parametrize(("name", "table"), [("stream_chunks", "pages"), ("stream_session_log", "conversations")])
 def test_streams_of_a_table_without_rows(spark, tmp_path, name, table):
     spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
