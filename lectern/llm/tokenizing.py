@@ -7,7 +7,8 @@ piece once with the tokenizers library (a plain word, which is one token run,
 with the library's BPE model alone) and keeps its ids in two bounded
 generations; texts with a piece whose split depends on its neighbours
 (white space next to a space), or that spell one of the file's added tokens,
-are encoded whole by the library.
+are encoded whole by the library.  Arrow splits many texts at a time, numbers
+their distinct pieces and joins the ids, so a repeated piece is one lookup.
 """
 
 from __future__ import annotations
@@ -97,16 +98,20 @@ class Encoder:
             letters = "\u0120" + letters
         return array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.new) + len(pieces) > self.KEEP:
             self.old, self.new = self.new, {}
         new, old, rest = self.new, self.old, []
         for p in pieces:
-            if p in old:
-                new[p] = old[p]
+            if (ids := old.get(p)) is not None:
+                new[p] = ids
             elif m := _WORD.match(p):
-                ids = self._spelt(m[1], True)
-                new[p] = ids + self.stops[m[2]] if m[2] else ids
+                word, stop = m.groups()
+                if not stop:
+                    new[p] = self._spelt(p, True)
+                else:  # the word alone is often known
+                    ids = new.get(word) or old.get(word) or self._spelt(word, True)
+                    new[p] = ids + self.stops[stop]
             elif self.rule == "prefix" and (not p or _WHITE_END.search(p) or p[0].isspace()):
                 new[p] = None  # its ids depend on its neighbours
             else:
@@ -143,9 +148,10 @@ class Encoder:
         the library, many to a text."""
         out: list[bytes | None] = [None] * len(pieces)
         others = []
+        new, old = (self.new, self.old) if spaced else ({}, {})
         for i, p in enumerate(pieces):
             if m := _WORD.match(p):
-                ids = self._spelt(m[1], spaced)
+                ids = new.get(m[1]) or old.get(m[1]) or self._spelt(m[1], spaced)
                 out[i] = ids + self.stops[m[2]] if m[2] else ids
             else:
                 others.append(i)
@@ -161,55 +167,79 @@ class Encoder:
                 out[i] = raw[lo:hi]
         return out
 
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of distinct pieces; None: they depend on a piece's neighbours."""
+        get = self.new.get
+        got = list(map(get, pieces))
+        if None in got:
+            gaps = [j for j, g in enumerate(got) if g is None]
+            missing = [pieces[j] for j in gaps]
+            self._learn(missing)
+            for j, ids in zip(gaps, map(self.new.__getitem__, missing), strict=True):
+                got[j] = ids
+        return got
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has.
+
+        Arrow splits the texts and numbers the distinct pieces, so each of
+        them is looked up once a call, and puts their ids in a row again."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(texts)
+        if self.rule == "whole" or not n:
+            raw = self._raw(texts)
+            counts = np.fromiter(map(len, raw), np.int64, n) // self.dtype.itemsize
+            return np.frombuffer(b"".join(raw), self.dtype), counts
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = split.offsets.to_numpy().astype(np.int64)  # each text has a piece at least
+        coded = split.values.dictionary_encode()
+        place, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        whole = np.array([any(mark in t for mark in self.added) for t in texts], bool)
+        heads = split.values.take(pa.array(first[:-1])).to_pylist() if self.rule == "prefix" else []
+        # pieces that are asked for: not the first ones, which no space precedes
+        asked = ~np.repeat(whole, np.diff(first))
+        if heads:
+            asked[first[:-1]] = False
+            whole |= np.array([bool(t and _WHITE_END.search(h)) for t, h in zip(texts, heads, strict=True)], bool)
+        used = np.zeros(len(pieces), bool)
+        used[place[asked]] = True
+        known = np.flatnonzero(used)
+        got = self._known(pieces.take(pa.array(known)).to_numpy(zero_copy_only=False).tolist())
+        alone = np.zeros(len(pieces), bool)  # pieces that need their neighbours
+        alone[known[[j for j, g in enumerate(got) if g is None]]] = True
+        whole |= np.logical_or.reduceat(alone[place] & asked, first[:-1])
+        # a place for each piece: its ids', those of its text's beginning, or none
+        spot = np.zeros(len(pieces), np.int64)
+        spot[known] = np.arange(1, len(known) + 1)
+        place = spot[place]
+        table = [b"", *(g or b"" for g in got)]
+        place[np.repeat(whole, np.diff(first))] = 0
+        begun = np.flatnonzero(whole) if not heads else np.arange(n)
+        place[first[begun]] = len(table) + np.arange(len(begun))
+        table += self._raw([texts[i] if whole[i] else heads[i] for i in begun.tolist()])
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        ids = pa.array(table, pa.large_binary()).take(pa.array(place)).buffers()[2]
+        ids = np.frombuffer(ids, self.dtype, int(sizes[place].sum())) if ids else np.empty(0, self.dtype)
+        return ids, np.add.reduceat(sizes[place], first[:-1])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian ``dtype`` bytes."""
-        if self.rule == "whole":
-            return self._raw(texts)
-        skip = 1 if self.rule == "prefix" else 0
-        out: list[bytes | None] = [None] * len(texts)
-        get = self.new.get
-        firsts, wait, need = [], [], set()
-        for i, text in enumerate(texts):
-            if any(mark in text for mark in self.added):
-                firsts.append("")
-                continue
-            pieces = text.split(" ")
-            firsts.append(pieces[0])
-            if skip:
-                del pieces[0]
-            got = list(map(get, pieces))
-            if None in got:
-                gaps = [j for j, g in enumerate(got) if g is None]
-                missing = [pieces[j] for j in gaps]
-                need.update(missing)
-                wait.append((i, got, gaps, missing))
-            else:
-                out[i] = b"".join(got)
-        if need:
-            self._learn(need)
-        for i, got, gaps, missing in wait:
-            for j, piece in zip(gaps, missing, strict=True):
-                got[j] = self.new[piece]
-            # None: a piece needs its neighbours, the text is encoded whole
-            out[i] = None if None in got else b"".join(got)
-        whole = [i for i in range(len(texts)) if out[i] is None]
-        if skip:
-            first = [i for i in range(len(texts)) if out[i] is not None and texts[i]]
-            ok = [i for i in first if not _WHITE_END.search(firsts[i])]
-            whole += sorted(set(first) - set(ok))
-            for i, ids in zip(ok, self._raw([firsts[i] for i in ok]), strict=True):
-                out[i] = ids + out[i]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        ids, n = self._flat(texts)
+        stops = np.cumsum(n).tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip([0, *stops], stops)]
 
     def ended(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``end_id`` after each, as unsigned
         32-bit integers, and how many ids each text has with it."""
-        raw = self.encode([t or "" for t in texts])
-        n = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
-        ids = np.frombuffer(b"".join(raw), self.dtype).astype("<u4")
-        return np.insert(ids, np.cumsum(n), end_id), n + 1
+        ids, n = self._flat([t or "" for t in texts])
+        stops = np.cumsum(n + 1)
+        out = np.full(len(ids) + len(n), end_id, "<u4")
+        own = np.ones(len(out), bool)
+        own[stops - 1] = False
+        out[own] = ids
+        return out, n + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -226,7 +256,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_batches(texts, max_chars: int = 1 << 20):
+def text_batches(texts, max_chars: int = 1 << 21):
     """Slices ``(lo, hi)`` of an Arrow array of texts with a bounded sum of lengths."""
     import pyarrow.compute as pc
 

@@ -112,3 +112,16 @@ def test_repeated_rows_keep_gapless_starts(spark):
         assert r["start"] == at
         at += r["n_tokens"]
     assert [r["doc_id"] for r in got] == [4] + [5] * 40
+
+
+def test_a_piece_is_asked_for_once_a_call():
+    """Repeats inside a batch are found by Arrow, and a word before a stop is
+    the word that is known already."""
+    enc = Encoder(BYTE)
+    asked, spelt, known, one = [], [], enc._known, enc._spelt
+    enc._known = lambda pieces: asked.extend(pieces) or known(pieces)
+    enc._spelt = lambda word, spaced: spelt.append(word) or one(word, spaced)
+    texts = ["A vilona brunt A vilona, brunt.", "vilona vilona brunt", "", " ", "x\ny vilona.\nBrunt  z", "vilona<|endoftext|> brunt"] * 50
+    assert split(enc, texts) == [e.ids for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert sorted(asked) == sorted(set(asked))
+    assert spelt.count("vilona") == spelt.count("brunt") == 1
