@@ -257,14 +257,22 @@ def tokenizer_path(name: str) -> str:
 
 
 def text_batches(texts, max_chars: int = 1 << 21):
-    """Slices ``(lo, hi)`` of an Arrow array of texts with a bounded sum of lengths."""
+    """Slices ``(lo, hi)`` of an Arrow array of texts with a bounded sum of lengths.
+
+    When the caller is through with a slice, the memory that Arrow keeps for
+    later goes back to the system: the worker lives on through other stages,
+    beside other workers of its executor."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
+    pool = pa.default_memory_pool()
     lo, size = 0, 0
     for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
         size += n or 0
         if size >= max_chars:
             yield lo, i + 1
+            pool.release_unused()
             lo, size = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+        pool.release_unused()

@@ -77,3 +77,21 @@ def test_many_short_documents(spark):
     rows = [(i, "word " * (i % 40)) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert check(rows, packing.pack(df, BYTE).collect()) < 0.06
+
+
+def test_memory_goes_back_after_every_slice_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    from lectern.llm import tokenizing
+
+    returned, slices = [], []
+
+    class Pool:
+        def release_unused(self):
+            returned.append(len(slices))
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    for lo, hi in tokenizing.text_batches(pa.array(["ab", None, "", "cdef", "g", "hi"]), 4):
+        slices.append((lo, hi))
+    assert slices == [(0, 4), (4, 6)]
+    assert returned == [1, 2]

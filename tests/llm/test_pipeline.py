@@ -88,3 +88,24 @@ def test_documents_without_any_label_stay(spark):
     kept = rows(corpus_pipeline.language(spark, docs, SF))
     assert {d: (r["text"], r["lang"]) for d, r in kept.items()} == {0: ("One text", None), 1: ("ein Text", None), 5: ("текст", None)}
     assert corpus_pipeline.language(spark, docs, SF).columns == docs.columns
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    """Ten thousand rows of 4,000 characters were one batch of 40 MB."""
+    spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "repeat('word ', 800) AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    corpus_pipeline.packed(spark, docs.limit(1), SF)
+    got = docs.coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 10_000
+    assert max(r["size"] for r in got) <= corpus_pipeline.BATCH_BYTES + 8192
+    spark.conf.set(corpus_pipeline.BATCH_SETTING, "1000000")
+    corpus_pipeline.packed(spark, docs.limit(1), SF)
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "1000000"
+    spark.conf.unset(corpus_pipeline.BATCH_SETTING)
